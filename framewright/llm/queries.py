@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import tokenizer
+from framewright.llm import leakage, tokenizer
 from framewright.session import table
 
 
@@ -19,7 +19,11 @@ def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return back.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p8_roundtrip)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+QUERIES = {f.__name__: f for f in (p8_ids, p8_roundtrip, p9_found)}
 
 SQL = {
     "p8_roundtrip": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
