@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import leakage, tokenizer
+from framewright.llm import leakage, shared_spans, tokenizer
 from framewright.session import table
 
 
@@ -23,7 +23,16 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p8_roundtrip, p9_found)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.shared_spans(table(spark, d, "documents"))
+
+
+def p10_share(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return shared_spans.shared_share(docs, shared_spans.shared_spans(docs))
+
+
+QUERIES = {f.__name__: f for f in (p8_ids, p8_roundtrip, p9_found, p10_found, p10_share)}
 
 SQL = {
     "p8_roundtrip": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
