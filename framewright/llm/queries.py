@@ -5,10 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import leakage, shared_spans, tokenizer
+from framewright.llm import batch_dedup, leakage, neighbours, quantile_sketch, shared_spans, tokenizer
 from framewright.session import table
 
 
+#: Fixed values of the test data: 16 x 16 bits, a threshold of 10 percent.
+HASH_BITS, HASH_MOST, NEIGHBOURS = 256, 25, 5
+QUANTILES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
+MEASURES = ("object_area", "object_aspect_ratio")
+
+
+def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return quantile_sketch.by_scope(table(spark, d, "object_stats"), ["class_name"], "load_period", MEASURES, QUANTILES)
+
+
+def p3_bounds_hold(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each estimate over all periods keeps its bound against the exact order statistics beside its rank."""
+    stats = table(spark, d, "object_stats")
+    values = stats.select("class_name", F.explode(F.array(*[F.struct(F.lit(m).alias("feature"), F.col(m).cast("double").alias("x")) for m in MEASURES])).alias("v")).select("class_name", "v.*")
+    exact = values.filter("x IS NOT NULL AND NOT isnan(x)").groupBy("class_name", "feature").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    got = p3_percentiles(spark, d).filter("scope = 'all'")
+    joined = got.join(exact.withColumnRenamed("class_name", "c"), F.col("class_name").eqNullSafe(F.col("c")) & (got["feature"] == exact["feature"])).drop(exact["feature"])
+    x = F.col("xs")[F.floor(F.col("quantile") * (F.col("n") - 1)).cast("int")]
+    return joined.select("class_name", "feature", "quantile", "n", (F.abs(F.col("estimate") - x) <= F.abs(x) * (F.col("relative_error") + 1e-9)).alias("ok"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest_hashes(table(spark, d, "image_hashes"), bits=HASH_BITS, most=HASH_MOST, k=NEIGHBOURS)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return batch_dedup.repeats(table(spark, d, "image_hashes"), bits=HASH_BITS, most=HASH_MOST)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode(table(spark, d, "documents"))
 
@@ -32,8 +61,13 @@ def p10_share(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_share(docs, shared_spans.shared_spans(docs))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p8_roundtrip, p9_found, p10_found, p10_share)}
+QUERIES = {f.__name__: f for f in (p3_percentiles, p3_bounds_hold, p4_found, p5_found, p8_ids, p8_roundtrip, p9_found, p10_found, p10_share)}
 
 SQL = {
+    "p3_bounds_hold": " UNION ALL ".join(
+        f"""SELECT class_name, '{m}' AS feature, q AS quantile, count(*) AS n, true AS ok
+FROM object_stats, unnest({list(QUANTILES)}::DOUBLE[]) AS t(q) WHERE {m} IS NOT NULL AND NOT isnan({m}::DOUBLE) GROUP BY class_name, q"""
+        for m in MEASURES
+    ),
     "p8_roundtrip": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
 }
