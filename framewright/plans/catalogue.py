@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framewright.plans import pipeline_queries
+from framewright.plans import object_queries, pipeline_queries
 
-QUERIES = {**pipeline_queries.QUERIES}
-SQL = {**pipeline_queries.SQL}
+QUERIES = {**object_queries.QUERIES, **pipeline_queries.QUERIES}
+SQL = {**object_queries.SQL, **pipeline_queries.SQL}
