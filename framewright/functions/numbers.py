@@ -17,7 +17,7 @@ def known(c: Column | str) -> Column:
 
 def significant(c: Column) -> Column:
     """A double to ten significant digits, as reports give it; sums of doubles differ beyond by their order."""
-    return F.format_string("%.9e", c).cast("double")
+    return F.format_string("%.9e", c).try_cast("double")  # null spells "null"
 
 
 def small_side(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
