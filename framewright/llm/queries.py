@@ -66,7 +66,7 @@ QUERIES = {f.__name__: f for f in (p3_percentiles, p3_bounds_hold, p4_found, p5_
 SQL = {
     "p3_bounds_hold": " UNION ALL ".join(
         f"""SELECT class_name, '{m}' AS feature, q AS quantile, count(*) AS n, true AS ok
-FROM object_stats, unnest({list(QUANTILES)}::DOUBLE[]) AS t(q) WHERE {m} IS NOT NULL AND NOT isnan({m}::DOUBLE) GROUP BY class_name, q"""
+FROM object_stats, unnest({list(QUANTILES)}::DOUBLE[]) AS t(q) WHERE {m} IS NOT NULL AND lower({m}::VARCHAR) <> 'nan' GROUP BY class_name, q"""
         for m in MEASURES
     ),
     "p8_roundtrip": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
