@@ -79,5 +79,17 @@ def centred(xmin: Column, ymin: Column, xmax: Column, ymax: Column, width: Colum
 
 
 def six_places(x: Column, places: int = 6) -> Column:
-    """A number as text with fixed places, halves to the even digit."""
-    return F.format_string(f"%.{places}f", F.bround(x, places))
+    """A number from 0 to 1 as text with up to seven places, exact halves to the even digit.
+
+    The product with the power of ten is taken with its rounding error (a
+    split of the factor makes both partial products exact), so that what only
+    looks like a half in decimal falls to its true side.
+    """
+    scale = F.lit(float(10**places))
+    product = x * scale
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    error = (high * scale - product) + (x - high) * scale
+    whole = F.floor(product)
+    beyond = (product - whole) - 0.5 + error
+    up = F.when(beyond > 0, 1).when(beyond < 0, 0).otherwise(whole % 2)
+    return F.format_string(f"%.{places}f", (whole + up) / scale)

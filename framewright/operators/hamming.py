@@ -49,8 +49,8 @@ def packed(df: DataFrame, id_col: str, hash_col: str, bits: int, keep: tuple[str
 
 
 def blocks_for(bits: int, most: int) -> int:
-    """The fewest blocks that leave one with at most one differing bit."""
-    return max(1, min(bits // 2, (most + 2) // 2))
+    """The fewest blocks that leave one with at most one differing bit and halves of 16 bits at most."""
+    return max(1, -(-bits // 32), min(bits // 2, (most + 2) // 2))
 
 
 def _layout(bits: int, blocks: int) -> list[tuple[int, int, int, int]]:
@@ -103,17 +103,28 @@ def _first_match(xor: np.ndarray, layout: list[tuple[int, int, int, int]]) -> np
 def near_pairs(rows: DataFrame, *, bits: int, most: int, nearest: int | None = None) -> DataFrame:
     """(part, a, b, d) with a < b: all pairs of a part that differ in at most most bits, once each.
 
-    rows: (part bigint, id bigint, code binary, flag boolean), codes distinct
-    within a part (collapse copies first: they would all meet). Pairs of two
-    rows without the flag are left out. With nearest, a task gives of every
+    rows: (part bigint, id bigint, code binary, flag boolean), see pairs_of.
+    """
+    return pairs_of(segments(rows, bits=bits, most=most), bits=bits, most=most, nearest=nearest)
+
+
+def segments(rows: DataFrame, *, bits: int, most: int) -> DataFrame:
+    """(part, own, other, id, code, flag): rows by the position and bits of each half. May be stored and added to."""
+    return _halves(rows, bits, blocks_for(bits, most))
+
+
+def pairs_of(met: DataFrame, *, bits: int, most: int, nearest: int | None = None) -> DataFrame:
+    """Near pairs of segments, by (part, a, b, d).
+
+    Codes should be distinct within a part (collapse copies first: they would
+    all meet). Pairs of two rows without the flag are left out. With nearest, a task gives of every
     row's pairs only those to the nearest others by (d, id); whatever is among
     a row's nearest over all is among them in the one task that gives it.
     Groups of a half are streamed from a sort; a task holds one group at least.
     """
     if most >= bits:
         raise ValueError("the threshold takes in all pairs")
-    blocks = blocks_for(bits, most)
-    layout = _layout(bits, blocks)
+    layout = _layout(bits, blocks_for(bits, most))
     flips = [1 << i for i in range(max(nb for *_, nb in layout))]
 
     def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -182,5 +193,4 @@ def near_pairs(rows: DataFrame, *, bits: int, most: int, nearest: int | None = N
         if held:
             yield from compare(pa.Table.from_batches(held))
 
-    met = _halves(rows, bits, blocks).repartition("part", "own").sortWithinPartitions("part", "own", "other")
-    return met.mapInArrow(run, "part bigint, a bigint, b bigint, d int")
+    return met.repartition("part", "own").sortWithinPartitions("part", "own", "other").mapInArrow(run, "part bigint, a bigint, b bigint, d int")

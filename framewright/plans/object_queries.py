@@ -176,9 +176,16 @@ def voc_to_yolo(spark, d):
     return _yolo(spark, d).select("ann_id", "class_id", *[F.round(c, 12).alias(c) for c in ("x_center", "y_center", "width", "height")])
 
 
-@query()
+def _six(x: str) -> str:
+    """six_places() in SQL: engines differ in the text of a number that lies halfway."""
+    whole, high = f"floor({x} * 1e6::DOUBLE)", f"({x} * 134217729::DOUBLE - ({x} * 134217729::DOUBLE - {x}))"
+    beyond = f"(({x} * 1e6::DOUBLE - {whole}) - 0.5::DOUBLE + (({high} * 1e6::DOUBLE - {x} * 1e6::DOUBLE) + ({x} - {high}) * 1e6::DOUBLE))"
+    return f"printf('%.6f', ({whole} + CASE WHEN {beyond} > 0 THEN 1 WHEN {beyond} < 0 THEN 0 ELSE {whole} % 2 END) / 1e6::DOUBLE)"
+
+
+@query(_CONV + f"SELECT ann_id, class_id || ' ' || {_six('x_center')} || ' ' || {_six('y_center')} || ' ' || {_six('width')} || ' ' || {_six('height')} AS line FROM y")
 def voc_to_yolo_lines(spark, d):
-    """Lines as written to files; SQL engines differ in the text of a number that lies halfway."""
+    """Lines as written to files."""
     return _yolo(spark, d).select("ann_id", "line")
 
 
