@@ -10,42 +10,50 @@ probe looks at its own position alone.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewright.functions.numbers import small_side
 from framewright.operators import greedy, hamming
 from framewright.session import checkpointed
 
+_PLACES = "array<struct<batch:int,id:bigint>>"
+_NODE = "part bigint, cache string, code binary, old bigint, new struct<batch:int,id:bigint>, id bigint"
 
-def repeats(
-    df: DataFrame, *, bits: int, most: int, id_col: str = "hash_id", hash_col: str = "hash", cache_col: str = "cache_name", batch_col: str = "batch_no"
-) -> DataFrame:
-    """(kept_id, dup_id): each rejected row with the smallest accepted id it repeats.
 
-    All of batch 0 is accepted. Then rows go by (batch, id); a row is rejected
-    if an accepted row of its cache differs in at most most bits. A null cache
-    is a cache of its own. Rows with a null or differently long hash, a null
-    within it, a null id or a null batch are left out.
+def _rows(df: DataFrame, bits: int, id_col: str, hash_col: str, cache_col: str, batch_col: str) -> DataFrame:
+    """(id, code, cache, batch) of the usable rows; a null cache is the empty text, others begin with ``=``."""
+    cache = F.coalesce(F.concat(F.lit("="), F.col(cache_col).cast("string")), F.lit(""))
+    named = df.filter(F.col(batch_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"), cache.alias("cache"), F.col(batch_col).cast("int").alias("batch"))
+    return hamming.packed(named, "id", "h", bits, ("cache", "batch"))
 
-    Copies within a cache are one node of the index. Pairs of nodes without a
-    row of a new batch are never made, so history is stored and looked up but
-    not compared with itself.
-    """
-    named = df.filter(F.col(batch_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.col(hash_col).alias("h"), F.coalesce(F.concat(F.lit("="), F.col(cache_col).cast("string")), F.lit("")).alias("cache"), F.col(batch_col).cast("int").alias("batch")
-    )
-    rows = hamming.packed(named, "id", "h", bits, ("cache", "batch"))
+
+def _nodes(rows: DataFrame) -> DataFrame:
+    """Copies within a cache as one node: old is its smallest id of batch 0, new its first row of a later batch."""
     old = F.col("batch") == 0
-    nodes = checkpointed(
+    return (
         rows.groupBy("cache", "code")
         .agg(F.min(F.when(old, F.col("id"))).alias("old"), F.min(F.when(~old, F.struct("batch", "id"))).alias("new"))
         .select(F.xxhash64("cache").alias("part"), "cache", "code", "old", "new", F.coalesce("old", "new.id").alias("id"))
     )
-    near = hamming.near_pairs(nodes.select("part", "id", "code", F.col("new").isNotNull().alias("flag")), bits=bits, most=most)
+
+
+def _flagged(nodes: DataFrame) -> DataFrame:
+    return nodes.select("part", "id", "code", F.col("new").isNotNull().alias("flag"))
+
+
+def _resolved(rows: DataFrame, nodes: DataFrame, near: DataFrame) -> DataFrame:
+    """(kept_id, dup_id) of the rows of later batches, given nodes (of history and of the batches) and their near pairs."""
     # the digest of a cache may clash with another's, so the pair's caches are compared too
     ends = [nodes.select(F.col("id").alias(s), F.col("cache").alias(f"cache_{s}"), F.struct("old", "new").alias(f"node_{s}")) for s in ("a", "b")]
     pairs = checkpointed(near.join(ends[0], "a").join(ends[1], "b").filter("cache_a = cache_b").select("a", "b", "node_a", "node_b"))
-    link = lambda x, y: F.struct(F.col(x).alias("id"), F.col(f"node_{x}").alias("node"), F.col(y).alias("other"), F.col(f"node_{y}").alias("peer"))
+
+    def link(x: str, y: str):
+        return F.struct(F.col(x).alias("id"), F.col(f"node_{x}").alias("node"), F.col(y).alias("other"), F.col(f"node_{y}").alias("peer"))
+
     links = pairs.select(F.explode(F.array(link("a", "b"), link("b", "a"))).alias("l")).select("l.*").filter("node.new IS NOT NULL")
     beaten = links.filter("node.old IS NULL AND peer.old IS NOT NULL").select("id").distinct()
     open_links = links.filter("node.old IS NULL AND peer.old IS NULL AND peer.new < node.new").select(F.col("other").alias("lo"), F.col("id").alias("hi"))
@@ -55,18 +63,79 @@ def repeats(
     # what a node's rows can repeat: of history the smallest id, of new batches each accepted row with its place in the order
     by_history = links.groupBy("id").agg(F.min("peer.old").alias("old_near"))
     by_new = links.join(first.select(F.col("id").alias("other"), F.col("new").alias("acc")), "other").groupBy("id").agg(F.collect_list("acc").alias("new_near"))
+    none = F.array().cast(_PLACES)
     targets = (
         nodes.filter("new IS NOT NULL")
         .join(by_history, "id", "left")
         .join(by_new, "id", "left")
         .join(first.select("id", F.col("new").alias("own")), "id", "left")
-        .select(
-            "cache",
-            "code",
-            F.least("old", "old_near").alias("history"),
-            F.concat(F.coalesce("new_near", F.array().cast("array<struct<batch:int,id:bigint>>")), F.when(F.col("own").isNull(), F.array().cast("array<struct<batch:int,id:bigint>>")).otherwise(F.array("own"))).alias("accepted"),
-        )
+        .select("cache", "code", F.least("old", "old_near").alias("history"), F.concat(F.coalesce("new_near", none), F.when(F.col("own").isNull(), none).otherwise(F.array("own"))).alias("accepted"))
     )
     found = rows.filter("batch <> 0").join(targets, ["cache", "code"])
     earlier = F.array_min(F.transform(F.filter("accepted", lambda x: x < F.struct("batch", "id")), lambda x: x["id"]))
     return found.select(F.least("history", earlier).alias("kept_id"), F.col("id").alias("dup_id")).filter("kept_id IS NOT NULL")
+
+
+def repeats(
+    df: DataFrame, *, bits: int, most: int, id_col: str = "hash_id", hash_col: str = "hash", cache_col: str = "cache_name", batch_col: str = "batch_no"
+) -> DataFrame:
+    """(kept_id, dup_id): each rejected row with the smallest accepted id it repeats.
+
+    All of batch 0 is accepted. Then rows go by (batch, id); a row is rejected
+    if an accepted row of its cache differs in at most most bits. A null cache
+    is a cache of its own. Rows with a null or differently long hash, a null
+    within it, a null id or a null batch are left out.
+
+    Copies within a cache are one node of the index. Pairs of nodes without a
+    row of a new batch are never made, so history is stored and looked up but
+    not compared with itself.
+    """
+    rows = _rows(df, bits, id_col, hash_col, cache_col, batch_col)
+    nodes = checkpointed(_nodes(rows))
+    return _resolved(rows, nodes, hamming.near_pairs(_flagged(nodes), bits=bits, most=most))
+
+
+class SegmentIndex:
+    """The accepted vectors, cut to segments, in a folder that all executors share.
+
+    A batch reads the segments it can meet, not the vectors' history, and adds
+    its own accepted ones. Each batch has a folder that appears when it is
+    whole; adding a batch again replaces it, so a failed run may be repeated.
+    Batches are added in ascending order.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, *, bits: int, most: int):
+        self.spark, self.folder, self.bits, self.most = spark, Path(folder), bits, most
+        self.folder.mkdir(parents=True, exist_ok=True)
+        shape = self.folder / "shape.json"
+        if shape.exists():
+            if json.loads(shape.read_text()) != [bits, most]:
+                raise ValueError(f"{folder} was made for other bits or another threshold")
+        else:
+            shape.write_text(json.dumps([bits, most]))
+
+    def _stored(self, kind: str, before: int, schema: str) -> DataFrame:
+        done = [str(p) for p in self.folder.glob(f"{kind}/batch=*") if int(p.name[6:]) < before and (p / "_SUCCESS").exists()]
+        return self.spark.read.schema(schema).parquet(*done) if done else self.spark.createDataFrame([], schema)
+
+    def _append(self, nodes: DataFrame, batch: int) -> None:
+        cut = hamming.segments(_flagged(nodes).withColumn("flag", F.lit(False)), bits=self.bits, most=self.most)
+        cut.write.mode("overwrite").parquet(str(self.folder / "segments" / f"batch={batch}"))
+        nodes.write.mode("overwrite").parquet(str(self.folder / "nodes" / f"batch={batch}"))
+
+    def add(self, df: DataFrame, batch: int, *, id_col: str = "hash_id", hash_col: str = "hash", cache_col: str = "cache_name") -> DataFrame:
+        """(kept_id, dup_id) of one batch's rejected rows; its accepted rows join the index. Batch 0 is accepted whole."""
+        rows = _rows(df.withColumn("_batch", F.lit(batch)), self.bits, id_col, hash_col, cache_col, "_batch")
+        fresh = checkpointed(_nodes(rows))
+        if batch == 0:
+            self._append(fresh, 0)
+            return self.spark.createDataFrame([], "kept_id bigint, dup_id bigint")
+        own = checkpointed(hamming.segments(_flagged(fresh), bits=self.bits, most=self.most))
+        met = self._stored("segments", batch, "part bigint, own bigint, other int, id bigint, code binary, flag boolean").join(small_side(own.select("part", "own").distinct()), ["part", "own"], "left_semi")
+        near = checkpointed(hamming.pairs_of(own.unionByName(met), bits=self.bits, most=self.most))
+        history = self._stored("nodes", batch, _NODE).join(small_side(near.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "id", "left_semi")
+        accepted = history.select("part", "cache", "code", F.coalesce("old", "new.id").alias("old"), F.lit(None).cast("struct<batch:int,id:bigint>").alias("new"), "id")
+        found = checkpointed(_resolved(rows, fresh.unionByName(accepted), near))
+        kept = rows.join(found.select(F.col("dup_id").alias("id")), "id", "left_anti")
+        self._append(_nodes(kept), batch)
+        return found

@@ -6,6 +6,11 @@ Bit vectors (``nearest_hashes``) are searched exactly; real vectors
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,3 +51,129 @@ def nearest_hashes(df: DataFrame, *, bits: int, most: int, k: int, id_col: str =
     ranked = lists.select("code", F.slice(F.array_sort(F.concat(own, F.coalesce("others", F.array().cast("array<struct<d:int,id:bigint>>")))), 1, 2 * k + 1).alias("ranked"))
     found = rows.join(ranked, "code").select("id", F.explode(F.slice(F.filter("ranked", lambda x: x["id"] != F.col("id")), 1, k)).alias("o"))
     return found.select(F.least("id", "o.id").alias("hash_a"), F.greatest("id", "o.id").alias("hash_b")).distinct()
+
+
+def _perturbations(k: int, probes: int) -> list[tuple[int, ...]]:
+    """The likeliest sets of shifts, as places in a query's list of its 2k shifts by distance to the border.
+
+    By the expected squares of those distances, taken in ascending order from
+    a heap; a set does not shift one projection both ways.
+    """
+    square = [(j * (j + 1)) / (4 * (k + 1) * (k + 2)) for j in range(1, k + 1)]
+    square += [1 - (2 * k + 1 - j) / (k + 1) + (2 * k + 1 - j) * (2 * k + 2 - j) / (4 * (k + 1) * (k + 2)) for j in range(k + 1, 2 * k + 1)]
+    heap, out = [(square[0], (0,))], [()]
+    while heap and len(out) < probes:
+        score, places = heapq.heappop(heap)
+        if not any(2 * k - 1 - p in places for p in places):
+            out.append(places)
+        last = places[-1]
+        if last + 1 < 2 * k:
+            heapq.heappush(heap, (score - square[last] + square[last + 1], (*places[:-1], last + 1)))
+            heapq.heappush(heap, (score + square[last + 1], (*places, last + 1)))
+    return out
+
+
+class PStable:
+    """L tables of k Gaussian projections cut into slots of a width: floor((a . v + b) / width)."""
+
+    def __init__(self, size: int, width: float, *, tables: int, projections: int, probes: int, seed: int = 7):
+        r = np.random.default_rng(seed)
+        self.a = r.normal(size=(tables, projections, size))
+        self.b = r.uniform(0, width, (tables, projections))
+        self.width, self.tables, self.k = width, tables, projections
+        self.sets = _perturbations(projections, probes)
+        self.mix = r.integers(1, 2**62, projections, dtype=np.int64) | 1
+
+    def places(self, vectors: np.ndarray, table: int) -> np.ndarray:
+        return (vectors @ self.a[table].T + self.b[table]) / self.width
+
+    def keys(self, slots: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            x = (slots.astype(np.int64) * self.mix).sum(-1)
+            return x ^ (x >> 29)
+
+    def probe_keys(self, vectors: np.ndarray, table: int) -> np.ndarray:
+        """(vectors, probes): the keys of the own bucket and of the perturbed ones, likeliest first."""
+        at = self.places(vectors, table)
+        slot = np.floor(at).astype(np.int64)
+        low = at - slot
+        border = np.concatenate([low, 1 - low], 1)  # distance down, then up
+        order = np.argsort(border, 1)
+        shift = np.where(order < self.k, -1, 1)
+        which = order % self.k
+        rows = np.arange(len(vectors))
+        out = np.empty((len(vectors), len(self.sets)), np.int64)
+        for n, places in enumerate(self.sets):
+            moved = slot.copy()
+            for p in places:
+                moved[rows, which[:, p]] += shift[:, p]
+            out[:, n] = self.keys(moved)
+        return out
+
+
+def _matrix(column: pa.Array, size: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+
+
+def _usable(df: DataFrame, id_col: str, vector_col: str, size: int) -> DataFrame:
+    v = F.col(vector_col).cast("array<double>")
+    known = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return df.filter(F.col(id_col).isNotNull() & (F.size(vector_col) == size) & known).select(F.col(id_col).cast("bigint").alias("id"), v.alias("v"))
+
+
+def fitted_width(vectors: DataFrame, size: int, k: int, sample: int = 2_000) -> float:
+    """A slot width from the distances within a sample of at most sample rows (the rows of least digest): 1.3 times the median distance to the k-th nearest.
+
+    The width only sets how many candidates are met; every row is indexed.
+    """
+    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
+    x = _matrix(rows["v"].combine_chunks(), size)
+    if len(x) < 3:
+        return 1.0
+    squares = (x * x).sum(1)
+    apart = np.sqrt(np.maximum(squares[:, None] + squares[None] - 2 * x @ x.T, 0))
+    near = np.sort(apart, 1)[:, min(k, len(x) - 1)]
+    return max(float(np.median(near)) * 1.3, 1e-9)
+
+
+def nearest_vectors(
+    df: DataFrame, *, size: int, k: int, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, tables: int = 12, projections: int = 6, probes: int = 60, width: float | None = None
+) -> DataFrame:
+    """(id_col, neighbour, distance, place): for each row whose id is divisible by every, the k nearest other rows met.
+
+    Multiprobe p-stable hashing: all rows are put into the buckets of some
+    tables; a query looks into its own bucket of each and into those whose
+    slots it nearly fell in, likeliest first; the rows met in any table are
+    ranked by their exact Euclidean distance (ties: smaller id). More tables
+    or probes find more. Vectors that are null, of another size or with
+    unknown or infinite numbers are left out.
+    """
+    vectors = _usable(df, id_col, vector_col, size)
+    width = fitted_width(vectors, size, k) if width is None else width
+    family = PStable(size, width, tables=tables, projections=projections, probes=probes)
+
+    def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column(1), size)
+            for t in range(tables):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(family.keys(np.floor(family.places(x, t)))), batch.column(0)], names=["t", "key", "id"])
+
+    def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column(1), size)
+            for t in range(tables):
+                keys = family.probe_keys(x, t)
+                ids = np.repeat(batch.column(0).to_numpy(), keys.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(keys.size, t, np.int32)), pa.array(keys.ravel()), pa.array(ids)], names=["t", "key", "q"])
+
+    def measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = np.sqrt(((_matrix(batch.column(2), size) - _matrix(batch.column(3), size)) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], names=["q", "id", "d"])
+
+    queries = vectors.filter(F.col("id") % every == 0)
+    met = queries.mapInArrow(probe, "t int, key bigint, q bigint").join(vectors.mapInArrow(index, "t int, key bigint, id bigint"), ["t", "key"]).filter("q <> id").select("q", "id").distinct()
+    pairs = met.join(vectors, "id").join(queries.select(F.col("id").alias("q"), F.col("v").alias("w")), "q").select("q", "id", "v", "w")
+    ranked = pairs.mapInArrow(measured, "q bigint, id bigint, d double")
+    w = Window.partitionBy("q").orderBy("d", "id")
+    return ranked.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select(F.col("q").alias(id_col), F.col("id").alias("neighbour"), F.col("d").alias("distance"), "place")

@@ -34,6 +34,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest_hashes(table(spark, d, "image_hashes"), bits=HASH_BITS, most=HASH_MOST, k=NEIGHBOURS)
 
 
+def p4_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest_vectors(table(spark, d, "embeddings"), size=64, k=10)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return batch_dedup.repeats(table(spark, d, "image_hashes"), bits=HASH_BITS, most=HASH_MOST)
 
@@ -61,7 +65,7 @@ def p10_share(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_share(docs, shared_spans.shared_spans(docs))
 
 
-QUERIES = {f.__name__: f for f in (p3_percentiles, p3_bounds_hold, p4_found, p5_found, p8_ids, p8_roundtrip, p9_found, p10_found, p10_share)}
+QUERIES = {f.__name__: f for f in (p3_percentiles, p3_bounds_hold, p4_found, p4_vectors, p5_found, p8_ids, p8_roundtrip, p9_found, p10_found, p10_share)}
 
 SQL = {
     "p3_bounds_hold": " UNION ALL ".join(
