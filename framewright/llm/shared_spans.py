@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 SPAN, GRAM = 200, 50
 #: Characters handled at once; a longer text is cut into overlapping pieces.
 PIECE = 1 << 19
-#: Anchors in more records than this are compared window by window over the cluster.
+#: Anchors in more records than this are compared over the cluster, not within one task.
 HOT_RECORDS = 20_000
 #: Windows compared at once in a task.
 BLOCK_WINDOWS = 500_000
@@ -140,15 +140,16 @@ def _anchor_rows(df: DataFrame, span: int, gram: int) -> DataFrame:
     return df.mapInArrow(run, "fp bigint, id bigint")
 
 
-_BESIDE = "fp bigint, hot boolean, id bigint, first bigint, lead int, beside binary"
-_BESIDE_NAMES = ["fp", "hot", "id", "first", "lead", "beside"]
+_BESIDE = "fp bigint, hot boolean, id bigint, first bigint, lead int, n int, beside binary"
+_BESIDE_NAMES = ["fp", "hot", "id", "first", "lead", "n", "beside"]
+_GROUPED = ["fp", "id", "first", "lead", "n", "beside"]
 
 
 def _beside_rows(df: DataFrame, span: int, gram: int) -> DataFrame:
     """For each shared anchor of (id, text, fps, hots): the text beside it that its windows span.
 
-    first is the offset of the first window, lead the anchor's place after it;
-    the gram itself, equal for equal anchors, is left out of the text.
+    first is the offset of the first of n windows, lead the anchor's place after
+    it; the gram itself, equal for equal anchors, is left out of the text.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,10 +168,10 @@ def _beside_rows(df: DataFrame, span: int, gram: int) -> DataFrame:
                         if fp[i] in keep:
                             s, p = first[i], place[i]
                             beside = text[s:p] + text[p + gram : last[i] + span]
-                            for to, v in zip(out, (fp[i], keep[fp[i]], ids[row], s + shift, p - s, beside.encode("utf-8", "surrogateescape"))):
+                            for to, v in zip(out, (fp[i], keep[fp[i]], ids[row], s + shift, p - s, last[i] - s + 1, beside.encode("utf-8", "surrogateescape"))):
                                 to.append(v)
                 if out[0]:
-                    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], names=_BESIDE_NAMES)
 
     return df.mapInArrow(run, _BESIDE)
@@ -188,71 +189,122 @@ def _windows(fp: np.ndarray, lead: np.ndarray, beside: list[bytes], span: int, g
     start = np.repeat(np.cumsum(sizes) - sizes, counts) + number
     offset = (lead[row] - number).astype(np.uint64)
     key = hashes[start] ^ _scramble(fp.view(np.uint64)[row] + offset * np.uint64(_BASE))
-    return key, row, number
+    return key, row.astype(np.int32), number.astype(np.int32)
 
 
-def _runs(row: np.ndarray, number: np.ndarray, ids: np.ndarray, first: np.ndarray, span: int) -> pa.RecordBatch:
-    """Shared windows, in order, to stretches of characters."""
-    new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (number[1:] != number[:-1] + 1)]) if len(row) else np.empty(0, np.int64)
-    last = np.r_[new[1:], len(row)] - 1 if len(row) else new
-    r = row[new]
-    return pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(first[r] + number[new]), pa.array(first[r] + number[last] + span)], names=["id", "a", "b"])
+def _blocks(fp: np.ndarray, lead: np.ndarray, beside: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(a row of each different anchor, place and text; which of them each row is)."""
+    text = beside.combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    order = np.lexsort((text, lead, fp))
+    f, le, t = fp[order], lead[order], text[order]
+    new = np.r_[True, (f[1:] != f[:-1]) | (le[1:] != le[:-1]) | (t[1:] != t[:-1])]
+    block = np.empty(len(fp), np.int64)
+    block[order] = np.cumsum(new) - 1
+    return order[new], block
 
 
 def _within_groups(rows: DataFrame, span: int, gram: int) -> DataFrame:
-    """(id, a, b) of shared stretches; rows come sorted by fp, all of an fp in one partition."""
+    """(id, a, b) of shared stretches; rows come sorted by fp, all of an fp in one partition.
 
-    def compare(fp: np.ndarray, ids: np.ndarray, first: np.ndarray, lead: np.ndarray, beside: list[bytes]) -> pa.RecordBatch:
-        key, row, number = _windows(fp, lead, beside, span, gram)
+    Anchors with equal text beside them are one block: of two records, all its
+    windows are shared. Windows are compared between different blocks only.
+    """
+
+    def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        fp, ids, first, lead, n = (table.column(c).to_numpy() for c in ("fp", "id", "first", "lead", "n"))
+        of, block = _blocks(fp, lead, table.column("beside"))
+        low, high = np.full(len(of), np.iinfo(np.int64).max), np.full(len(of), np.iinfo(np.int64).min)
+        np.minimum.at(low, block, ids)
+        np.maximum.at(high, block, ids)
+        several = low != high
+        whole = several[block]
+        yield _stretches(ids[whole], first[whole], first[whole] + n[whole] - 1 + span)
+        kinds = np.unique(fp[of], return_counts=True)
+        mixed = np.flatnonzero(np.isin(fp[of], kinds[0][kinds[1] > 1]))  # blocks whose anchor has others
+        if not len(mixed):
+            return
+        texts = table.column("beside").take(pa.array(of[mixed])).to_pylist()
+        parts = []
+        at = 0
+        while at < len(mixed):  # the hashes of a bounded text at a time
+            to, size = at, 0
+            while to < len(mixed) and size < BLOCK_WINDOWS:
+                size += len(texts[to])
+                to += 1
+            key, row, number = _windows(fp[of[mixed[at:to]]], lead[of[mixed[at:to]]], texts[at:to], span, gram)
+            parts.append((key, row + np.int32(at), number))
+            at = to
+        key, row, number = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(key, kind="stable")
-        sorted_key, owner = key[order], ids[row[order]]
+        sorted_key, owner = key[order], mixed[row[order]]
         new = np.flatnonzero(np.r_[True, sorted_key[1:] != sorted_key[:-1]])
-        shared = np.minimum.reduceat(owner, new) != np.maximum.reduceat(owner, new)
+        shared = np.minimum.reduceat(low[owner], new) != np.maximum.reduceat(high[owner], new)
         hit = np.zeros(len(key), bool)
         hit[order] = np.repeat(shared, np.diff(np.r_[new, len(key)]))
-        return _runs(row[hit], number[hit], ids, first, span)
+        hit &= ~several[mixed[row]]
+        row, number = row[hit], number[hit]
+        if len(row):
+            start = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (number[1:] != number[:-1] + 1)])
+            last = np.r_[start[1:], len(row)] - 1
+            runs = {}  # of a block of one record, which may have it more than once
+            for b, s, e in zip(mixed[row[start]].tolist(), number[start].tolist(), number[last].tolist()):
+                runs.setdefault(b, []).append((s, e))
+            own = np.flatnonzero(np.isin(block, list(runs)))
+            out = [(ids[i], first[i] + s, first[i] + e + span) for i, b in zip(own.tolist(), block[own].tolist()) for s, e in runs[b]]
+            yield _stretches(*(np.array(c, np.int64) for c in zip(*out)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
-
-        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            if len(table):
-                fp, ids, first, lead = (table.column(c).to_numpy() for c in ("fp", "id", "first", "lead"))
-                yield compare(fp, ids, first, lead, table.column("beside").to_pylist())
-
         for whole in batches:
             for at in range(0, len(whole), 2_000):
                 batch = whole.slice(at, 2_000)
                 held.append(batch)
-                size += batch.column(4).nbytes
-                if size < BLOCK_WINDOWS * 2:
+                size += batch.column(5).nbytes
+                if size < 2 * BLOCK_WINDOWS:
                     continue
                 table = pa.Table.from_batches(held)
                 fp = table.column("fp").to_numpy()
                 cut = int(np.searchsorted(fp, fp[-1]))  # the last anchor may go on
                 if cut:
-                    yield from done(table.slice(0, cut))
-                    held, size = table.slice(cut).to_batches(), table.slice(cut).column("beside").nbytes
+                    yield from compare(table.slice(0, cut))
+                    rest = table.slice(cut).combine_chunks()
+                    held, size = rest.to_batches(), rest.column("beside").nbytes
         if held:
-            yield from done(pa.Table.from_batches(held))
+            yield from compare(pa.Table.from_batches(held))
 
     return rows.mapInArrow(run, "id bigint, a bigint, b bigint")
 
 
+def _stretches(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(a), pa.array(b)], names=["id", "a", "b"])
+
+
 def _over_cluster(rows: DataFrame, span: int, gram: int) -> DataFrame:
-    """(id, a, b) of shared windows of anchors that very many records have."""
+    """The same for anchors that very many records have, by joins instead of groups.
+
+    Equal blocks are counted with partial aggregates; only blocks of one
+    record, and one of each other, are taken apart to windows.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["fp", "lead", "beside", "id", "first", "x", "y"]
         for whole in batches:
             for at in range(0, len(whole), 2_000):
-                fp, ids, first, lead = (whole.column(c).slice(at, 2_000).to_numpy() for c in range(4))
-                key, row, number = _windows(fp, lead, whole.column(4).slice(at, 2_000).to_pylist(), span, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[row]), pa.array(first[row] + number)], names=["key", "id", "a"])
-
-    windows = rows.mapInArrow(run, "key bigint, id bigint, a bigint").persist(StorageLevel.MEMORY_AND_DISK)
-    shared = windows.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x < y").select("key")
-    return windows.join(shared, "key").select("id", "a", (F.col("a") + span).alias("b"))
+                fp, lead, beside, ids, first, x, y = (whole.column(c).slice(at, 2_000) for c in range(len(names)))
+                ids, first, x, y = (v.to_numpy() for v in (ids, first, x, y))
+                key, row, number = _windows(fp.to_numpy(), lead.to_numpy(), beside.to_pylist(), span, gram)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (key.view(np.int64), ids[row], first[row] + number, x[row], y[row])], names=["key", "id", "a", "x", "y"])
+
+    marked = rows.withColumn("block", F.xxhash64("lead", "beside"))
+    counts = marked.groupBy("fp", "block").agg(F.min("id").alias("x"), F.max("id").alias("y"))
+    joined = marked.join(counts, ["fp", "block"]).persist(StorageLevel.MEMORY_AND_DISK)
+    whole = joined.filter("x < y").select("id", F.col("first").alias("a"), (F.col("first") + F.col("n") - 1 + span).alias("b"))
+    apart = joined.filter("x = y").unionByName(joined.filter("x < y AND id = x").dropDuplicates(["fp", "block"]))
+    windows = apart.select("fp", "lead", "beside", "id", "first", "x", "y").mapInArrow(run, "key bigint, id bigint, a bigint, x bigint, y bigint").persist(StorageLevel.MEMORY_AND_DISK)
+    shared = windows.groupBy("key").agg(F.min("x").alias("lo"), F.max("y").alias("hi")).filter("lo < hi").select("key")
+    single = windows.filter("x = y").join(shared, "key").select("id", "a", (F.col("a") + span).alias("b"))
+    return whole.unionByName(single)
 
 
 def shared_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, hot_records: int = HOT_RECORDS) -> DataFrame:
@@ -268,16 +320,17 @@ def shared_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     several = found.groupBy("fp").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.count(F.lit(1)).alias("n")).filter("x < y").select("fp", (F.col("n") > hot_records).alias("hot")).persist(StorageLevel.MEMORY_AND_DISK)
     by_record = found.join(several, "fp").groupBy("id").agg(F.collect_list("fp").alias("fps"), F.collect_list("hot").alias("hots"))
     beside = _beside_rows(docs.join(by_record, "id"), span, gram)
-    cold = beside.filter("NOT hot").select("fp", "id", "first", "lead", "beside").repartition("fp").sortWithinPartitions("fp")
-    spans = _within_groups(cold, span, gram)
+    spans = _within_groups(_grouped(beside), span, gram)
     if not several.filter("hot").isEmpty():
         beside = beside.persist(StorageLevel.MEMORY_AND_DISK)
-        cold = beside.filter("NOT hot").select("fp", "id", "first", "lead", "beside").repartition("fp").sortWithinPartitions("fp")
-        hot = beside.filter("hot").select("fp", "id", "first", "lead", "beside")
-        spans = _within_groups(cold, span, gram).unionByName(_over_cluster(hot, span, gram))
+        spans = _within_groups(_grouped(beside), span, gram).unionByName(_over_cluster(beside.filter("hot").select(*_GROUPED), span, gram))
     return merged(spans).select(F.col("id").alias(id_col), F.col("a").alias("span_start"), F.col("b").alias("span_end"))
 
 
+def _grouped(beside: DataFrame) -> DataFrame:
+    return beside.filter("NOT hot").select(*_GROUPED).repartition("fp").sortWithinPartitions("fp")
+
+
 def merged(spans: DataFrame) -> DataFrame:
     """(id, a, b): stretches that overlap or touch become one. A record's stretches are no more than its text has characters."""
     by = Window.partitionBy("id").orderBy("a", "b")
