@@ -17,7 +17,7 @@ from framewright import report
 from framewright.functions import paths, raster
 from framewright.operators import cache_merge, convert, dedup, features, frames, hamming, projection, statistics
 from framewright.sinks import files
-from framewright.session import checkpointed
+from framewright.session import checkpointed, ship
 from framewright.sources import cache, config, scan, video, voc
 
 log = logging.getLogger("framewright")
@@ -51,6 +51,7 @@ def delete(spark: SparkSession, s: config.Settings, src: str, act: bool = False)
 
 def slice_videos(spark: SparkSession, s: config.Settings, src: str, dst: str, act: bool = False) -> DataFrame:
     """Sampled frames to files. Only videos of which frames came out are removed, and only with remove."""
+    ship(spark)
     spark.dataSource.register(video.VideoFrames)
     chosen = frames.sampled(spark.read.format("video_frames").option("step_sec", s.step_sec).load(_existing(src)), s.step_sec)
     files.write_frames(chosen, dst, s.suffix)

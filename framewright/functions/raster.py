@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framewright.session import mapped
+
 
 def luma(bgr: np.ndarray) -> np.ndarray:
     """Gray of 8-bit blue-green-red, rounded in 14-bit fixed point (weights .299, .587, .114)."""
@@ -65,7 +67,7 @@ def image_features(images: DataFrame, core_size: int = 16) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=list(names))
 
     ddl = "path string, im_width int, im_height int, im_depth int, im_brightness double, im_contrast double, im_blur_score double, hash array<boolean>"
-    return images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInArrow(run, ddl)
+    return mapped(images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data"), run, ddl)
 
 
 def raster_bits(cells: Column, width: int, height: int) -> Column:

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.session import mapped
+
 #: Pairs whose distances are computed at once, and rows gathered before whole groups are joined.
 BLOCK_PAIRS, BLOCK_ROWS = 1_000_000, 100_000
 
@@ -45,7 +47,8 @@ def packed(df: DataFrame, id_col: str, hash_col: str, bits: int, keep: tuple[str
 
     good = F.col(id_col).isNotNull() & (F.size(hash_col) == bits)
     types = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.filter(good).select(F.col(id_col).cast("bigint").alias("id"), F.col(hash_col).alias("h"), *keep).mapInArrow(run, f"id bigint, code binary{types}")
+    rows = df.filter(good).select(F.col(id_col).cast("bigint").alias("id"), F.col(hash_col).alias("h"), *keep)
+    return mapped(rows, run, f"id bigint, code binary{types}")
 
 
 def blocks_for(bits: int, most: int) -> int:
@@ -88,7 +91,7 @@ def _halves(rows: DataFrame, bits: int, blocks: int) -> DataFrame:
                         names=["part", "own", "other", "id", "code", "flag"],
                     )
 
-    return rows.select("part", "id", "code", "flag").mapInArrow(run, "part bigint, own bigint, other int, id bigint, code binary, flag boolean")
+    return mapped(rows.select("part", "id", "code", "flag"), run, "part bigint, own bigint, other int, id bigint, code binary, flag boolean")
 
 
 def _first_match(xor: np.ndarray, layout: list[tuple[int, int, int, int]]) -> np.ndarray:
@@ -193,4 +196,4 @@ def pairs_of(met: DataFrame, *, bits: int, most: int, nearest: int | None = None
         if held:
             yield from compare(pa.Table.from_batches(held))
 
-    return met.repartition("part", "own").sortWithinPartitions("part", "own", "other").mapInArrow(run, "part bigint, a bigint, b bigint, d int")
+    return mapped(met.repartition("part", "own").sortWithinPartitions("part", "own", "other"), run, "part bigint, a bigint, b bigint, d int")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.session import bounded_rows
+from framewright.session import bounded_rows, mapped, spread
 
 #: Records in a block of the fast path.
 BLOCK = 64
@@ -181,7 +181,7 @@ def _parsed(df: DataFrame, id_col: str, text_col: str, make: Callable[[], YoloLi
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["rec_id", *arrow.names])
 
     narrow = df.select(F.col(id_col).cast("bigint").alias("rec_id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, f"rec_id bigint, {ddl}")
+    return mapped(spread(narrow), run, f"rec_id bigint, {ddl}")
 
 
 def _classes(class_list: DataFrame) -> list:

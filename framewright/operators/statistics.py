@@ -18,17 +18,17 @@ REACH = 1.5
 
 
 def class_counts(df: DataFrame) -> DataFrame:
-    """(class_name, objects, share): objects of each class, most frequent first, and their percentage."""
-    counts = df.filter("class_name IS NOT NULL").groupBy("class_name").agg(F.count(F.lit(1)).alias("objects"))
-    total = df.agg(F.count(F.lit(1)).alias("_t"))
-    return counts.join(F.broadcast(total)).select("class_name", "objects", (F.col("objects") * 100 / F.col("_t")).alias("share")).orderBy(F.desc("objects"), "class_name")
+    """(class_name, objects, share): objects of each class, most frequent first, and their percentage of all objects."""
+    counts = df.groupBy("class_name").agg(F.count(F.lit(1)).alias("objects"))
+    total = F.sum("objects").over(Window.partitionBy())  # over the classes, which are few
+    return counts.select("class_name", "objects", (F.col("objects") * 100 / total).alias("share")).filter("class_name IS NOT NULL").orderBy(F.desc("objects"), "class_name")
 
 
 def density(df: DataFrame) -> DataFrame:
     """One row: distinct images, objects, mean objects of an image and their sample deviation; null images do not count."""
-    per_image = df.filter("im_path IS NOT NULL").groupBy("im_path").agg(F.count(F.lit(1)).alias("n"))
-    stats = per_image.agg(F.count(F.lit(1)).alias("images"), F.avg("n").alias("mean_objects"), F.stddev_samp("n").alias("std_objects"))
-    return stats.join(F.broadcast(df.agg(F.count(F.lit(1)).alias("objects"))))
+    per_image = df.groupBy("im_path").agg(F.count(F.lit(1)).alias("n"))
+    n = F.when(F.col("im_path").isNotNull(), F.col("n"))
+    return per_image.agg(F.count("im_path").alias("images"), F.avg(n).alias("mean_objects"), F.stddev_samp(n).alias("std_objects"), F.coalesce(F.sum("n"), F.lit(0)).alias("objects"))
 
 
 def bounds(percentiles: DataFrame) -> DataFrame:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +31,54 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; a temporary one for a local master without the setting."""
+    sc = spark.sparkContext
+    configured = sc.getConf().get("spark.checkpoint.dir", "")
+    if not configured and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return configured or os.path.join(tempfile.gettempdir(), "framewright-checkpoints")
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for a context.
+
+    Left out for a local master whose workers find it by themselves.
+    """
+    sc, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if getattr(sc, "_framewright_shipped", False):
+        return
+    known = [Path(p or ".").resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]]
+    if not (sc.master.startswith("local[") and root in known):
+        here = tempfile.mkdtemp(prefix="framewright")  # on the driver, which serves it to the executors
+        atexit.register(shutil.rmtree, here, ignore_errors=True)
+        archive = Path(here) / "framewright.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted((root / "framewright").rglob("*.py")):
+                z.write(f, f.relative_to(root))
+        sc.addPyFile(str(archive))
+    sc._framewright_shipped = True
+
+
+def mapped(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """df by an iterator of Arrow batches, the package being there for the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores before costly work on each row, where its files make fewer partitions than that.
+
+    Concerns plain scans only; other plans have their partitions from a
+    shuffle, and asking for their number would run it.
+    """
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    if not plan.count("FileScan") == 1 or re.search("Join|Aggregate|Window|Sort|Limit|Exchange|InMemory|Union|Generate|MapIn", plan):
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a test-data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -38,10 +92,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        configured = sc.getConf().get("spark.checkpoint.dir", "")
-        if not configured and not sc.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(configured or os.path.join(tempfile.gettempdir(), "framewright-checkpoints"))
+        sc.setCheckpointDir(_shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

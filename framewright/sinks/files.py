@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions import paths
+from framewright.session import bounded_rows, ship
 
 _DONE = "path string, target string, done boolean, message string"
 
@@ -58,6 +59,7 @@ def carry_out(plan: DataFrame) -> DataFrame:
                     messages.append(str(e))
             yield batch.assign(done=done, message=messages)
 
+    ship(plan.sparkSession)
     return plan.mapInPandas(act, _DONE)
 
 
@@ -71,6 +73,7 @@ def write_texts(texts: DataFrame, folder: str, suffix: str) -> int:
                 _put(Path(folder) / f"{stem}{suffix}", (value or "").encode())
             yield batch[["stem"]]
 
+    ship(texts.sparkSession)
     return texts.select("stem", "value").mapInPandas(act, "stem string").count()
 
 
@@ -97,13 +100,12 @@ def write_frames(frames: DataFrame, folder: str, suffix: str = ".npy") -> int:
                 _put(Path(folder) / f"{Path(r.video).stem}_{r.number}{suffix}", data)
             yield batch[["number"]]
 
+    ship(frames.sparkSession)
     return frames.select("video", "number", "height", "width", "channels", "data").mapInPandas(act, "number bigint").count()
 
 
 def write_class_file(classes: DataFrame, folder: str) -> None:
     """Writes classes.txt, names by id; also with no classes."""
-    from framewright.session import bounded_rows
-
     rows = sorted(bounded_rows(classes.select("class_id", "class_name"), 100_000, "the class list"))
     os.makedirs(folder, exist_ok=True)
     _put(Path(folder) / "classes.txt", "\n".join(r["class_name"] for r in rows).encode())
