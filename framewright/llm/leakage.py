@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.session import mapped, spread
+
 #: Words of a k-gram, and consecutive words that make a leak.
 K, RUN = 6, 12
 #: Most test fingerprints that are sent to every executor (8 bytes each); beyond it both sides are shuffled.
@@ -108,7 +110,7 @@ def _scan(df: DataFrame, id_col: str, text_col: str, k: int, run: int, wanted=No
                 yield _found(ids, fps, left, right, context)
 
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("t"))
-    return rows.mapInArrow(go, "id bigint, fp bigint" + (", left array<string>, right array<string>" if context else ""))
+    return mapped(spread(rows), go, "id bigint, fp bigint" + (", left array<string>, right array<string>" if context else ""))
 
 
 def _found(ids: list, fps: list, left: list, right: list, context: bool) -> pa.RecordBatch:
@@ -150,7 +152,7 @@ def _verified(pairs: DataFrame, corpus: DataFrame, tests: DataFrame, run: int) -
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["doc", "item"])
 
     joined = pairs.join(corpus.withColumnRenamed("id", "doc"), "doc").join(tests.select(F.col("id").alias("item"), F.col("t").alias("tt")), "item")
-    return joined.select("doc", "item", "t", "tt").mapInArrow(go, "doc bigint, item bigint").distinct()
+    return mapped(joined.select("doc", "item", "t", "tt"), go, "doc bigint, item bigint").distinct()
 
 
 def leaked(

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.operators import hamming
+from framewright.session import mapped
 
 
 def _first_rows(rows: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:
@@ -172,8 +173,8 @@ def nearest_vectors(
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], names=["q", "id", "d"])
 
     queries = vectors.filter(F.col("id") % every == 0)
-    met = queries.mapInArrow(probe, "t int, key bigint, q bigint").join(vectors.mapInArrow(index, "t int, key bigint, id bigint"), ["t", "key"]).filter("q <> id").select("q", "id").distinct()
+    met = mapped(queries, probe, "t int, key bigint, q bigint").join(mapped(vectors, index, "t int, key bigint, id bigint"), ["t", "key"]).filter("q <> id").select("q", "id").distinct()
     pairs = met.join(vectors, "id").join(queries.select(F.col("id").alias("q"), F.col("v").alias("w")), "q").select("q", "id", "v", "w")
-    ranked = pairs.mapInArrow(measured, "q bigint, id bigint, d double")
+    ranked = mapped(pairs, measured, "q bigint, id bigint, d double")
     w = Window.partitionBy("q").orderBy("d", "id")
     return ranked.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select(F.col("q").alias(id_col), F.col("id").alias("neighbour"), F.col("d").alias("distance"), "place")

@@ -25,6 +25,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.session import mapped, spread
+
 #: Characters of a window and of the gram that anchors it.
 SPAN, GRAM = 200, 50
 #: Characters handled at once; a longer text is cut into overlapping pieces.
@@ -137,7 +139,7 @@ def _anchor_rows(df: DataFrame, span: int, gram: int) -> DataFrame:
                 if pair is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair.fp)), pa.array(np.ascontiguousarray(pair.id))], names=["fp", "id"])
 
-    return df.mapInArrow(run, "fp bigint, id bigint")
+    return mapped(spread(df), run, "fp bigint, id bigint")
 
 
 _BESIDE = "fp bigint, hot boolean, id bigint, first bigint, lead int, n int, beside binary"
@@ -174,7 +176,7 @@ def _beside_rows(df: DataFrame, span: int, gram: int) -> DataFrame:
                     kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], names=_BESIDE_NAMES)
 
-    return df.mapInArrow(run, _BESIDE)
+    return mapped(df, run, _BESIDE)
 
 
 def _windows(fp: np.ndarray, lead: np.ndarray, beside: list[bytes], span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -273,7 +275,7 @@ def _within_groups(rows: DataFrame, span: int, gram: int) -> DataFrame:
         if held:
             yield from compare(pa.Table.from_batches(held))
 
-    return rows.mapInArrow(run, "id bigint, a bigint, b bigint")
+    return mapped(rows, run, "id bigint, a bigint, b bigint")
 
 
 def _stretches(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -301,7 +303,7 @@ def _over_cluster(rows: DataFrame, span: int, gram: int) -> DataFrame:
     joined = marked.join(counts, ["fp", "block"]).persist(StorageLevel.MEMORY_AND_DISK)
     whole = joined.filter("x < y").select("id", F.col("first").alias("a"), (F.col("first") + F.col("n") - 1 + span).alias("b"))
     apart = joined.filter("x = y").unionByName(joined.filter("x < y AND id = x").dropDuplicates(["fp", "block"]))
-    windows = apart.select("fp", "lead", "beside", "id", "first", "x", "y").mapInArrow(run, "key bigint, id bigint, a bigint, x bigint, y bigint").persist(StorageLevel.MEMORY_AND_DISK)
+    windows = mapped(apart.select("fp", "lead", "beside", "id", "first", "x", "y"), run, "key bigint, id bigint, a bigint, x bigint, y bigint").persist(StorageLevel.MEMORY_AND_DISK)
     shared = windows.groupBy("key").agg(F.min("x").alias("lo"), F.max("y").alias("hi")).filter("lo < hi").select("key")
     single = windows.filter("x = y").join(shared, "key").select("id", "a", (F.col("a") + span).alias("b"))
     return whole.unionByName(single)

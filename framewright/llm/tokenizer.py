@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.session import mapped, spread
+
 #: Where the vocabularies lie, unless a caller says otherwise.
 BYTE_BPE_50K = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published split pattern of that vocabulary (fixed value).
@@ -321,7 +323,8 @@ def encode(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
                 done += n
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    texts = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")))
+    return mapped(texts, run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str = BYTE_BPE_50K) -> DataFrame:
@@ -335,5 +338,5 @@ def decode(df: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids", vocab
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["id", "text"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, text binary")
+    rows = mapped(df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")), run, f"id {kind}, text binary")
     return rows.select(F.col("id").alias(id_col), F.col("text").cast("string").alias("text"))
