@@ -19,8 +19,9 @@ def dropped(edges: DataFrame) -> DataFrame:
     """(id): items dropped by the elimination. edges: (lo, hi), lo being earlier in the order.
 
     Each round keeps the items without an earlier neighbour left, drops their
-    later neighbours and takes both out. Items in no edge are kept. A round is
-    checkpointed, so a lost executor costs that round only.
+    later neighbours and takes both out. Items in no edge are kept. What is
+    left of the edges is checkpointed in each round, so a lost executor costs
+    that round only; what a round dropped follows from its checkpoint.
     """
     left = checkpointed(edges.select("lo", "hi").distinct())
     gone = None
@@ -29,7 +30,7 @@ def dropped(edges: DataFrame) -> DataFrame:
             break
         later = left.select(F.col("hi").alias("lo")).distinct()
         firsts = left.join(later, "lo", "left_anti")
-        out = checkpointed(firsts.select(F.col("hi").alias("id")).distinct())
+        out = firsts.select(F.col("hi").alias("id")).distinct()
         gone = out if gone is None else gone.unionByName(out)
         kept = firsts.select(F.col("lo").alias("id")).distinct()
         settled = out.unionByName(kept)

@@ -82,6 +82,7 @@ def cache_name(spark, d):
     return table(spark, d, "images").select("path", paths.safe_name(p).alias("safe"), F.concat(F.lit("cache_"), F.md5(p.cast("binary")), F.lit("_method_dhash_size_16.parquet")).alias("cache_file"))
 
 
+_PLAIN = r"^(\d+) ([0-9.]+) ([0-9.]+) ([0-9.]+) ([0-9.]+)\z"
 _LINES = """SELECT path, trim(line, chr(32) || chr(9) || chr(13)) AS line, line_no FROM yolo_raw WHERE trim(line, chr(32) || chr(9) || chr(13)) <> ''"""
 
 
@@ -111,6 +112,29 @@ def class_fallback(spark, d):
     return features.named_classes(ids, table(spark, d, "class_list")).select("row_id", "class_name")
 
 
+@query(f"""SELECT line_id, m.id AS class_id, m.x::DOUBLE AS x_center, m.y::DOUBLE AS y_center, m.w::DOUBLE AS width, m.h::DOUBLE AS height FROM (
+SELECT line_id, regexp_extract(line, '{_PLAIN}', ['id', 'x', 'y', 'w', 'h']) AS m FROM yolo_raw WHERE regexp_matches(line, '{_PLAIN}'))
+WHERE TRY_CAST(m.x AS DOUBLE) IS NOT NULL AND TRY_CAST(m.y AS DOUBLE) IS NOT NULL AND TRY_CAST(m.w AS DOUBLE) IS NOT NULL AND TRY_CAST(m.h AS DOUBLE) IS NOT NULL""")
+def yolo_parse(spark, d):
+    """Fields of the plain lines."""
+    return convert.yolo_boxes(table(spark, d, "yolo_raw").filter(F.col("line").rlike(_PLAIN)), keep=("line_id",))
+
+
+@query()
+def voc_parse(spark, d):
+    """Records of the XML texts, as many objects as they hold."""
+    from framewright.sources import voc
+
+    doc = voc.parsed(table(spark, d, "voc_raw"), "body")
+    return doc.select("doc_no", "doc.filename", "doc.size.width", "doc.size.height", F.size("doc.object").alias("objects"))
+
+
+@query("SELECT count(*) AS files, count(*) FILTER (WHERE doc_no IS NOT NULL AND body IS NOT NULL) AS texts FROM voc_raw")
+def success_counts(spark, d):
+    """Files and those with a text, in one pass beside the work."""
+    return table(spark, d, "voc_raw").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("doc_no").isNotNull() & F.col("body").isNotNull()).alias("texts"))
+
+
 # --- features of objects -----------------------------------------------------
 _INT = lambda x: f"CASE WHEN regexp_full_match(regexp_replace({x}, '^\\s+|\\s+$', '', 'g'), '[+-]?[0-9]+') THEN TRY_CAST(regexp_replace({x}, '^\\s+|\\s+$', '', 'g') AS INT) END"
 _VOC = f"""WITH o AS (SELECT ann_id, path, coalesce({_INT('size.width')}, 0) AS w, coalesce({_INT('size.height')}, 0) AS h,
@@ -189,7 +213,6 @@ def voc_to_yolo_lines(spark, d):
     return _yolo(spark, d).select("ann_id", "line")
 
 
-_PLAIN = r"^(\d+) ([0-9.]+) ([0-9.]+) ([0-9.]+) ([0-9.]+)\z"
 _PIX = f"""WITH p AS (SELECT line_id, path, regexp_extract(line, '{_PLAIN}', ['id', 'x', 'y', 'w', 'h']) AS m FROM yolo_raw WHERE regexp_matches(line, '{_PLAIN}')),
 t AS (SELECT line_id, path, m.id AS id, TRY_CAST(m.x AS DOUBLE) AS x, TRY_CAST(m.y AS DOUBLE) AS y, TRY_CAST(m.w AS DOUBLE) AS w, TRY_CAST(m.h AS DOUBLE) AS h FROM p),
 c AS (SELECT line_id, coalesce(class_name, 'object_' || id) AS class_name, round_even((x - w / 2) * 640, 0)::INT AS xmin, round_even((y - h / 2) * 480, 0)::INT AS ymin,
@@ -434,6 +457,30 @@ def pca_projection(spark, d):
     return projection.projected(df, projection.numeric_features(df)).select("row_id", "class_name", "proj_x", "proj_y")
 
 
+@query()
+def manifold_sample(spark, d):
+    """What the manifold chart shows: a stratified sample in the two main axes."""
+    df = _stats(spark, d)
+    sample = statistics.stratified_sample(df, "row_id")
+    return projection.projected(sample, projection.numeric_features(df)).select("row_id", "class_name", "proj_x", "proj_y")
+
+
+@query()
+def report_lines(spark, d):
+    """The lines of the text report."""
+    from framewright import report
+
+    return report.report_rows(statistics.mark_outliers(_stats(spark, d)))
+
+
+@query("SELECT path, count(*) AS listings FROM annotation_files GROUP BY path")
+def poll_once(spark, d):
+    """The listing read as a stream, once over what is there; each batch is kept under its number."""
+    from framewright.streaming import poll
+
+    return poll.read_once(spark, d, "annotation_files.parquet", table(spark, d, "annotation_files").schema).groupBy("path").agg(F.count(F.lit(1)).alias("listings"))
+
+
 @query("""SELECT user_id, event_id, frame_id, (frame_id // 10)::BIGINT AS number FROM (
 SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_id FROM events) WHERE frame_id % 10 = 0""")
 def frame_sampling(spark, d):
@@ -459,10 +506,7 @@ _X, _Y = "(i % 8)", "(i // 8)"
 {_AT(f'abs({_X} - 1)', _Y)} + {_AT(f'CASE WHEN {_X} = 7 THEN 6 ELSE {_X} + 1 END', _Y)} + {_AT(_X, f'abs({_Y} - 1)')} + {_AT(_X, f'CASE WHEN {_Y} = 7 THEN 6 ELSE {_Y} + 1 END')} - 4 * {_AT(_X, _Y)} AS lap
 FROM ({_CELLS})) GROUP BY vec_id""")
 def pixel_metrics(spark, d):
-    cells = F.transform("embedding", lambda x: x.cast("double"))
-    mean, var = raster.array_moments(cells)
-    rows = table(spark, d, "embeddings").select("vec_id", mean.alias("brightness"), F.sqrt(var).alias("contrast"), raster.raster_blur(cells, 8, 8).alias("_l"))
-    return _sig(rows.select("vec_id", "brightness", "contrast", raster.array_moments(F.col("_l"))[1].alias("blur")), "brightness", "contrast", "blur")
+    return _sig(raster.small_raster_quality(table(spark, d, "embeddings"), "vec_id", "embedding", 8, 8), "brightness", "contrast", "blur")
 
 
 _CODES = """SELECT string_agg((b::INT)::VARCHAR, '' ORDER BY i)::BIT AS h, id FROM (

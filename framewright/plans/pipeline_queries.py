@@ -39,6 +39,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return rejects.rejected(_yolo(spark, d), "yolo_raw").unionByName(rejects.rejected(_voc(spark, d), "voc_raw"))
 
 
+def p2_yolo_rejected(spark: SparkSession, d: str) -> DataFrame:
+    return rejects.rejected(_yolo(spark, d), "yolo_raw")
+
+
 def p2_yolo_loaded(spark: SparkSession, d: str) -> DataFrame:
     return rejects.loaded(_yolo(spark, d))
 
@@ -89,7 +93,7 @@ def p7_boxes(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_summary, p2_found, p2_yolo_loaded, p2_voc_loaded, p6_found, p6_reread_from,
+        p1_found, p1_summary, p2_found, p2_yolo_rejected, p2_yolo_loaded, p2_voc_loaded, p6_found, p6_reread_from,
         p7_found, p7_annotations, p7_objects, p7_parts, p7_boxes,
     )
 }
@@ -111,7 +115,18 @@ _PARTS = f"""SELECT ann_id, object_no, i AS part_no, o.part[i] AS p
 FROM (SELECT ann_id, object_no, o, unnest(range(1, len(o.part) + 1)) AS i FROM ({_OBJECTS})) WHERE o.part[i] IS NOT NULL"""
 _BOX = ", ".join(f"b.{c} AS {c}" for c in ("xmin", "ymin", "xmax", "ymax"))
 
+_NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+_FIELDS = r"""regexp_extract_all(trim(line, chr(32) || chr(9) || chr(13)), '(?:"[^"]*"|[^ \t"])+')"""
+_YOLO_CHECKED = f"""SELECT line_id, f, CASE WHEN line IS NULL THEN 'columns' WHEN (length(line) - length(replace(line, '"', ''))) % 2 = 1 THEN 'quoting'
+  WHEN len(f) <> 5 THEN 'columns'
+  WHEN replace(f[1], '"', '') NOT IN (SELECT class_id FROM class_list UNION SELECT class_name FROM class_list)
+    OR {' OR '.join(f"NOT (regexp_full_match(f[{i}], '{_NUMBER}') AND coalesce(TRY_CAST(f[{i}] AS DOUBLE) BETWEEN 0 AND 1, false))" for i in range(2, 6))} THEN 'value' END AS reason
+FROM (SELECT line_id, line, {_FIELDS} AS f FROM yolo_raw)"""
+
 SQL = {
+    "p2_yolo_rejected": f"SELECT 'yolo_raw' AS raw_table, line_id AS rec_id, reason FROM ({_YOLO_CHECKED}) WHERE reason IS NOT NULL",
+    "p2_yolo_loaded": f"""SELECT line_id AS rec_id, replace(f[1], '"', '') AS class, f[2]::DOUBLE AS x_center, f[3]::DOUBLE AS y_center, f[4]::DOUBLE AS width, f[5]::DOUBLE AS height
+FROM ({_YOLO_CHECKED}) WHERE reason IS NULL""",
     "p1_found": f"SELECT row_id, ref_field, state FROM ({_ORPHANS})",
     "p1_summary": f"SELECT ref_field, load_period, state, count(*) AS orphans FROM ({_ORPHANS}) GROUP BY ALL",
     "p6_found": """

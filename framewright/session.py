@@ -31,7 +31,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share; a temporary one for a local master without the setting."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", "")
@@ -92,7 +92,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(_shared_folder(df.sparkSession))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
+
+from framewright.session import shared_folder
 
 FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -26,6 +30,22 @@ def watch(
     return (writer.trigger(availableNow=True) if sleep is None else writer.trigger(processingTime=f"{sleep} seconds")).start()
 
 
+def read_once(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
+    """A Parquet table of a folder, taken in as a stream until nothing is left, from the batches it was kept in.
+
+    The stream's checkpoint and its batches lie in the folder that all
+    executors share; a batch that is repeated replaces itself.
+    """
+    root = f"{shared_folder(spark)}/poll-{uuid.uuid4().hex}"
+    source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name[:-1]}[{name[-1]}]")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/rows/batch={number}")
+
+    source.writeStream.foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{root}/rows")
+
+
 def appended_features(docs: DataFrame, target: str) -> Callable[[DataFrame, int], None]:
     """work for watch: features of the records of new files (docs: path and record), kept once per batch number."""
     from framewright.operators.features import voc_features

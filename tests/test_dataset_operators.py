@@ -272,9 +272,10 @@ def test_raster(spark):
     r = np.random.default_rng(1).random((8, 8))
     p = np.pad(r, 1, mode="reflect")
     lap = p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * r
-    df = spark.createDataFrame([([float(x) for x in r.ravel()],)], "c array<double>")
-    got = df.select(raster.raster_blur(F.col("c"), 8, 8), raster.raster_bits(F.col("c"), 8, 8)).first()
-    assert got[0] == pytest.approx(lap.ravel().tolist()) and got[1] == (r[:, 1:] > r[:, :-1]).ravel().tolist()
+    df = spark.createDataFrame([(1, [float(x) for x in r.ravel()]), (2, None), (3, [1.0]), (4, [None] * 64)], "i int, c array<double>")
+    assert df.filter("i = 1").select(raster.raster_bits(F.col("c"), 8, 8)).first()[0] == (r[:, 1:] > r[:, :-1]).ravel().tolist()
+    got = raster.small_raster_quality(df, "i", "c", 8, 8).collect()
+    assert len(got) == 1 and tuple(got[0]) == pytest.approx((1, r.mean(), r.std(), lap.var()))
 
 
 def test_report_text(spark):
