@@ -67,11 +67,37 @@ def p10_share(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p3_percentiles, p3_bounds_hold, p4_found, p4_vectors, p5_found, p8_ids, p8_roundtrip, p9_found, p10_found, p10_share)}
 
+_BITS = """SELECT hash_id AS id, cache_name, batch_no, code FROM image_hashes JOIN (
+SELECT id, string_agg((b::INT)::VARCHAR, '' ORDER BY i)::BIT AS code FROM (
+SELECT hash_id AS id, unnest(hash) AS b, unnest(range(0, 256)) AS i FROM image_hashes WHERE len(hash) = 256) GROUP BY id) ON id = hash_id"""
+_WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+
+
+def _runs(key: str, source: str) -> str:
+    """Every 12 consecutive words of a table's texts."""
+    return f"""SELECT {key}, array_to_string(w[i : i + 11], ' ') AS run FROM (
+SELECT {key}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {key}, {_WORDS} AS w FROM {source} WHERE text IS NOT NULL))"""
+
+
 SQL = {
     "p3_bounds_hold": " UNION ALL ".join(
         f"""SELECT class_name, '{m}' AS feature, q AS quantile, count(*) AS n, true AS ok
 FROM object_stats, unnest({list(QUANTILES)}::DOUBLE[]) AS t(q) WHERE {m} IS NOT NULL AND lower({m}::VARCHAR) <> 'nan' GROUP BY class_name, q"""
         for m in MEASURES
     ),
+    "p4_found": f"""WITH h AS ({_BITS}), near AS (SELECT a.id AS x, b.id AS y, bit_count(xor(a.code, b.code)) AS d,
+  row_number() OVER (PARTITION BY a.id ORDER BY bit_count(xor(a.code, b.code)), b.id) AS n FROM h a JOIN h b ON a.id <> b.id AND bit_count(xor(a.code, b.code)) <= {HASH_MOST})
+SELECT DISTINCT least(x, y) AS hash_a, greatest(x, y) AS hash_b FROM near WHERE n <= {NEIGHBOURS}""",
+    "p5_found": f"""WITH RECURSIVE h AS ({_BITS}), c AS (SELECT *, row_number() OVER (ORDER BY batch_no, id) AS n FROM h WHERE batch_no > 0),
+walk AS (SELECT 0::BIGINT AS n, (SELECT list({{'id': id, 'cache': cache_name, 'code': code}}) FROM h WHERE batch_no = 0) AS kept, NULL::BIGINT AS kept_id, NULL::BIGINT AS dup_id
+UNION ALL SELECT w.n + 1, CASE WHEN hit IS NULL THEN list_append(w.kept, {{'id': c.id, 'cache': c.cache_name, 'code': c.code}}) ELSE w.kept END, hit, c.id
+FROM walk w JOIN c ON c.n = w.n + 1, LATERAL (SELECT list_min(list_transform(list_filter(w.kept, lambda k: k.cache IS NOT DISTINCT FROM c.cache_name AND bit_count(xor(k.code, c.code)) <= {HASH_MOST}), lambda k: k.id)) AS hit))
+SELECT kept_id, dup_id FROM walk WHERE kept_id IS NOT NULL""",
+    "p9_found": f"""SELECT DISTINCT doc_id, item_id FROM ({_runs('doc_id', 'documents')}) JOIN ({_runs('item_id', 'eval_items')}) USING (run)""",
+    "p10_found": """WITH w AS (SELECT doc_id, i, substr(text, i + 1, 200) AS s FROM (SELECT doc_id, text, unnest(range(0, length(text) - 199)) AS i FROM documents WHERE length(text) >= 200)),
+hit AS (SELECT doc_id, i FROM w WHERE s IN (SELECT s FROM w GROUP BY s HAVING count(DISTINCT doc_id) > 1)),
+runs AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
+  SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM hit))
+SELECT doc_id, min(i)::BIGINT AS span_start, max(i)::BIGINT + 200 AS span_end FROM runs GROUP BY doc_id, run""",
     "p8_roundtrip": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
 }

@@ -16,6 +16,7 @@ import base64
 import codecs
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ BYTE_BPE_50K = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published split pattern of that vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Kept per worker; beyond that the tables are emptied and filled anew.
-MOST_STATES, MOST_WORDS = 100_000, 200_000
+MOST_STATES, MOST_WORDS = 100_000, 400_000
 #: Bytes that may be read without making states.
 SHORT = 64
 #: Code points put into one output batch, texts being whole.
@@ -256,16 +257,21 @@ class Encoder:
 
     def encode(self, text: str, out: array) -> None:
         """Appends the ids of a text; bytes that are no UTF-8 come as surrogate escapes."""
-        pieces, extend = self.pieces, out.extend
-        for piece in self.split.findall(text):
-            ids = pieces.get(piece)
-            if ids is None:
-                ids = self.transducer.encode(piece.encode("utf-8", "surrogateescape"))
-                if len(piece) <= 64:
-                    if len(pieces) >= MOST_WORDS:
-                        pieces.clear()
-                    pieces[piece] = ids
-            extend(ids)
+        parts, known = self.split.findall(text), self.pieces
+        got = list(map(known.get, parts))
+        if None in got:
+            for i, ids in enumerate(got):
+                if ids is None:
+                    got[i] = known.get(parts[i]) or self._new(parts[i])
+        out.extend(chain.from_iterable(got))
+
+    def _new(self, piece: str) -> tuple[int, ...]:
+        ids = self.transducer.encode(piece.encode("utf-8", "surrogateescape"))
+        if len(piece) <= SHORT:
+            if len(self.pieces) >= MOST_WORDS:
+                self.pieces.clear()
+            self.pieces[piece] = ids
+        return ids
 
 
 def stream_decode(ids: Iterable[int], bytes_of: dict[int, bytes]) -> Iterator[str]:
