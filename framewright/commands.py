@@ -119,22 +119,52 @@ def yolo_pixels(spark: SparkSession, s: config.Settings, src: str, img_path: str
     return convert.to_pixels(convert.yolo_boxes(convert.yolo_lines(texts).select("path", "line")), by_path, classes)
 
 
-def feature_matrix(spark: SparkSession, s: config.Settings, src: str, img_path: str, source_type: str = "voc") -> DataFrame:
-    """The feature matrix of a folder of annotations with the quality of their images, each image read once."""
+def feature_matrix(spark: SparkSession, s: config.Settings, src: str, img_path: str, source_type: str = "voc", only: DataFrame | None = None) -> DataFrame:
+    """The feature matrix of a folder of annotations with the quality of their images, each image read once.
+
+    only: (path) of the files to take, else all.
+    """
     if source_type == "yolo":
         docs = convert.voc_records(yolo_pixels(spark, s, src, img_path))
     else:
-        docs = voc.read(spark, _existing(src))
+        docs = voc.read(spark, _existing(src)).drop("mtime")
     docs = docs.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+    if only is not None:
+        docs = docs.join(only.select("path").distinct(), "path", "left_semi")
     found = features.voc_features(docs, margin=s.margin_threshold)
     quality = raster.image_features(scan.images(spark, _existing(img_path)), s.core_size).select(F.regexp_replace("path", "^file:/+", "/").alias("im_path"), "im_brightness", "im_contrast", "im_blur_score")
     lookup = features.image_lookup(quality.select(F.col("im_path").alias("path")), s.extensions).join(quality, "im_path")
     return features.with_image(found, lookup, "inner" if source_type == "yolo" else "left").drop("stem")
 
 
+def cached_matrix(spark: SparkSession, s: config.Settings, src: str, img_path: str, source_type: str = "voc") -> DataFrame:
+    """The feature matrix with mtime, of which only new and changed files are worked on; kept as the cache's next version."""
+    now = scan.listing(spark, _existing(src), (".txt",) if source_type == "yolo" else (".xml",)).select("path", "mtime")
+    folder = str(Path(s.cache_file_path) / cache.file_name(src, s.cache_name, format=source_type, margin=s.margin_threshold))
+    done = cache.versions(folder)
+    if not done:
+        whole = feature_matrix(spark, s, src, img_path, source_type).join(now, "path")
+    else:
+        stored = spark.read.parquet(str(done[-1]))
+        fresh = feature_matrix(spark, s, src, img_path, source_type, cache_merge.to_update(now, stored)).join(now, "path")
+        whole = cache_merge.combined(cache_merge.still_valid(stored, now), fresh)
+    target = cache.save(whole, folder)
+    return spark.read.parquet(str(target)) if target else whole
+
+
+def configure_logging(s: config.Settings, name: str) -> None:
+    """Log lines of a command to the console and to a file of its name below the log folder."""
+    Path(s.log_path).mkdir(parents=True, exist_ok=True)
+    log.handlers.clear()
+    for handler in (logging.StreamHandler(), logging.FileHandler(Path(s.log_path) / f"{name}.log")):
+        handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(name)s: %(message)s"))
+        log.addHandler(handler)
+    log.setLevel(s.log_level.upper())
+
+
 def stats(spark: SparkSession, s: config.Settings, src: str, img_path: str | None = None, source_type: str = "voc") -> str:
     """The text report; the marked and projected matrix and the charts' tables are written below the report folder."""
-    matrix = feature_matrix(spark, s, src, img_path or src, source_type)
+    matrix = cached_matrix(spark, s, src, img_path or src, source_type)
     marked = projection.projected(statistics.mark_outliers(matrix), projection.numeric_features(matrix))
     folder = scan.next_report_folder(s.report_path)
     marked.write.parquet(str(folder / "features"))
@@ -167,6 +197,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("-m", "--method")
         p.add_argument("--core_size", type=int)
         p.add_argument("--cache_name")
+        p.add_argument("--n_jobs", help="taken for compatibility; the session's cores decide")
         p.add_argument("--a_suffix", nargs="+")
         p.add_argument("--a_source")
         p.add_argument("--destination-type", dest="destination_type")
@@ -181,6 +212,7 @@ def run(spark: SparkSession, arguments: list[str], config_file: str = "config.js
     """One command line; with repeat again after sleep seconds until interrupted."""
     a = parser().parse_args(arguments)
     s = config.load(config_file, **vars(a))
+    configure_logging(s, a.command)
     kind = next((p for p in s.pattern if p in ("voc", "yolo")), "voc")
     actions = {
         "move": lambda: move(spark, s, a.src, a.dst, a.yes),
@@ -193,6 +225,7 @@ def run(spark: SparkSession, arguments: list[str], config_file: str = "config.js
     }
     while True:
         result = actions[a.command]()
+        log.info("%s of %s is done", a.command, a.src)
         if not s.repeat:
             return result
         log.info("sleeping %s seconds", s.sleep)

@@ -61,8 +61,9 @@ def text_report(df: DataFrame, target_format: str, schema: Sequence[dict] = REPO
 
 
 def chart_data(df: DataFrame) -> dict[str, DataFrame]:
-    """What each chart shows, as a table."""
-    return {
+    """What each chart shows, as a table; the manifold's too if the rows have been projected."""
+    charts = {"manifold": statistics.stratified_sample(df, "path").select("class_name", "proj_x", "proj_y")} if {"path", "proj_x"} <= set(df.columns) else {}
+    return charts | {
         "class_distribution": statistics.class_counts(df),
         "geometry": statistics.box_plot(df),
         "spatial_density": statistics.spatial_grid(df),

@@ -73,7 +73,8 @@ def spread(df: DataFrame) -> DataFrame:
     shuffle, and asking for their number would run it.
     """
     plan = df._jdf.queryExecution().sparkPlan().toString()
-    if not plan.count("FileScan") == 1 or re.search("Join|Aggregate|Window|Sort|Limit|Exchange|InMemory|Union|Generate|MapIn", plan):
+    steps = re.findall(r"^[\s:+*()\d-]*(\w+)", plan, re.M)
+    if steps.count("FileScan") != 1 or not set(steps) <= {"FileScan", "Filter", "Project"}:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

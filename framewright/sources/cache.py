@@ -24,7 +24,7 @@ def file_name(source: str, name: str | None = None, **parts: object) -> str:
 def versions(folder: str) -> list[Path]:
     """Finished versions of a cache, oldest first."""
     root = Path(folder)
-    done = [p for p in root.glob("v=*") if (p / "_SUCCESS").exists()] if root.is_dir() else []
+    done = [p for p in root.glob("v-*") if (p / "_SUCCESS").exists()] if root.is_dir() else []
     return sorted(done, key=lambda p: int(p.name[2:]))
 
 
@@ -45,6 +45,6 @@ def save(df: DataFrame, folder: str) -> Path | None:
     if df.isEmpty():
         return None
     last = versions(folder)
-    target = Path(folder) / f"v={int(last[-1].name[2:]) + 1 if last else 1}"
+    target = Path(folder) / f"v-{int(last[-1].name[2:]) + 1 if last else 1}"
     df.write.mode("overwrite").option("compression", "snappy").parquet(str(target))
     return target

@@ -1,8 +1,9 @@
-"""Settings: defaults, then a JSON file, then what a caller gives."""
+"""Settings: defaults, then the environment, then a JSON file, then what a caller gives."""
 
 from __future__ import annotations
 
 import json
+import os
 from dataclasses import dataclass, fields, replace
 from pathlib import Path
 
@@ -62,10 +63,24 @@ class Settings:
         return replace(self, **{k: tuple(v) if isinstance(v, list) else v for k, v in given.items() if k in names and v is not None})
 
 
+def _environment() -> dict:
+    """Settings from variables APP_<NAME>; lists and numbers are written as JSON, texts plainly."""
+    out = {}
+    for f in fields(Settings):
+        text = os.environ.get(f"APP_{f.name.upper()}")
+        if text is not None:
+            try:
+                value = json.loads(text)
+            except ValueError:
+                value = text
+            out[f.name] = text if f.default is None or isinstance(f.default, str) else value
+    return out
+
+
 def load(path: str = "config.json", **given) -> Settings:
-    """Settings of a file, if it is there and is JSON, under those given."""
+    """Defaults, under the environment, under a file if it is there and is JSON, under what is given."""
     try:
         stored = json.loads(Path(path).read_text())
     except (OSError, ValueError):
         stored = {}
-    return Settings().merged(stored if isinstance(stored, dict) else {}).merged(given)
+    return Settings().merged(_environment()).merged(stored if isinstance(stored, dict) else {}).merged(given)

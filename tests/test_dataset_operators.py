@@ -1,12 +1,16 @@
 """The dataset operators on small literal inputs."""
 
+import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framewright import registry, report
+from framewright import registry, report, session
 from framewright.functions import geometry, paths, raster
 from framewright.operators import cache_merge, convert, dedup, features, frames, greedy, hamming, projection, quantiles, statistics
 from framewright.session import checkpointed
@@ -293,5 +297,27 @@ def test_registry():
         registry.lookup("duplicates", "phash")
 
 
+def test_spread(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    wide = session.spread(one.filter("id < 50"))
+    assert wide.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and wide.count() == 50
+    joined = one.join(one, "id")
+    assert session.spread(joined) is joined
+
+
+def test_package_reaches_workers():
+    code = """
+import os, sys
+sys.path.insert(0, {root!r})
+from framewright.session import local_session
+from framewright.operators import hamming
+spark = local_session(cores="2", memory="1g")
+df = spark.createDataFrame([(1, [True] * 64)], "i long, h array<boolean>")
+assert hamming.packed(df, "i", "h", 64).count() == 1
+""".format(root=str(Path(__file__).resolve().parents[1]))
+    subprocess.run([sys.executable, "-c", code], cwd="/", check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
 def test_checkpoint_uses_configured_folder(spark):
     assert checkpointed(spark.range(3)).count() == 3 and spark.sparkContext.getCheckpointDir()

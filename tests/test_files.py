@@ -162,7 +162,28 @@ def test_settings(tmp_path):
             config.load(str(path), **bad)
 
 
-def test_command_line(spark, tmp_path):
+def test_feature_cache(spark, dataset):
+    s = settings(dataset)
+    first = commands.cached_matrix(spark, s, str(dataset), str(dataset))
+    assert first.count() == 4 and "mtime" in first.columns
+    (dataset / "a.xml").write_text(XML.format("a", OBJECT.format("van", 1, 1, 9, 9) * 3))
+    (dataset / "c.xml").unlink()
+    again = commands.cached_matrix(spark, s, str(dataset), str(dataset))
+    assert sorted((Path(r["path"]).name, r["class_name"]) for r in again.collect()) == [("a.xml", "van")] * 3 + [("b.xml", "car"), ("b.xml", "dog")]
+
+
+def test_environment_and_log(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("APP_CORE_SIZE", "32")
+    monkeypatch.setenv("APP_EXTENSIONS", '[".bmp"]')
+    monkeypatch.setenv("APP_LOG_PATH", str(tmp_path / "log"))
+    s = config.load(str(tmp_path / "none.json"), core_size=16)
+    assert (s.core_size, s.extensions) == (16, (".bmp",)) and config.load(str(tmp_path / "none.json")).core_size == 32
+    commands.run(spark, ["move", str(tmp_path), "-p", ".none", "--dst", str(tmp_path / "d")], str(tmp_path / "none.json"))
+    assert "is done" in (tmp_path / "log" / "move.log").read_text()
+
+
+def test_command_line(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("APP_LOG_PATH", str(tmp_path / "log"))
     (tmp_path / "a.jpg").write_text("x")
     plan = commands.run(spark, ["delete", str(tmp_path), "-p", ".jpg"], str(tmp_path / "none.json"))
     assert plan.count() == 1 and (tmp_path / "a.jpg").exists()
