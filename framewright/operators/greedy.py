@@ -6,37 +6,68 @@ closure of nearness: of a chain a-b-c with a, c apart, a and c stay.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.session import checkpointed
+from framewright.session import checkpointed, mapped
 
+#: Edges (two numbers each) that one task may settle; more are settled by rounds over the cluster.
+FEW = 100_000
 #: Rounds decide at least the first item of every chain; this many would mean a bug.
 MOST_ROUNDS = 10_000
 
 
-def dropped(edges: DataFrame) -> DataFrame:
-    """(id): items dropped by the elimination. edges: (lo, hi), lo being earlier in the order.
+def settled(edges: list[tuple[int, int]]) -> set[int]:
+    """The dropped items of a graph in memory, items being decided once all their earlier neighbours are."""
+    earlier: dict[int, list[int]] = {}
+    later: dict[int, list[int]] = {}
+    for lo, hi in edges:
+        earlier.setdefault(hi, []).append(lo)
+        later.setdefault(lo, []).append(hi)
+    waiting = {hi: len(los) for hi, los in earlier.items()}
+    ready, gone = [x for x in later if x not in earlier], set()
+    while ready:
+        x = ready.pop()
+        if any(lo not in gone for lo in earlier.get(x, ())):
+            gone.add(x)
+        for hi in later.get(x, ()):
+            waiting[hi] -= 1
+            if not waiting[hi]:
+                ready.append(hi)
+    return gone
+
+
+def _in_one_task(left: DataFrame) -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = [e for b in batches for e in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(settled(edges)), pa.int64())], names=["id"])
+
+    return mapped(left.select("lo", "hi").repartition(1), run, "id bigint")
+
+
+def dropped(edges: DataFrame, few: int | None = None) -> DataFrame:
+    """(id): items dropped by the elimination. edges: (lo, hi), lo being earlier in the order, without cycles.
 
     Each round keeps the items without an earlier neighbour left, drops their
     later neighbours and takes both out. Items in no edge are kept. What is
     left of the edges is checkpointed in each round, so a lost executor costs
-    that round only; what a round dropped follows from its checkpoint.
+    that round only; what a round dropped follows from its checkpoint. Once
+    no more than few edges are left, one task settles them.
     """
-    left = checkpointed(edges.select("lo", "hi").distinct())
-    gone = None
+    few = FEW if few is None else few
+    left, gone = checkpointed(edges.select("lo", "hi").distinct()), None
     for _ in range(MOST_ROUNDS):
-        if left.isEmpty():
-            break
+        n = left.count()
+        if n <= few:
+            rest = _in_one_task(left) if n else left.select(F.col("hi").alias("id"))
+            return rest if gone is None else gone.unionByName(rest)
         later = left.select(F.col("hi").alias("lo")).distinct()
         firsts = left.join(later, "lo", "left_anti")
         out = firsts.select(F.col("hi").alias("id")).distinct()
         gone = out if gone is None else gone.unionByName(out)
-        kept = firsts.select(F.col("lo").alias("id")).distinct()
-        settled = out.unionByName(kept)
-        left = checkpointed(
-            left.join(settled.withColumnRenamed("id", "lo"), "lo", "left_anti").join(out.withColumnRenamed("id", "hi"), "hi", "left_anti")
-        )
-    else:
-        raise RuntimeError("the elimination did not end")
-    return gone if gone is not None else edges.select(F.col("hi").alias("id")).limit(0)
+        done = out.unionByName(firsts.select(F.col("lo").alias("id")).distinct())
+        left = checkpointed(left.join(done.withColumnRenamed("id", "lo"), "lo", "left_anti").join(out.withColumnRenamed("id", "hi"), "hi", "left_anti"))
+    raise RuntimeError("the elimination did not end")

@@ -256,8 +256,10 @@ def test_greedy_rounds(spark):
         for hi in range(n):
             if any(b == hi and a not in gone for a, b in edges):
                 gone.add(hi)
-        got = greedy.dropped(spark.createDataFrame(edges, "lo long, hi long"))
-        assert sorted(x[0] for x in got.collect()) == sorted(gone)
+        for few in (0, 12, 1000):
+            got = greedy.dropped(spark.createDataFrame(edges, "lo long, hi long"), few)
+            assert sorted(x[0] for x in got.collect()) == sorted(gone)
+    assert greedy.dropped(spark.createDataFrame([], "lo long, hi long")).count() == 0
 
 
 def test_frames(spark):
