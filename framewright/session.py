@@ -50,7 +50,12 @@ def ship(spark: SparkSession) -> None:
         return
     known = [Path(p or ".").resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]]
     if not (sc.master.startswith("local[") and root in known):
-        here = tempfile.mkdtemp(prefix="framewright")  # on the driver, which serves it to the executors
+        shared = None if sc.master.startswith("local[") else shared_folder(spark).removeprefix("file://")
+        if shared and "://" in shared:  # no path of the driver's: it serves the archive to the executors
+            shared = None
+        if shared:
+            os.makedirs(shared, exist_ok=True)
+        here = tempfile.mkdtemp(prefix="framewright", dir=shared)
         atexit.register(shutil.rmtree, here, ignore_errors=True)
         archive = Path(here) / "framewright.zip"
         with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
