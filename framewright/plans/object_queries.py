@@ -174,7 +174,9 @@ def box_neighbors(spark, d):
     return _voc(spark, d).select("ann_id", "im_width", "im_height", "im_depth", "objects_count", "has_neighbors")
 
 
-@query()
+@query(_VOC + f"""SELECT * FROM (SELECT ann_id, CASE WHEN NOT (coalesce({_INT('size.width')}, 0) > 0 AND coalesce({_INT('size.height')}, 0) > 0) THEN 'size'
+WHEN len(list_filter(coalesce(object, []), lambda x: x IS NOT NULL)) = 0 THEN 'empty' WHEN ann_id IN (SELECT ann_id FROM f WHERE NOT whole) THEN 'box' END AS reason FROM voc_docs)
+WHERE reason IS NOT NULL""")
 def voc_broken(spark, d):
     """Records left out of the feature matrix, with the reason."""
     return features.broken_files(table(spark, d, "voc_docs"), keep=("ann_id",))
