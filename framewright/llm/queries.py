@@ -79,6 +79,12 @@ def _runs(key: str, source: str) -> str:
 SELECT {key}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {key}, {_WORDS} AS w FROM {source} WHERE text IS NOT NULL))"""
 
 
+_SPANS = """WITH w AS (SELECT doc_id, i, substr(text, i + 1, 200) AS s FROM (SELECT doc_id, text, unnest(range(0, length(text) - 199)) AS i FROM documents WHERE length(text) >= 200)),
+hit AS (SELECT doc_id, i FROM w WHERE s IN (SELECT s FROM w GROUP BY s HAVING count(DISTINCT doc_id) > 1)),
+runs AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
+  SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM hit))
+SELECT doc_id, min(i)::BIGINT AS span_start, max(i)::BIGINT + 200 AS span_end FROM runs GROUP BY doc_id, run"""
+
 SQL = {
     "p3_bounds_hold": " UNION ALL ".join(
         f"""SELECT class_name, '{m}' AS feature, q AS quantile, count(*) AS n, true AS ok
@@ -94,10 +100,8 @@ UNION ALL SELECT w.n + 1, CASE WHEN hit IS NULL THEN list_append(w.kept, {{'id':
 FROM walk w JOIN c ON c.n = w.n + 1, LATERAL (SELECT list_min(list_transform(list_filter(w.kept, lambda k: k.cache IS NOT DISTINCT FROM c.cache_name AND bit_count(xor(k.code, c.code)) <= {HASH_MOST}), lambda k: k.id)) AS hit))
 SELECT kept_id, dup_id FROM walk WHERE kept_id IS NOT NULL""",
     "p9_found": f"""SELECT DISTINCT doc_id, item_id FROM ({_runs('doc_id', 'documents')}) JOIN ({_runs('item_id', 'eval_items')}) USING (run)""",
-    "p10_found": """WITH w AS (SELECT doc_id, i, substr(text, i + 1, 200) AS s FROM (SELECT doc_id, text, unnest(range(0, length(text) - 199)) AS i FROM documents WHERE length(text) >= 200)),
-hit AS (SELECT doc_id, i FROM w WHERE s IN (SELECT s FROM w GROUP BY s HAVING count(DISTINCT doc_id) > 1)),
-runs AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
-  SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM hit))
-SELECT doc_id, min(i)::BIGINT AS span_start, max(i)::BIGINT + 200 AS span_end FROM runs GROUP BY doc_id, run""",
+    "p10_found": _SPANS,
+    "p10_share": f"""SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS shared_chars, coalesce(c.n, 0) / nullif(length(d.text), 0) AS share
+FROM documents d LEFT JOIN (SELECT doc_id, sum(span_end - span_start) AS n FROM ({_SPANS}) GROUP BY doc_id) c USING (doc_id)""",
     "p8_roundtrip": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
 }
