@@ -51,12 +51,12 @@ def box_features(xmin: Column, ymin: Column, xmax: Column, ymax: Column, width:
 
 
 def corners(xc: Column, yc: Column, w: Column, h: Column, width: Column, height: Column) -> dict[str, Column]:
-    """Corners in pixels of a centred box in parts of the image; halves go to the even number."""
+    """Corners in pixels of a centred box in parts of the image; halves go to the even number, what no int holds is null."""
     return {
-        "xmin": F.rint((xc - w / 2) * width).cast("int"),
-        "ymin": F.rint((yc - h / 2) * height).cast("int"),
-        "xmax": F.rint((xc + w / 2) * width).cast("int"),
-        "ymax": F.rint((yc + h / 2) * height).cast("int"),
+        "xmin": F.rint((xc - w / 2) * width).try_cast("int"),
+        "ymin": F.rint((yc - h / 2) * height).try_cast("int"),
+        "xmax": F.rint((xc + w / 2) * width).try_cast("int"),
+        "ymax": F.rint((yc + h / 2) * height).try_cast("int"),
     }
 
 

@@ -16,11 +16,16 @@ def yolo_lines(texts: DataFrame) -> DataFrame:
     return lines.groupBy("path", "line").agg(F.max("no").alias("line_no"), F.min("no").alias("first_no"))
 
 
+#: A class and four numbers; texts such as "nan" and "1d", which a cast reads too, are none.
+_FIELDS = r"^[^ \t]+([ \t]+[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?){4}\z"
+
+
 def yolo_boxes(lines: DataFrame, *, keep: tuple[str, ...] = ("path",)) -> DataFrame:
-    """(keep, class_id, x_center, y_center, width, height) of YOLO lines; a line with other than five fields or no numbers is left out."""
-    f = F.split(F.regexp_replace("line", r"^\s+|\s+$", ""), r"[ \t]+")
-    out = lines.filter(F.size(f) == 5).select(*keep, f[0].alias("class_id"), *[f[i + 1].try_cast("double").alias(c) for i, c in enumerate(("x_center", "y_center", "width", "height"))])
-    return out.filter("x_center IS NOT NULL AND y_center IS NOT NULL AND width IS NOT NULL AND height IS NOT NULL")
+    """(keep, class_id, x_center, y_center, width, height) of YOLO lines; a line with other than five fields or no finite numbers is left out."""
+    text = F.regexp_replace("line", r"^\s+|\s+$", "")
+    f = F.split(text, r"[ \t]+")
+    out = lines.filter(text.rlike(_FIELDS)).select(*keep, f[0].alias("class_id"), *[f[i + 1].try_cast("double").alias(c) for i, c in enumerate(("x_center", "y_center", "width", "height"))])
+    return out.filter(" AND ".join(f"abs({c}) < double('infinity')" for c in ("x_center", "y_center", "width", "height")))
 
 
 def to_pixels(boxes: DataFrame, sizes: DataFrame, classes: DataFrame) -> DataFrame:
@@ -28,10 +33,12 @@ def to_pixels(boxes: DataFrame, sizes: DataFrame, classes: DataFrame) -> DataFra
 
     sizes: (path, im_width, im_height) by the box's path, inner: without an
     image nothing can be converted. Adds the class name and the VOC truncated flag.
+    A box with a corner beyond the whole numbers of 32 bits is left out.
     """
     joined = named_classes(boxes.join(sizes, "path"), classes)
     w, h = F.col("im_width"), F.col("im_height")
     made = joined.withColumns({f"_{k}": c for k, c in geometry.corners(F.col("x_center"), F.col("y_center"), F.col("width"), F.col("height"), w, h).items()})
+    made = made.filter("_xmin IS NOT NULL AND _ymin IS NOT NULL AND _xmax IS NOT NULL AND _ymax IS NOT NULL")
     xy = [F.col(f"_{c}") for c in ("xmin", "ymin", "xmax", "ymax")]
     return made.select("path", "class_name", "im_width", "im_height", *[c.alias(k) for c, k in zip(xy, ("xmin", "ymin", "xmax", "ymax"))], geometry.touches_border(*xy, w, h).alias("truncated"))
 

@@ -116,8 +116,8 @@ def class_fallback(spark, d):
 SELECT line_id, regexp_extract(line, '{_PLAIN}', ['id', 'x', 'y', 'w', 'h']) AS m FROM yolo_raw WHERE regexp_matches(line, '{_PLAIN}'))
 WHERE TRY_CAST(m.x AS DOUBLE) IS NOT NULL AND TRY_CAST(m.y AS DOUBLE) IS NOT NULL AND TRY_CAST(m.w AS DOUBLE) IS NOT NULL AND TRY_CAST(m.h AS DOUBLE) IS NOT NULL""")
 def yolo_parse(spark, d):
-    """Fields of the plain lines."""
-    return convert.yolo_boxes(table(spark, d, "yolo_raw").filter(F.col("line").rlike(_PLAIN)), keep=("line_id",))
+    """Fields of all lines that the operator reads; the SQL covers the plain ones alone."""
+    return convert.yolo_boxes(table(spark, d, "yolo_raw"), keep=("line_id",))
 
 
 @query()
@@ -225,9 +225,9 @@ c AS (SELECT line_id, coalesce(class_name, 'object_' || id) AS class_name, round
 
 @query(_PIX + "SELECT line_id, class_name, xmin, ymin, xmax, ymax, (xmin <= 0 OR ymin <= 0 OR xmax >= 640 OR ymax >= 480)::INT AS truncated FROM c")
 def yolo_to_pixels(spark, d):
-    """Plain lines in pixels of 640 x 480 images."""
-    lines = table(spark, d, "yolo_raw").filter(F.col("line").rlike(_PLAIN)).select(F.col("line_id").cast("string").alias("path"), "line")
-    boxes = convert.yolo_boxes(lines).filter("x_center <= 1 AND y_center <= 1 AND width <= 1 AND height <= 1")
+    """Boxes of all lines in pixels of 640 x 480 images; the SQL covers plain lines up to 1 alone."""
+    lines = table(spark, d, "yolo_raw").select(F.col("line_id").cast("string").alias("path"), "line")
+    boxes = convert.yolo_boxes(lines)
     sizes = lines.select("path", F.lit(640).alias("im_width"), F.lit(480).alias("im_height"))
     return convert.to_pixels(boxes, sizes, table(spark, d, "class_list")).select(F.col("path").cast("bigint").alias("line_id"), "class_name", "xmin", "ymin", "xmax", "ymax", "truncated")
 

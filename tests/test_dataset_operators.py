@@ -2,20 +2,24 @@
 
 import os
 import random
+import re
 import subprocess
 import sys
 from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from framewright import registry, report, session
 from framewright.functions import geometry, paths, raster
 from framewright.operators import cache_merge, convert, dedup, features, frames, greedy, hamming, projection, quantiles, statistics
+from framewright.plans import object_queries
 from framewright.session import checkpointed
 from framewright.sources import voc
 
+SMALL = "/root/testdata/sf0.001"
 OBJ = "array<struct<name:string,bndbox:struct<xmin:string,ymin:string,xmax:string,ymax:string>>>"
 DOC = f"path string, size struct<width:string,height:string,depth:string>, object {OBJ}, class_name int"
 
@@ -323,3 +327,33 @@ assert hamming.packed(df, "i", "h", 64).count() == 1
 
 def test_checkpoint_uses_configured_folder(spark):
     assert checkpointed(spark.range(3)).count() == 3 and spark.sparkContext.getCheckpointDir()
+
+
+def yolo_by_hand(folder):
+    """(line_id, class id, four numbers) of a table's lines, without Spark."""
+    number = re.compile(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?")
+    for r in pq.read_table(f"{folder}/yolo_raw.parquet", columns=["line_id", "line"]).to_pylist():
+        f = re.split(r"[ \t]+", (r["line"] or "").strip(" \t\n\x0b\f\r"))
+        if len(f) == 5 and all(number.fullmatch(x) for x in f[1:]):
+            yield r["line_id"], f[0], *map(float, f[1:])
+
+
+def test_yolo_queries_read_every_line(spark):
+    want = list(yolo_by_hand(SMALL))
+    assert len(want) > 380
+    assert sorted(tuple(r) for r in object_queries.yolo_parse(spark, SMALL).collect()) == sorted(want)
+    names = {r["class_id"]: r["class_name"] for r in pq.read_table(f"{SMALL}/class_list.parquet").to_pylist()}
+    boxes = []
+    for i, c, x, y, w, h in want:
+        x0, y0, x1, y1 = (round(v) for v in ((x - w / 2) * 640, (y - h / 2) * 480, (x + w / 2) * 640, (y + h / 2) * 480))
+        boxes.append((i, names.get(c, f"object_{c}"), x0, y0, x1, y1, int(x0 <= 0 or y0 <= 0 or x1 >= 640 or y1 >= 480)))
+    assert sorted(tuple(r) for r in object_queries.yolo_to_pixels(spark, SMALL).collect()) == sorted(boxes)
+
+
+def test_yolo_numbers(spark):
+    lines = [("a", "\tvan  +.5 5e-1\t0.2 2.e-1 \r"), ("b", "0 nan .5 .1 .1"), ("c", "0 .5 .5 inf .1"), ("d", "0 .5d .5 .1 .1"), ("e", "0 1e999 .5 .1 .1"), ("f", "0 -1e300 .5 .1 .1"), ("g", None)]
+    boxes = convert.yolo_boxes(spark.createDataFrame(lines, "path string, line string"))
+    assert sorted(tuple(r) for r in boxes.collect()) == [("a", "van", 0.5, 0.5, 0.2, 0.2), ("f", "0", -1e300, 0.5, 0.1, 0.1)]
+    sizes = spark.createDataFrame([(p, 100, 100) for p, _ in lines], "path string, im_width int, im_height int")
+    pixels = convert.to_pixels(boxes, sizes, spark.createDataFrame([("0", "car")], "class_id string, class_name string"))
+    assert [r["path"] for r in pixels.collect()] == ["a"]
