@@ -461,10 +461,10 @@ def pca_projection(spark, d):
 
 @query()
 def manifold_sample(spark, d):
-    """What the manifold chart shows: a stratified sample in the two main axes."""
+    """What the manifold chart shows: a stratified sample of the table in its two main axes."""
     df = _stats(spark, d)
-    sample = statistics.stratified_sample(df, "row_id")
-    return projection.projected(sample, projection.numeric_features(df)).select("row_id", "class_name", "proj_x", "proj_y")
+    placed = projection.projected(df, projection.numeric_features(df)).select("row_id", "class_name", "proj_x", "proj_y")
+    return statistics.stratified_sample(placed, "row_id")
 
 
 @query()

@@ -357,3 +357,13 @@ def test_yolo_numbers(spark):
     sizes = spark.createDataFrame([(p, 100, 100) for p, _ in lines], "path string, im_width int, im_height int")
     pixels = convert.to_pixels(boxes, sizes, spark.createDataFrame([("0", "car")], "class_id string, class_name string"))
     assert [r["path"] for r in pixels.collect()] == ["a"]
+
+
+def test_manifold_sample_is_placed_by_the_whole_table(spark, tmp_path):
+    r = np.random.default_rng(5)
+    rows = [(i, "often", float(a), float(a + b)) for i, (a, b) in enumerate(r.normal(size=(2_300, 2)))] + [(5_000 + i, "seldom", 40.0 + i, float(-i)) for i in range(20)]
+    spark.createDataFrame(rows, "row_id long, class_name string, u double, v double").write.parquet(str(tmp_path / "object_stats.parquet"))
+    whole = {x["row_id"]: (x["proj_x"], x["proj_y"]) for x in object_queries.pca_projection(spark, str(tmp_path)).collect()}
+    sample = object_queries.manifold_sample(spark, str(tmp_path)).collect()
+    assert len(sample) == 2_020
+    assert all((x["proj_x"], x["proj_y"]) == pytest.approx(whole[x["row_id"]], abs=1e-9) for x in sample)
