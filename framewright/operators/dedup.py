@@ -13,8 +13,14 @@ def _codes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("code").agg(F.min("id").alias("id"))
 
 
+def members(df: DataFrame, *, bits: int, id_col: str = "hash_id", hash_col: str = "hash") -> DataFrame:
+    """(id_col, representative): every row with a usable hash and the smallest id of that hash, by which near_pairs names it."""
+    rows = hamming.packed(df, id_col, hash_col, bits)
+    return rows.join(_codes(rows).withColumnRenamed("id", "representative"), "code").select(F.col("id").alias(id_col), "representative")
+
+
 def near_pairs(df: DataFrame, *, bits: int, most: int, id_col: str = "hash_id", hash_col: str = "hash") -> DataFrame:
-    """(id_a, id_b, distance): pairs of different hashes at most most bits apart, once each, by the smallest id of each hash."""
+    """(id_a, id_b, distance): pairs of different hashes at most most bits apart, once each, by the smallest id of each hash; members() gives the rows that stand behind it."""
     codes = _codes(hamming.packed(df, id_col, hash_col, bits))
     flagged = codes.select(F.lit(0).cast("bigint").alias("part"), "id", "code", F.lit(True).alias("flag"))
     return hamming.near_pairs(flagged, bits=bits, most=most).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), F.col("d").alias("distance"))

@@ -517,9 +517,17 @@ SELECT id, unnest(hash) AS b, unnest(range(0, 256)) AS i FROM (SELECT hash, min(
 
 @query(f"SELECT a.id AS id_a, b.id AS id_b, bit_count(xor(a.h, b.h))::INT AS distance FROM ({_CODES}) a JOIN ({_CODES}) b ON a.id < b.id AND bit_count(xor(a.h, b.h)) <= 25")
 def hamming_pairs(spark, d):
+    """Pairs of different hashes by their representatives; hamming_members has the rows of each."""
     return dedup.near_pairs(table(spark, d, "image_hashes"), bits=256, most=25)
 
 
+@query("""SELECT hash_id, min(hash_id) OVER (PARTITION BY hash) AS representative FROM image_hashes
+WHERE hash_id IS NOT NULL AND len(hash) = 256 AND len(list_filter(hash, lambda b: b IS NULL)) = 0""")
+def hamming_members(spark, d):
+    """Every usable row with the representative of its hash: rows of one stand 0 bits apart and share its pairs."""
+    return dedup.members(table(spark, d, "image_hashes"), bits=256)
+
+
 @query(f"""WITH RECURSIVE c AS (SELECT id, h, row_number() OVER (ORDER BY id) AS n FROM ({_CODES})),
 walk AS (SELECT 0::BIGINT AS n, []::STRUCT(id BIGINT, h BIT)[] AS kept
 UNION ALL SELECT w.n + 1, CASE WHEN len(list_filter(w.kept, lambda b: bit_count(xor(b.h, c.h)) <= 25)) > 0 THEN w.kept ELSE list_append(w.kept, {{'id': c.id, 'h': c.h}}) END

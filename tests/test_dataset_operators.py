@@ -367,3 +367,16 @@ def test_manifold_sample_is_placed_by_the_whole_table(spark, tmp_path):
     sample = object_queries.manifold_sample(spark, str(tmp_path)).collect()
     assert len(sample) == 2_020
     assert all((x["proj_x"], x["proj_y"]) == pytest.approx(whole[x["row_id"]], abs=1e-9) for x in sample)
+
+
+def test_pairs_and_members_name_every_row(spark):
+    r = np.random.default_rng(6)
+    centres = r.integers(0, 2, (5, 64)).astype(bool)
+    rows = [(c ^ (r.random(64) < p)).tolist() for c in centres for p in (0, 0, 0.05, 0, 0.05)] + [None, [True] * 32, [None] * 64]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)] + [(None, rows[0])], "hash_id long, hash array<boolean>")
+    usable = {i: np.array(x) for i, x in enumerate(rows[:25])}
+    members = [tuple(x) for x in dedup.members(df, bits=64).collect()]
+    assert sorted(members) == [(i, min(k for k, y in usable.items() if (x == y).all())) for i, x in usable.items()]
+    of, near = dict(members), {(a, b): d for a, b, d in map(tuple, dedup.near_pairs(df, bits=64, most=9).collect())}
+    got = {(a, b): 0 if of[a] == of[b] else near.get(tuple(sorted((of[a], of[b])))) for a in usable for b in usable if a < b}
+    assert {k: d for k, d in got.items() if d is not None} == {(a, b): d for a in usable for b in usable if a < b and (d := int((usable[a] != usable[b]).sum())) <= 9}
