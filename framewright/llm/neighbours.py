@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.operators import hamming
-from framewright.session import mapped
+from framewright.session import checkpointed, mapped
+
+#: Queries ranked against all rows in one pass, and at once within it.
+QUERY_BLOCK, QUERY_STEP = 1_024, 256
 
 
 def _first_rows(rows: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:
@@ -125,11 +130,12 @@ def _usable(df: DataFrame, id_col: str, vector_col: str, size: int) -> DataFrame
 def fitted_width(vectors: DataFrame, size: int, k: int, sample: int = 2_000) -> float:
     """A slot width from the distances within a sample of at most sample rows (the rows of least digest): 1.3 times the median distance to the k-th nearest.
 
+    Copies of a vector count as one, so that many of them do not make it 0.
     The width only sets how many candidates are met; every row is indexed.
     """
     rows = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
-    x = _matrix(rows["v"].combine_chunks(), size)
-    if len(x) < 3:
+    x = np.unique(_matrix(rows["v"].combine_chunks(), size), axis=0)
+    if len(x) < 2:
         return 1.0
     squares = (x * x).sum(1)
     apart = np.sqrt(np.maximum(squares[:, None] + squares[None] - 2 * x @ x.T, 0))
@@ -137,6 +143,39 @@ def fitted_width(vectors: DataFrame, size: int, k: int, sample: int = 2_000) ->
     return max(float(np.median(near)) * 1.3, 1e-9)
 
 
+def _nearest_of_block(vectors: DataFrame, ids: np.ndarray, w: np.ndarray, k: int) -> DataFrame:
+    """(q, id, d): at least the k nearest rows of each of some queries, by their distances to all rows."""
+    size = w.shape[1]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, rows = _matrix(batch.column(1), size), batch.column(0).to_numpy()
+            squares = (x * x).sum(1)
+            for at in range(0, len(ids), QUERY_STEP):
+                q, v = ids[at : at + QUERY_STEP], w[at : at + QUERY_STEP]
+                same = q[:, None] == rows[None]
+                own = (v * v).sum(1)[:, None]
+                about = np.where(same, np.inf, own + squares[None] - 2 * v @ x.T)
+                # rounding of these squares must not decide: what is as near as the k-th but for it is measured
+                limit = np.partition(about, min(k, len(x)) - 1, 1)[:, min(k, len(x)) - 1, None] + 1e-9 * (own + squares.max())
+                n, m = np.nonzero(~(about > limit) & ~same)
+                first = []
+                for i, found in enumerate(np.split(m, np.searchsorted(n, np.arange(1, len(q))))):
+                    d = np.sqrt(((x[found] - v[i]) ** 2).sum(1))
+                    best = np.lexsort((rows[found], d))[:k]
+                    first.append((np.full(len(best), q[i]), rows[found][best], d[best]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*first)], names=["q", "id", "d"])
+
+    return mapped(vectors, run, "q bigint, id bigint, d double")
+
+
+def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of queries, a block at a time."""
+    rows = queries.select("id", "v").toLocalIterator()
+    while block := list(islice(rows, QUERY_BLOCK)):
+        yield np.array([r["id"] for r in block], np.int64), np.array([r["v"] for r in block], np.float64).reshape(-1, size)
+
+
 def nearest_vectors(
     df: DataFrame, *, size: int, k: int, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, tables: int = 12, projections: int = 6, probes: int = 60, width: float | None = None
 ) -> DataFrame:
@@ -146,7 +185,8 @@ def nearest_vectors(
     tables; a query looks into its own bucket of each and into those whose
     slots it nearly fell in, likeliest first; the rows met in any table are
     ranked by their exact Euclidean distance (ties: smaller id). More tables
-    or probes find more. Vectors that are null, of another size or with
+    or probes find more. Queries that met fewer than k rows are ranked against
+    all rows, a block of queries at a time. Vectors that are null, of another size or with
     unknown or infinite numbers are left out.
     """
     vectors = _usable(df, id_col, vector_col, size)
@@ -177,4 +217,11 @@ def nearest_vectors(
     pairs = met.join(vectors, "id").join(queries.select(F.col("id").alias("q"), F.col("v").alias("w")), "q").select("q", "id", "v", "w")
     ranked = mapped(pairs, measured, "q bigint, id bigint, d double")
     w = Window.partitionBy("q").orderBy("d", "id")
-    return ranked.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select(F.col("q").alias(id_col), F.col("id").alias("neighbour"), F.col("d").alias("distance"), "place")
+    placed = lambda rows: rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+    found = checkpointed(placed(ranked))
+    full = found.filter(F.col("place") == k).select(F.col("q").alias("id"))
+    short = checkpointed(queries.join(full, "id", "left_anti"))
+    exact = [_nearest_of_block(vectors, ids, v, k) for ids, v in _blocks(short, size)]
+    if exact:
+        found = found.join(full.withColumnRenamed("id", "q"), "q", "left_semi").unionByName(placed(reduce(DataFrame.unionByName, exact)))
+    return found.select(F.col("q").alias(id_col), F.col("id").alias("neighbour"), F.col("d").alias("distance"), "place")

@@ -114,3 +114,31 @@ def test_perturbations_ascend():
         sets = neighbours._perturbations(k, 50)
         assert sets[0] == () and sets[1] == (0,) and len(set(sets)) == len(sets)
         assert all(2 * k - 1 - p not in s for s in sets for p in s)
+
+
+def nearest_by_hand(x, q, k):
+    d = np.sqrt(((x - x[q]) ** 2).sum(1))
+    return [int(i) for i in np.lexsort((np.arange(len(x)), d)) if i != q][:k]
+
+
+def test_vectors_with_many_copies(spark):
+    r = np.random.default_rng(12)
+    x = r.normal(size=(1_500, 16))
+    x[np.arange(1_500) % 5 < 3] = r.normal(size=(3, 16))[np.arange(900) % 3]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for row in neighbours.nearest_vectors(df, size=16, k=10, every=7).orderBy("place").collect():
+        found.setdefault(row["vec_id"], []).append(row["neighbour"])
+    lone = [q for q in range(0, 1_500, 7) if q % 5 > 2]
+    assert np.mean([len(set(found.get(q, [])) & set(nearest_by_hand(x, q, 10))) / 10 for q in lone]) >= 0.9
+
+
+def test_vectors_that_met_too_few_are_ranked_against_all(spark):
+    x = np.random.default_rng(13).normal(size=(700, 8)).round(1)
+    x[::90] += 1e6
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for row in neighbours.nearest_vectors(df, size=8, k=4, every=3, width=1e-9).orderBy("place").collect():
+        found.setdefault(row["vec_id"], []).append(row["neighbour"])
+    assert found == {q: nearest_by_hand(x, q, 4) for q in range(0, 700, 3)}
+    assert neighbours.nearest_vectors(df.limit(0), size=8, k=4).count() == 0
