@@ -441,14 +441,18 @@ _FILLED = {f: f"coalesce({_known(f)}, 0)" for f in _Z}
 
 @query(f"SELECT row_id, {', '.join(f'round(({_FILLED[f]} - (SELECT avg({_FILLED[f]}) FROM object_stats)) / (SELECT stddev_pop({_FILLED[f]}) FROM object_stats), 5) + 0.0 AS {f}_z' for f in _Z)} FROM object_stats")
 def standardize(spark, d):
-    z = projection.standardised(_stats(spark, d).select("row_id", *_Z), _Z)
-    return z.select("row_id", *[(F.round(f"{f}_z", 5) + 0.0).alias(f"{f}_z") for f in _Z])
+    """All numeric features that vary; the SQL covers four of them alone."""
+    df = _stats(spark, d)
+    features = projection.numeric_features(df)
+    z = projection.standardised(df.select("row_id", *features), features)
+    return z.select("row_id", *[(F.round(c, 5) + 0.0).alias(c) for c in z.columns if c not in ("row_id", *features)])
 
 
 @query(" UNION ALL ".join(f"SELECT '{f}' AS feature FROM object_stats HAVING var_samp(coalesce({_known(f)}, 0)) > 0" for f in (*statistics.NUMERIC, *statistics.BINARY)))
 def variance_filter(spark, d):
+    """The numeric features that vary; the SQL leaves out the size and depth of the image."""
     df = _stats(spark, d)
-    kept = projection.varying(df, [f for f in projection.numeric_features(df) if f in (*statistics.NUMERIC, *statistics.BINARY)])
+    kept = projection.varying(df, projection.numeric_features(df))
     return spark.createDataFrame([(f,) for f in kept], "feature string")
 
 

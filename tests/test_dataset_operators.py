@@ -8,6 +8,7 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -380,3 +381,17 @@ def test_pairs_and_members_name_every_row(spark):
     of, near = dict(members), {(a, b): d for a, b, d in map(tuple, dedup.near_pairs(df, bits=64, most=9).collect())}
     got = {(a, b): 0 if of[a] == of[b] else near.get(tuple(sorted((of[a], of[b])))) for a in usable for b in usable if a < b}
     assert {k: d for k, d in got.items() if d is not None} == {(a, b): d for a in usable for b in usable if a < b and (d := int((usable[a] != usable[b]).sum())) <= 9}
+
+
+def test_feature_queries_cover_every_numeric_feature(spark):
+    stats = pq.read_table(f"{SMALL}/object_stats.parquet")
+    no_features = {"row_id", "objects_count", "has_neighbors", "full_size", "run_id"}
+    x = {f.name: np.nan_to_num(stats[f.name].cast("float64").fill_null(0).to_numpy()) for f in stats.schema if (pa.types.is_integer(f.type) or pa.types.is_floating(f.type)) and f.name not in no_features}
+    vary = {f for f, v in x.items() if v.std() > 0}
+    assert {"im_width", "im_height", "im_depth", "object_area"} <= vary
+    assert {r[0] for r in object_queries.variance_filter(spark, SMALL).collect()} == vary
+    got = object_queries.standardize(spark, SMALL).toPandas().set_index("row_id").sort_index()
+    order = np.argsort(stats["row_id"].to_numpy())
+    assert set(got.columns) == {f"{f}_z" for f in vary}
+    for f in vary:
+        assert got[f"{f}_z"].to_numpy() == pytest.approx(((x[f] - x[f].mean()) / x[f].std())[order], abs=1e-5, rel=1e-5)
