@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions import geometry, paths, raster
 from framewright.functions.numbers import significant
-from framewright.operators import cache_merge, convert, dedup, features, frames, projection, statistics
+from framewright.operators import cache_merge, convert, dedup, features, frames, projection, rejects, statistics
 from framewright.session import table
 
 QUERIES = {}
@@ -131,8 +131,9 @@ def voc_parse(spark, d):
 
 @query("SELECT count(*) AS files, count(*) FILTER (WHERE doc_no IS NOT NULL AND body IS NOT NULL) AS texts FROM voc_raw")
 def success_counts(spark, d):
-    """Files and those with a text, in one pass beside the work."""
-    return table(spark, d, "voc_raw").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("doc_no").isNotNull() & F.col("body").isNotNull()).alias("texts"))
+    """Files and those whose text parsed into a valid record, in one pass over the work; the SQL counts any text."""
+    parsed = rejects.parse_voc(table(spark, d, "voc_raw"), table(spark, d, "class_list"))
+    return parsed.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("reason").isNull()).alias("texts"))
 
 
 # --- features of objects -----------------------------------------------------

@@ -395,3 +395,12 @@ def test_feature_queries_cover_every_numeric_feature(spark):
     assert set(got.columns) == {f"{f}_z" for f in vary}
     for f in vary:
         assert got[f"{f}_z"].to_numpy() == pytest.approx(((x[f] - x[f].mean()) / x[f].std())[order], abs=1e-5, rel=1e-5)
+
+
+def test_success_counts_the_outcome(spark, tmp_path):
+    box = "<bndbox><xmin>1</xmin><ymin>2</ymin><xmax>3</xmax><ymax>4</ymax></bndbox>"
+    bodies = [f"<annotation><object><name>car</name>{b}</object></annotation>" for b in (box, box, box.replace("3", "x"), "")] + ["<annotation>", "no xml", None]
+    bodies.append(bodies[0].replace("car", "unknown"))
+    spark.createDataFrame(list(enumerate(bodies)), "doc_no long, body string").write.parquet(str(tmp_path / "voc_raw.parquet"))
+    spark.createDataFrame([("0", "car")], "class_id string, class_name string").write.parquet(str(tmp_path / "class_list.parquet"))
+    assert tuple(object_queries.success_counts(spark, str(tmp_path)).first()) == (8, 2)
