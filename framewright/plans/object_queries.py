@@ -386,7 +386,11 @@ def spatial_grid(spark, d):
 
 @query("SELECT row_id, coalesce((class_name = 'van')::INT, 0) AS class_van, coalesce((class_name = 'crate')::INT, 0) AS class_crate FROM object_stats")
 def one_hot(spark, d):
-    return statistics.one_hot(_stats(spark, d).select("row_id", "class_name"), ["van", "crate"]).drop("class_name")
+    """The ones of the class columns in long form, for every class; the SQL has the columns of two.
+
+    Long, as names that differ only by case ("van", "Van") cannot be columns of one table. Rows without a class have no one.
+    """
+    return _stats(spark, d).filter("class_name IS NOT NULL").select("row_id", "class_name", F.lit(1).alias("value"))
 
 
 _K = {f: _known(f) for f in statistics.NUMERIC}

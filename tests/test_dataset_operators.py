@@ -404,3 +404,10 @@ def test_success_counts_the_outcome(spark, tmp_path):
     spark.createDataFrame(list(enumerate(bodies)), "doc_no long, body string").write.parquet(str(tmp_path / "voc_raw.parquet"))
     spark.createDataFrame([("0", "car")], "class_id string, class_name string").write.parquet(str(tmp_path / "class_list.parquet"))
     assert tuple(object_queries.success_counts(spark, str(tmp_path)).first()) == (8, 2)
+
+
+def test_one_hot_covers_every_class(spark):
+    stats = pq.read_table(f"{SMALL}/object_stats.parquet", columns=["row_id", "class_name"]).to_pylist()
+    want = [(r["row_id"], r["class_name"], 1) for r in stats if r["class_name"] is not None]
+    assert {"van", "Van", "crate"} < {c for _, c, _ in want}
+    assert sorted(tuple(r) for r in object_queries.one_hot(spark, SMALL).collect()) == sorted(want)
