@@ -1,34 +1,40 @@
 """Loading raw annotation records while separating those that fail to parse.
 
-Blocks of records are parsed in bulk on a fast path that accepts a block only
-if every record in it is certainly valid. A block that fails is cut in halves
-until the failing records stand alone; those are diagnosed strictly, which
+Blocks of records are parsed in bulk on a fast path that accepts only what is
+certainly valid: lines by columnar kernels over a whole Arrow batch, XML
+bodies many to a document. A block that holds something else is cut in halves
+until the records in doubt stand alone; those are diagnosed strictly, which
 also loads odd but readable spellings.
 """
 
 from __future__ import annotations
 
 import re
+import secrets
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from xml.etree import ElementTree
 from xml.parsers import expat
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.session import bounded_rows, mapped, spread
 
-#: Records in a block of the fast path.
-BLOCK = 64
+#: Bodies in a block of the fast path.
+BLOCK = 16
 #: Most rows of a class list; it is held on every executor.
 MOST_CLASSES = 100_000
 
 _NUMBER = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\Z")
 _FIELD = re.compile(r'(?:"[^"]*"|[^ \t"])+')
-_UNSURE = re.compile(r"[^\0 -~\t]|[\"_]")
 _SPACE = " \t\r\n"
 _DECLARATION = re.compile(r"<\?xml version=[\"']1\.0[\"'](?: encoding=[\"'][uU][tT][fF]-8[\"'])?\s*\?>")
+_COORDINATES = ("x_center", "y_center", "width", "height")
+#: A plain line; what else the strict reading takes is left to it.
+_PLAIN = r"^[ \t\r]*(?P<class>[^ \t\r\n\"]+)" + "".join(rf"[ \t]+(?P<{c}>[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)" for c in _COORDINATES) + r"[ \t\r]*$"
 
 
 def is_number(text: str | None) -> bool:
@@ -51,31 +57,41 @@ def bisect(records: Sequence, bulk: Callable[[Sequence], list | None], strict: C
         yield from bisect(records[half:], bulk, strict)
 
 
+def isolated(doubts: np.ndarray, low: int, high: int) -> Iterator[int]:
+    """Places from low to high that are in doubt, by halving; doubts[i] counts those before place i."""
+    if doubts[low] == doubts[high]:
+        return
+    if high - low == 1:
+        yield low
+        return
+    half = (low + high) // 2
+    yield from isolated(doubts, low, half)
+    yield from isolated(doubts, half, high)
+
+
+def _texts(column: pa.Array) -> list[str | None]:
+    """Texts of a column; bytes that are no UTF-8 become lone surrogates, which nothing valid holds."""
+    return [None if v is None else v.decode("utf-8", "surrogateescape") for v in column.cast(pa.binary()).to_pylist()]
+
+
 class YoloLines:
     """Parses YOLO lines to (reason, class, x_center, y_center, width, height)."""
 
     def __init__(self, classes: frozenset[str]):
         self.classes = classes
-
-    def bulk(self, lines: Sequence[str | None]) -> list | None:
-        n = len(lines)
-        try:
-            text = " \0 ".join(lines) + " \0"
-        except TypeError:  # a null
-            return None
-        # what is not plain is left to strict(); of NUL there must only be our markers
-        if _UNSURE.search(text) or text.count("\0") != n:
-            return None
-        parts = text.split()
-        if len(parts) != 6 * n or parts[5::6] != ["\0"] * n or not self.classes.issuperset(parts[0::6]):
-            return None
-        try:
-            columns = [list(map(float, parts[k::6])) for k in range(1, 5)]
-        except ValueError:
-            return None
-        if not all(0.0 <= min(c) and max(c) <= 1.0 and sum(c) == sum(c) for c in columns):
-            return None
-        return [(None, *row) for row in zip(parts[0::6], *columns)]
+        self.known = pa.array(sorted(classes), pa.string())
+
+    def bulk(self, lines: pa.Array) -> tuple[list[pa.Array], np.ndarray]:
+        """Columns of all lines, and which of them are certainly valid."""
+        fields = pc.extract_regex(lines, _PLAIN)
+        sure = pc.fill_null(pc.and_kleene(pc.is_valid(fields), pc.is_in(pc.struct_field(fields, "class"), self.known)), False)
+        numbers = []
+        for c in _COORDINATES:
+            x = pc.if_else(sure, pc.struct_field(fields, c), None).cast(pa.float64())
+            numbers.append(x)
+            sure = pc.fill_null(pc.and_kleene(sure, pc.and_kleene(pc.greater_equal(x, 0.0), pc.less_equal(x, 1.0))), False)
+        columns = [pc.if_else(sure, c, None) for c in (pc.struct_field(fields, "class"), *numbers)]
+        return columns, sure.to_numpy(zero_copy_only=False)
 
     def strict(self, line: str | None) -> tuple:
         def bad(reason: str) -> tuple:
@@ -94,9 +110,21 @@ class YoloLines:
         box = [float(x) for x in fields[1:]]
         return (None, name, *box) if all(0.0 <= x <= 1.0 for x in box) else bad("value")
 
+    def columns(self, lines: pa.Array) -> list[pa.Array]:
+        """The parsed columns of an Arrow column of lines."""
+        try:
+            found, sure = self.bulk(lines)
+        except pa.ArrowInvalid:  # no UTF-8, or a number that the kernel does not take
+            found, sure = [pa.nulls(len(lines), f.type) for f in list(_YOLO_ARROW)[1:]], np.zeros(len(lines), bool)
+        alone = list(isolated(np.r_[0, np.cumsum(~sure)], 0, len(lines)))
+        rows = [self.strict(x) for x in _texts(lines.take(pa.array(alone, pa.int64())))]
+        mask = pa.array(~sure)
+        made = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_YOLO_ARROW)]
+        whole = [pa.nulls(len(lines), pa.string()), *found]
+        return [pc.replace_with_mask(c, mask, m) if alone else c for c, m in zip(whole, made)]
+
     def parse(self, lines: Sequence[str | None]) -> Iterator[tuple]:
-        for i in range(0, len(lines), BLOCK):
-            yield from bisect(lines[i : i + BLOCK], self.bulk, self.strict)
+        yield from zip(*(c.to_pylist() for c in self.columns(pa.array(lines, pa.string()))))
 
 
 _BOX = ("xmin", "ymin", "xmax", "ymax")
@@ -125,12 +153,21 @@ class VocBodies:
         return (None, top.findtext("filename"), top.findtext("size/width"), top.findtext("size/height"), objects)
 
     def bulk(self, bodies: Sequence[str | None]) -> list | None:
+        """The bodies read as one document, with a marker between them that no body can foresee.
+
+        What could swallow a marker (comments, character data sections,
+        declarations, processing instructions) is left to strict().
+        """
+        marker = f"m{secrets.token_hex(8)}"
         parts = ["<all>"]
         for body in bodies:
             if body is None:
                 return None
             found = _DECLARATION.match(body)
-            parts += [body[found.end() :] if found else body, "<next/>"]
+            rest = body[found.end() :] if found else body
+            if "<!" in rest or "<?" in rest:
+                return None
+            parts += [rest, f"<{marker}/>"]
         parts.append("</all>")
         parser = ElementTree.XMLParser(encoding="utf-8")
         try:
@@ -140,7 +177,7 @@ class VocBodies:
             return None
         kids = list(top)
         # every body closed all it opened: one element each, between markers, no text beside
-        if len(kids) != 2 * len(bodies) or any(k.tag != "next" or len(k) or k.text for k in kids[1::2]) or any(k.tag == "next" for k in kids[0::2]):
+        if len(kids) != 2 * len(bodies) or any(k.tag != marker or len(k) or k.text for k in kids[1::2]) or any(k.tag == marker for k in kids[0::2]):
             return None
         if any(t and t.strip(_SPACE) for t in (top.text, *(k.tail for k in kids))):
             return None
@@ -161,10 +198,15 @@ class VocBodies:
         for i in range(0, len(bodies), BLOCK):
             yield from bisect(bodies[i : i + BLOCK], self.bulk, self.strict)
 
+    def columns(self, bodies: pa.Array) -> list[pa.Array]:
+        """The parsed columns of an Arrow column of bodies."""
+        rows = list(self.parse(_texts(bodies)))
+        return [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_VOC_ARROW)]
+
 
 _YOLO = "reason string, class string, x_center double, y_center double, width double, height double"
 _VOC = "reason string, filename string, width string, height string, object array<struct<name:string,xmin:double,ymin:double,xmax:double,ymax:double>>"
-_YOLO_ARROW = pa.schema([("reason", pa.string()), ("class", pa.string()), *[(c, pa.float64()) for c in ("x_center", "y_center", "width", "height")]])
+_YOLO_ARROW = pa.schema([("reason", pa.string()), ("class", pa.string()), *[(c, pa.float64()) for c in _COORDINATES]])
 _VOC_ARROW = pa.schema(
     [("reason", pa.string()), ("filename", pa.string()), ("width", pa.string()), ("height", pa.string())]
     + [("object", pa.list_(pa.struct([("name", pa.string()), *[(c, pa.float64()) for c in _BOX]])))]
@@ -175,10 +217,7 @@ def _parsed(df: DataFrame, id_col: str, text_col: str, make: Callable[[], YoloLi
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = make()
         for batch in batches:
-            rows = list(parser.parse(batch.column(1).to_pylist()))
-            columns = list(zip(*rows)) if rows else [[] for _ in arrow]
-            made = [pa.array(list(c), f.type) for c, f in zip(columns, arrow)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["rec_id", *arrow.names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *parser.columns(batch.column(1))], names=["rec_id", *arrow.names])
 
     narrow = df.select(F.col(id_col).cast("bigint").alias("rec_id"), F.col(text_col).alias("text"))
     return mapped(spread(narrow), run, f"rec_id bigint, {ddl}")

@@ -4,6 +4,8 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from framewright.operators import changes, references, rejects, shred
 
@@ -131,6 +133,45 @@ def test_rejects_frames(spark):
     assert got[2]["reason"] == "markup" and got[1]["object"][0]["xmax"] == 3.5 and got[1]["filename"] == "a.jpg"
 
 
+SWALLOWING = [["<a/>", "<a/><!--", "--><next/><b/>"], ["<a/>", "<a/><?p ", "?><next/><b/>"], ["<a/>", "<a/><![CDATA[", "]]><b/>"], ["<a>", "<b/></a><c/>", "<d/>"], ["<a/><b/>", "<c>", "</c>"], ["<a x='", "'/>"]]
+
+
+@pytest.mark.parametrize("bodies", SWALLOWING)
+@pytest.mark.parametrize("block", [1, 2, 3, 64])
+def test_bodies_do_not_hide_in_each_other(monkeypatch, bodies, block):
+    monkeypatch.setattr(rejects, "BLOCK", block)
+    voc = rejects.VocBodies(frozenset(["car"]))
+    for case in (bodies, ["<z/>", *bodies], [*bodies, "<z/>"]):
+        assert list(voc.parse(case)) == [voc.strict(b) for b in case]
+
+
+PIECES = ["<a>", "</a>", "<a/>", "<!--", "-->", "<?p ", "?>", "<![CDATA[", "]]>", "<next/>", "<object>", "</object>", "<name>car</name>", "<name>x</name>", " ", "t", "&amp;", "&", "'", "<a b='", "'/>", '<?xml version="1.0"?>']
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=5).map("".join) | st.none(), max_size=9))
+def test_blocks_of_bodies_read_as_single_ones(bodies):
+    voc = rejects.VocBodies(frozenset(["car"]))
+    assert list(voc.parse(bodies)) == [voc.strict(b) for b in bodies]
+
+
+FIELD = st.sampled_from(["car", "0", '"car"', '"big car"', "big", "0.5", "+0.5", "-0.1", "1", "1.0001", ".5", "1.", "1e-3", "1e999", "nan", "inf", "0x1", "1_0", "٣", '"', ""])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.tuples(FIELD, st.sampled_from([" ", "\t", "  ", "\r", "\n", ""])).map("".join), max_size=7).map("".join) | st.none(), max_size=30))
+def test_blocks_of_lines_read_as_single_ones(lines):
+    yolo = rejects.YoloLines(frozenset(["car", "0", "big car"]))
+    assert list(yolo.parse(lines)) == [yolo.strict(x) for x in lines]
+
+
+def test_bytes_that_are_no_text(spark):
+    raw = spark.sql("SELECT 1L AS line_id, CAST(X'C32830' AS STRING) AS line, CAST(X'3C612F3EC328' AS STRING) AS body UNION ALL SELECT 2L, '0 0.5 0.5 0.5 0.5', '<a/>'")
+    classes = spark.createDataFrame([("0", "car")], "class_id string, class_name string")
+    assert {r["rec_id"]: r["reason"] for r in rejects.parse_yolo(raw, classes).collect()} == {1: "columns", 2: None}
+    assert {r["rec_id"]: r["reason"] for r in rejects.parse_voc(raw, classes, id_col="line_id").collect()} == {1: "markup", 2: None}
+
+
 def test_class_list_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(rejects, "MOST_CLASSES", 2)
     with pytest.raises(ValueError):
