@@ -97,7 +97,7 @@ def convert_annotations(spark: SparkSession, s: config.Settings, src: str, dst:
     if (source_type, s.destination_type) == ("voc", "yolo"):
         docs = voc.read(spark, _existing(src)).filter(F.lower(paths.suffix(F.col("path"))) == ".xml")
         classes = features.class_ids(docs.select(F.explode("object.name").alias("class_name")))
-        done = files.write_texts(convert.yolo_files(convert.voc_to_yolo(docs, classes)), dst, ".txt")
+        done = files.write_texts(convert.yolo_files(convert.voc_to_yolo(docs, classes), convert.sized(docs)), dst, ".txt")
         files.write_class_file(classes, dst)
         return done
     if (source_type, s.destination_type) == ("yolo", "voc"):
@@ -116,7 +116,8 @@ def yolo_pixels(spark: SparkSession, s: config.Settings, src: str, img_path: str
     sizes = scan.images(spark, _existing(img_path)).filter("image.height > 0").select(paths.stem(image).alias("stem"), image.alias("im_path"), F.col("image.width").alias("im_width"), F.col("image.height").alias("im_height"))
     one = sizes.filter(paths.has_extension(F.col("im_path"), s.extensions)).groupBy("stem").agg(F.max_by(F.struct("im_width", "im_height"), "im_path").alias("v"))
     by_path = texts.select("path", paths.stem(F.col("path")).alias("stem")).join(one, "stem").select("path", "v.*")
-    return convert.to_pixels(convert.yolo_boxes(convert.yolo_lines(texts).select("path", "line")), by_path, classes)
+    lines = convert.yolo_lines(texts).select("path", F.col("first_no").alias("no"), "line")
+    return convert.to_pixels(convert.yolo_boxes(lines, keep=("path", "no")), by_path, classes, keep=("no",))
 
 
 def feature_matrix(spark: SparkSession, s: config.Settings, src: str, img_path: str, source_type: str = "voc", only: DataFrame | None = None) -> DataFrame:

@@ -21,7 +21,9 @@ class Node:
     name: str
     parent: str | None = None
     path: str = ""  # from the parent's element to this one, dotted
+    full: str = ""  # from the root, with underscores
     repeated: bool = False
+    shared: str | None = None  # the type, if several parents have it
     inlined: dict[str, str] = field(default_factory=dict)  # column -> dotted path
     children: list["Node"] = field(default_factory=list)
 
@@ -30,8 +32,8 @@ def _element(kind: T.DataType) -> tuple[T.DataType, bool]:
     return (kind.elementType, True) if isinstance(kind, T.ArrayType) else (kind, False)
 
 
-def shared_types(schema: T.StructType) -> set[str]:
-    """Names of struct elements that occur with the same fields below more than one parent."""
+def shared_types(schema: T.StructType) -> set[tuple[str, str]]:
+    """(name, type) of struct elements that occur with the same fields below more than one parent."""
     seen: dict[tuple[str, str], set[str]] = {}
 
     def walk(struct: T.StructType, owner: str) -> None:
@@ -42,7 +44,7 @@ def shared_types(schema: T.StructType) -> set[str]:
                 walk(kind, f"{owner}.{f.name}")
 
     walk(schema, "")
-    return {name for (name, _), owners in seen.items() if len(owners) > 1}
+    return {element for element, owners in seen.items() if len(owners) > 1}
 
 
 def plan(schema: T.StructType, root: str) -> Node:
@@ -53,8 +55,9 @@ def plan(schema: T.StructType, root: str) -> Node:
         for f in struct.fields:
             kind, repeated = _element(f.dataType)
             at = f"{path}.{f.name}" if path else f.name
-            if repeated or (isinstance(kind, T.StructType) and f.name in shared):
-                child = Node(f.name, node.name, at, repeated)
+            common = isinstance(kind, T.StructType) and (f.name, kind.simpleString()) in shared
+            if repeated or common:
+                child = Node(f.name, node.name, at, f"{node.full}_{at.replace('.', '_')}", repeated, kind.simpleString() if common else None)
                 if isinstance(kind, T.StructType):
                     fill(child, kind, "", "")
                 else:
@@ -64,39 +67,51 @@ def plan(schema: T.StructType, root: str) -> Node:
                 fill(node, kind, at, f"{prefix}{f.name}_")
             else:
                 node.inlined[prefix + f.name] = at
-    top = Node(root)
+    top = Node(root, full=root)
     fill(top, schema, "", "")
     return top
 
 
 def shred(df: DataFrame, key: str, root: str = "record") -> dict[str, DataFrame]:
-    """Flat tables of nested records, by the path of their relation.
+    """Flat tables of nested records, by the name of their relation, of like-named ones by the whole path from the second on.
 
     Every table has the record's key and, for each repeated level above it, the
     position there (``<level>_no``, from 1, null elements included in the
     counting). (key, positions) is the primary key; without its last position
-    it is the foreign key to the parent's table. Elements of a shared type
-    lie in one table per type, with ``parent`` naming the relation they
-    belong to. Null elements and null or empty arrays give no rows; a struct
-    whose fields are all null is a row. Repeated records stay repeated.
-    Narrow: one generator per level, no shuffle.
+    it is the foreign key to the parent's table. Elements of a shared type,
+    single or repeated, lie in one table per type, with ``parent`` naming the
+    relation they belong to, and the path in it if they lie deeper. Null elements and null or empty arrays give no
+    rows; a struct whose fields are all null is a row. Repeated records stay
+    repeated. Narrow: one generator per level, no shuffle.
     """
     top = plan(df.schema, root)
     out: dict[str, DataFrame] = {}
+    kinds: dict[tuple[str, str], str] = {}  # the table of each shared type
+
+    def named(node: Node) -> str:
+        name = node.name if node.name not in out else node.full
+        while name in out:
+            name += "_"
+        return name
 
     def emit(node: Node, at: DataFrame, keys: list[str]) -> None:
         cols = [F.col(f"_e.{p}" if p else "_e").alias(c) for c, p in node.inlined.items() if c not in keys]
         rows = at.select(*[F.col(f"`{k}`") for k in keys], *cols)
-        name = node.name
-        if node.parent and not node.repeated:  # shared: one table for all parents
-            rows = rows.select(F.lit(node.parent).alias("parent"), "*")
-            out[name] = out[name].unionByName(rows, allowMissingColumns=True) if name in out else rows
+        if node.shared:
+            within = node.path.rpartition(".")[0]  # below what is inlined in the parent
+            rows = rows.select(F.lit(f"{node.parent}.{within}" if within else node.parent).alias("parent"), "*")
+            name = kinds.get((node.name, node.shared))
+            if name is None:
+                name = kinds[node.name, node.shared] = named(node)
+                out[name] = rows
+            else:
+                out[name] = out[name].unionByName(rows, allowMissingColumns=True)
         else:
-            out[name if name not in out else f"{node.parent}_{name}"] = rows
+            out[named(node)] = rows
         for child in node.children:
             source = F.col(f"_e.{child.path}")
             if child.repeated:
-                no = f"{child.name}_no"
+                no = f"{child.name}_no" if f"{child.name}_no" not in keys else f"{child.full}_no"
                 below = at.select(*[F.col(f"`{k}`") for k in keys], F.posexplode(source).alias("_p", "_x")).filter("_x IS NOT NULL")
                 emit(child, below.select(*[F.col(f"`{k}`") for k in keys], (F.col("_p") + 1).alias(no), F.col("_x").alias("_e")), [*keys, no])
             else:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions.geometry import SECTOR_COLUMNS, SECTORS, TRUNCATION_COLUMNS
 from framewright.functions.numbers import known, small_side
+from framewright.operators.features import class_ids
 from framewright.operators.quantiles import exact_percentiles, pivoted, unpivoted
 
 NUMERIC = ("object_area", "object_relative_area", "object_width", "object_height", "object_aspect_ratio", "im_brightness", "im_contrast", "im_blur_score")
@@ -98,6 +99,16 @@ def one_hot(df: DataFrame, classes: Sequence[str]) -> DataFrame:
     return df.select("*", *[F.coalesce((F.col("class_name") == c).cast("int"), F.lit(0)).alias(f"class_{c}") for c in classes])
 
 
+def one_hot_cells(df: DataFrame, id_col: str) -> DataFrame:
+    """(id_col, class_no, class_name, value): the ones of the class columns, by the number of the column; all other cells are 0.
+
+    Sparse, as names that differ only by case cannot be columns of one table.
+    Rows without a class have no one. Columns are numbered by class_ids().
+    """
+    numbered = small_side(class_ids(df).withColumnRenamed("class_id", "class_no"))
+    return df.select(id_col, "class_name").join(numbered, "class_name").select(id_col, "class_no", "class_name", F.lit(1).alias("value"))
+
+
 def class_correlations(df: DataFrame, features: Sequence[str] = NUMERIC) -> DataFrame:
     """(class_name, feature_a, feature_b, corr): Pearson correlation of known pairs within each class, a before b.
 

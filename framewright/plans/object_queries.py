@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions import geometry, paths, raster
 from framewright.functions.numbers import significant
-from framewright.operators import cache_merge, convert, dedup, features, frames, projection, rejects, statistics
+from framewright.operators import cache_merge, convert, dedup, features, frames, projection, statistics
 from framewright.session import table
 
 QUERIES = {}
@@ -82,15 +82,16 @@ def cache_name(spark, d):
     return table(spark, d, "images").select("path", paths.safe_name(p).alias("safe"), F.concat(F.lit("cache_"), F.md5(p.cast("binary")), F.lit("_method_dhash_size_16.parquet")).alias("cache_file"))
 
 
-_PLAIN = r"^(\d+) ([0-9.]+) ([0-9.]+) ([0-9.]+) ([0-9.]+)\z"
-_LINES = """SELECT path, trim(line, chr(32) || chr(9) || chr(13)) AS line, line_no FROM yolo_raw WHERE trim(line, chr(32) || chr(9) || chr(13)) <> ''"""
+_AXES = ("x", "y", "w", "h")
+# what the operator reads: blanks of any kind off both ends, five fields between runs of blanks and tabs, four finite numbers
+_TRIMMED = r"regexp_replace(line, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')"
+_YOLO_FIELDS = r"^[^ \t]+([ \t]+[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?){4}\z"
 
 
-@query(f"SELECT path, line, max(line_no) AS line_no, min(line_no) AS first_no FROM ({_LINES}) GROUP BY path, line")
+@query(f"SELECT path, line, max(line_no) AS line_no, min(line_no) AS first_no FROM (SELECT path, {_TRIMMED} AS line, line_no FROM yolo_raw) WHERE line <> '' GROUP BY path, line")
 def yolo_dup_lines(spark, d):
     """Lines of a file once each, with their first and last place."""
-    lines = table(spark, d, "yolo_raw").withColumn("line", F.regexp_replace("line", r"^[ \t\r]+|[ \t\r]+$", "")).filter("line <> ''")
-    return lines.groupBy("path", "line").agg(F.max("line_no").alias("line_no"), F.min("line_no").alias("first_no"))
+    return convert.distinct_lines(table(spark, d, "yolo_raw").select("path", F.col("line_no").alias("no"), "line"))
 
 
 @query("SELECT class_name, max(class_id::INT) AS class_id FROM class_list WHERE class_name <> '' GROUP BY class_name")
@@ -112,11 +113,14 @@ def class_fallback(spark, d):
     return features.named_classes(ids, table(spark, d, "class_list")).select("row_id", "class_name")
 
 
-@query(f"""SELECT line_id, m.id AS class_id, m.x::DOUBLE AS x_center, m.y::DOUBLE AS y_center, m.w::DOUBLE AS width, m.h::DOUBLE AS height FROM (
-SELECT line_id, regexp_extract(line, '{_PLAIN}', ['id', 'x', 'y', 'w', 'h']) AS m FROM yolo_raw WHERE regexp_matches(line, '{_PLAIN}'))
-WHERE TRY_CAST(m.x AS DOUBLE) IS NOT NULL AND TRY_CAST(m.y AS DOUBLE) IS NOT NULL AND TRY_CAST(m.w AS DOUBLE) IS NOT NULL AND TRY_CAST(m.h AS DOUBLE) IS NOT NULL""")
+_YOLO_READ = f"""SELECT * FROM (SELECT line_id, f[1] AS id, {', '.join(f"TRY_CAST(ltrim(f[{i + 2}], '+') AS DOUBLE) AS {a}" for i, a in enumerate(_AXES))}
+FROM (SELECT line_id, string_split_regex({_TRIMMED}, '[ \t]+') AS f FROM yolo_raw WHERE regexp_matches({_TRIMMED}, '{_YOLO_FIELDS}')))
+WHERE {' AND '.join(f"abs({a}) < 'infinity'::DOUBLE" for a in _AXES)}"""
+
+
+@query(f"SELECT line_id, id AS class_id, x AS x_center, y AS y_center, w AS width, h AS height FROM ({_YOLO_READ})")
 def yolo_parse(spark, d):
-    """Fields of all lines that the operator reads; the SQL covers the plain ones alone."""
+    """Fields of all lines that the operator reads."""
     return convert.yolo_boxes(table(spark, d, "yolo_raw"), keep=("line_id",))
 
 
@@ -129,13 +133,6 @@ def voc_parse(spark, d):
     return doc.select("doc_no", "doc.filename", "doc.size.width", "doc.size.height", F.size("doc.object").alias("objects"))
 
 
-@query("SELECT count(*) AS files, count(*) FILTER (WHERE doc_no IS NOT NULL AND body IS NOT NULL) AS texts FROM voc_raw")
-def success_counts(spark, d):
-    """Files and those whose text parsed into a valid record, in one pass over the work; the SQL counts any text."""
-    parsed = rejects.parse_voc(table(spark, d, "voc_raw"), table(spark, d, "class_list"))
-    return parsed.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("reason").isNull()).alias("texts"))
-
-
 # --- features of objects -----------------------------------------------------
 _INT = lambda x: f"CASE WHEN regexp_full_match(regexp_replace({x}, '^\\s+|\\s+$', '', 'g'), '[+-]?[0-9]+') THEN TRY_CAST(regexp_replace({x}, '^\\s+|\\s+$', '', 'g') AS INT) END"
 _VOC = f"""WITH o AS (SELECT ann_id, path, coalesce({_INT('size.width')}, 0) AS w, coalesce({_INT('size.height')}, 0) AS h,
@@ -184,10 +181,10 @@ def voc_broken(spark, d):
 
 
 _DBL = lambda x: f"TRY_CAST(trim({x}) AS DOUBLE)"
-_CONV = f"""WITH o AS (SELECT ann_id, {_DBL('size.width')} AS w, {_DBL('size.height')} AS h, unnest(object) AS o FROM voc_docs),
-b AS (SELECT ann_id, w, h, o.name AS class_name, {', '.join(f"{_DBL(f'o.bndbox.{c}')} AS {c}" for c in ('xmin', 'ymin', 'xmax', 'ymax'))}
+_CONV = f"""WITH o AS (SELECT ann_id, {_DBL('size.width')} AS w, {_DBL('size.height')} AS h, unnest(object) AS o, generate_subscripts(object, 1) AS no FROM voc_docs),
+b AS (SELECT ann_id, w, h, no, o.name AS class_name, {', '.join(f"{_DBL(f'o.bndbox.{c}')} AS {c}" for c in ('xmin', 'ymin', 'xmax', 'ymax'))}
   FROM o WHERE o IS NOT NULL AND w > 0 AND h > 0),
-y AS (SELECT b.ann_id, c.class_id::INT AS class_id, greatest(least((xmin + xmax) / 2 / w, 1), 0) AS x_center, greatest(least((ymin + ymax) / 2 / h, 1), 0) AS y_center,
+y AS (SELECT b.ann_id, b.no, c.class_id::INT AS class_id, greatest(least((xmin + xmax) / 2 / w, 1), 0) AS x_center, greatest(least((ymin + ymax) / 2 / h, 1), 0) AS y_center,
   greatest(least((xmax - xmin) / w, 1), 0) AS width, greatest(least((ymax - ymin) / h, 1), 0) AS height
   FROM b JOIN class_list c USING (class_name) WHERE xmin IS NOT NULL AND ymin IS NOT NULL AND xmax IS NOT NULL AND ymax IS NOT NULL)
 """
@@ -216,23 +213,44 @@ def voc_to_yolo_lines(spark, d):
     return _yolo(spark, d).select("ann_id", "line")
 
 
-_PIX = f"""WITH p AS (SELECT line_id, path, regexp_extract(line, '{_PLAIN}', ['id', 'x', 'y', 'w', 'h']) AS m FROM yolo_raw WHERE regexp_matches(line, '{_PLAIN}')),
-t AS (SELECT line_id, path, m.id AS id, TRY_CAST(m.x AS DOUBLE) AS x, TRY_CAST(m.y AS DOUBLE) AS y, TRY_CAST(m.w AS DOUBLE) AS w, TRY_CAST(m.h AS DOUBLE) AS h FROM p),
-c AS (SELECT line_id, coalesce(class_name, 'object_' || id) AS class_name, round_even((x - w / 2) * 640, 0)::INT AS xmin, round_even((y - h / 2) * 480, 0)::INT AS ymin,
-  round_even((x + w / 2) * 640, 0)::INT AS xmax, round_even((y + h / 2) * 480, 0)::INT AS ymax
-  FROM t LEFT JOIN class_list ON class_id = id WHERE x <= 1 AND y <= 1 AND w <= 1 AND h <= 1)
+@query(_CONV + f""", l AS (SELECT ann_id, no, class_id || ' ' || {_six('x_center')} || ' ' || {_six('y_center')} || ' ' || {_six('width')} || ' ' || {_six('height')} AS line FROM y),
+t AS (SELECT ann_id, string_agg(line || chr(10), '' ORDER BY no) AS value FROM l GROUP BY ann_id)
+SELECT 'ann_' || ann_id AS stem, coalesce(value, '') AS value FROM voc_docs LEFT JOIN t USING (ann_id) WHERE {_DBL('size.width')} > 0 AND {_DBL('size.height')} > 0""")
+def yolo_file_texts(spark, d):
+    """The text of each YOLO file, its lines in the order of the objects."""
+    docs = table(spark, d, "voc_docs").withColumn("path", F.concat(F.lit("/x/ann_"), F.col("ann_id").cast("string"), F.lit(".xml")))
+    classes = table(spark, d, "class_list").select("class_name", F.col("class_id").cast("int").alias("class_id"))
+    return convert.yolo_files(convert.voc_to_yolo(docs, classes), convert.sized(docs))
+
+
+_PIX = f"""WITH t AS ({_YOLO_READ}),
+c AS (SELECT line_id, coalesce(class_name, 'object_' || id) AS class_name, TRY_CAST(round_even((x - w / 2) * 640, 0) AS INT) AS xmin, TRY_CAST(round_even((y - h / 2) * 480, 0) AS INT) AS ymin,
+  TRY_CAST(round_even((x + w / 2) * 640, 0) AS INT) AS xmax, TRY_CAST(round_even((y + h / 2) * 480, 0) AS INT) AS ymax
+  FROM t LEFT JOIN class_list ON class_id = id)
 """
 
 
-@query(_PIX + "SELECT line_id, class_name, xmin, ymin, xmax, ymax, (xmin <= 0 OR ymin <= 0 OR xmax >= 640 OR ymax >= 480)::INT AS truncated FROM c")
+@query(_PIX + "SELECT line_id, class_name, xmin, ymin, xmax, ymax, (xmin <= 0 OR ymin <= 0 OR xmax >= 640 OR ymax >= 480)::INT AS truncated FROM c WHERE xmin IS NOT NULL AND ymin IS NOT NULL AND xmax IS NOT NULL AND ymax IS NOT NULL")
 def yolo_to_pixels(spark, d):
-    """Boxes of all lines in pixels of 640 x 480 images; the SQL covers plain lines up to 1 alone."""
+    """Boxes of all lines in pixels of 640 x 480 images."""
     lines = table(spark, d, "yolo_raw").select(F.col("line_id").cast("string").alias("path"), "line")
     boxes = convert.yolo_boxes(lines)
     sizes = lines.select("path", F.lit(640).alias("im_width"), F.lit(480).alias("im_height"))
     return convert.to_pixels(boxes, sizes, table(spark, d, "class_list")).select(F.col("path").cast("bigint").alias("line_id"), "class_name", "xmin", "ymin", "xmax", "ymax", "truncated")
 
 
+@query("WITH " + _PIX.removeprefix("WITH ") + f"""SELECT 'voc:yolo' AS direction, count(*) AS files, count(*) FILTER (WHERE {_DBL('size.width')} > 0 AND {_DBL('size.height')} > 0) AS converted FROM voc_docs
+UNION ALL SELECT 'yolo:voc', (SELECT count(DISTINCT path) FROM yolo_raw), (SELECT count(DISTINCT path) FROM yolo_raw JOIN c USING (line_id)
+WHERE xmin IS NOT NULL AND ymin IS NOT NULL AND xmax IS NOT NULL AND ymax IS NOT NULL)""")
+def success_counts(spark, d):
+    """Files of each direction of conversion and those that were converted: records with a size, texts with a box."""
+    docs, lines = table(spark, d, "voc_docs"), table(spark, d, "yolo_raw").filter("path IS NOT NULL").select("path", "line")
+    sizes = lines.select("path").distinct().select("path", F.lit(640).alias("im_width"), F.lit(480).alias("im_height"))
+    pixels = convert.to_pixels(convert.yolo_boxes(lines), sizes, table(spark, d, "class_list"))
+    there, back = convert.success_counts(docs, convert.sized(docs), "ann_id"), convert.success_counts(sizes, pixels, "path")
+    return there.select(F.lit("voc:yolo").alias("direction"), "*").unionByName(back.select(F.lit("yolo:voc").alias("direction"), "*"))
+
+
 @query(_VOC + "SELECT ann_id, coalesce(name, 'unfilled') AS class_name, xmin, ymin, xmax, ymax FROM g")
 def voc_roundtrip(spark, d):
     """Pixel boxes written as XML texts and read back."""
@@ -384,13 +402,11 @@ def spatial_grid(spark, d):
     return grid.select("class_name", *[F.col("grid")[i][k].alias(c) for i, names in enumerate(geometry.SECTORS) for k, c in enumerate(names)])
 
 
-@query("SELECT row_id, coalesce((class_name = 'van')::INT, 0) AS class_van, coalesce((class_name = 'crate')::INT, 0) AS class_crate FROM object_stats")
+@query("""SELECT s.row_id, c.class_no, s.class_name, 1 AS value FROM object_stats s JOIN (SELECT class_name, (row_number() OVER (ORDER BY class_name) - 1)::INT AS class_no
+FROM (SELECT DISTINCT class_name FROM object_stats WHERE class_name IS NOT NULL)) c USING (class_name)""")
 def one_hot(spark, d):
-    """The ones of the class columns in long form, for every class; the SQL has the columns of two.
-
-    Long, as names that differ only by case ("van", "Van") cannot be columns of one table. Rows without a class have no one.
-    """
-    return _stats(spark, d).filter("class_name IS NOT NULL").select("row_id", "class_name", F.lit(1).alias("value"))
+    """The ones of the class columns, each with the number of its column."""
+    return statistics.one_hot_cells(_stats(spark, d), "row_id")
 
 
 _K = {f: _known(f) for f in statistics.NUMERIC}
@@ -440,22 +456,23 @@ def stratified_sample(spark, d):
     return statistics.stratified_sample(_stats(spark, d).select("row_id", "class_name"), "row_id")
 
 
-_Z = ("object_width", "object_height", "im_brightness", "im_contrast")
-_FILLED = {f: f"coalesce({_known(f)}, 0)" for f in _Z}
+#: The numeric features of the table (fixed names): sizes of the image, of the object, its place, its quality.
+_FEATURES = ("im_width", "im_height", "im_depth", *statistics.NUMERIC, *statistics.BINARY)
+_FILLED = {f: f"coalesce({_known(f)}, 0)" for f in _FEATURES}
 
 
-@query(f"SELECT row_id, {', '.join(f'round(({_FILLED[f]} - (SELECT avg({_FILLED[f]}) FROM object_stats)) / (SELECT stddev_pop({_FILLED[f]}) FROM object_stats), 5) + 0.0 AS {f}_z' for f in _Z)} FROM object_stats")
+@query(f"SELECT row_id, {', '.join(f'round(({_FILLED[f]} - m_{f}) / s_{f}, 5) + 0.0 AS {f}_z' for f in _FEATURES)} FROM object_stats, (SELECT {', '.join(f'avg({_FILLED[f]}) AS m_{f}, stddev_pop({_FILLED[f]}) AS s_{f}' for f in _FEATURES)} FROM object_stats)")
 def standardize(spark, d):
-    """All numeric features that vary; the SQL covers four of them alone."""
+    """All numeric features that vary; the SQL takes them all for varying."""
     df = _stats(spark, d)
     features = projection.numeric_features(df)
     z = projection.standardised(df.select("row_id", *features), features)
     return z.select("row_id", *[(F.round(c, 5) + 0.0).alias(c) for c in z.columns if c not in ("row_id", *features)])
 
 
-@query(" UNION ALL ".join(f"SELECT '{f}' AS feature FROM object_stats HAVING var_samp(coalesce({_known(f)}, 0)) > 0" for f in (*statistics.NUMERIC, *statistics.BINARY)))
+@query(" UNION ALL ".join(f"SELECT '{f}' AS feature FROM object_stats HAVING var_samp(coalesce({_known(f)}, 0)) > 0" for f in _FEATURES))
 def variance_filter(spark, d):
-    """The numeric features that vary; the SQL leaves out the size and depth of the image."""
+    """The numeric features that vary."""
     df = _stats(spark, d)
     kept = projection.varying(df, projection.numeric_features(df))
     return spark.createDataFrame([(f,) for f in kept], "feature string")

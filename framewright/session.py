@@ -14,6 +14,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A single-JVM session for tests and the bench; clusters bring their own."""
     spark = (
@@ -35,7 +39,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share; a temporary one for a local master without the setting."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", "")
-    if not configured and not sc.master.startswith("local["):
+    if not configured and not _one_machine(sc.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return configured or os.path.join(tempfile.gettempdir(), "framewright-checkpoints")
 
@@ -49,8 +53,8 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_framewright_shipped", False):
         return
     known = [Path(p or ".").resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]]
-    if not (sc.master.startswith("local[") and root in known):
-        shared = None if sc.master.startswith("local[") else shared_folder(spark).removeprefix("file://")
+    if not (_one_machine(sc.master) and root in known):
+        shared = None if _one_machine(sc.master) else shared_folder(spark).removeprefix("file://")
         if shared and "://" in shared:  # no path of the driver's: it serves the archive to the executors
             shared = None
         if shared:

@@ -108,7 +108,7 @@ def write_class_file(classes: DataFrame, folder: str) -> None:
     """Writes classes.txt, names by id; also with no classes."""
     rows = sorted(bounded_rows(classes.select("class_id", "class_name"), 100_000, "the class list"))
     os.makedirs(folder, exist_ok=True)
-    _put(Path(folder) / "classes.txt", "\n".join(r["class_name"] for r in rows).encode())
+    _put(Path(folder) / "classes.txt", "".join(r["class_name"] + "\n" for r in rows).encode())
 
 
 def _put(path: Path, data: bytes) -> None:

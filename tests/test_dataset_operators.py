@@ -397,17 +397,27 @@ def test_feature_queries_cover_every_numeric_feature(spark):
         assert got[f"{f}_z"].to_numpy() == pytest.approx(((x[f] - x[f].mean()) / x[f].std())[order], abs=1e-5, rel=1e-5)
 
 
-def test_success_counts_the_outcome(spark, tmp_path):
-    box = "<bndbox><xmin>1</xmin><ymin>2</ymin><xmax>3</xmax><ymax>4</ymax></bndbox>"
-    bodies = [f"<annotation><object><name>car</name>{b}</object></annotation>" for b in (box, box, box.replace("3", "x"), "")] + ["<annotation>", "no xml", None]
-    bodies.append(bodies[0].replace("car", "unknown"))
-    spark.createDataFrame(list(enumerate(bodies)), "doc_no long, body string").write.parquet(str(tmp_path / "voc_raw.parquet"))
-    spark.createDataFrame([("0", "car")], "class_id string, class_name string").write.parquet(str(tmp_path / "class_list.parquet"))
-    assert tuple(object_queries.success_counts(spark, str(tmp_path)).first()) == (8, 2)
+def test_success_counts_the_outcome(spark):
+    rows = [("a", ("9", "9", "3"), [("car", ("1", "2", "3", "4"))]), ("b", ("0", "9", "3"), [("car", ("1", "2", "3", "4"))]), ("c", ("9", "9", "3"), []), ("d", ("9", "x", "3"), [])]
+    files = docs(spark, *rows)
+    assert tuple(convert.success_counts(files, convert.sized(files), "path").first()) == (4, 2)
+    assert tuple(convert.success_counts(files.limit(0), convert.sized(files.limit(0)), "path").first()) == (0, 0)
+
+
+def test_yolo_files_keep_the_order_of_objects(spark):
+    box = lambda x: ("1", "1", str(x), "3")
+    files = docs(spark, ("/f/a.xml", ("8", "8", "3"), [("z", box(7)), ("a", box(3)), ("z", box(3))]), ("/f/b.xml", ("8", "8", "3"), []), ("/f/c.xml", None, [("a", box(2))]), ("/e/b.xml", ("8", "8", "3"), [("a", box(3))]))
+    classes = spark.createDataFrame([("a", 0), ("z", 1)], "class_name string, class_id int")
+    got = dict(map(tuple, convert.yolo_files(convert.voc_to_yolo(files, classes), convert.sized(files)).collect()))
+    assert [x.split()[0] for x in got["a"].splitlines()] == ["1", "0", "1"] and got["a"].endswith("\n")
+    assert got["b"] == "" and set(got) == {"a", "b"}
+    pixels = spark.createDataFrame([("p", 2, "a"), ("p", 1, "z"), ("p", 3, "a")], "path string, no int, class_name string").selectExpr("*", "8 AS im_width", "8 AS im_height", "1 AS xmin", "1 AS ymin", "2 AS xmax", "2 AS ymax", "0 AS truncated")
+    assert [o["name"] for o in convert.voc_records(pixels).first()["object"]] == ["z", "a", "a"]
 
 
 def test_one_hot_covers_every_class(spark):
     stats = pq.read_table(f"{SMALL}/object_stats.parquet", columns=["row_id", "class_name"]).to_pylist()
-    want = [(r["row_id"], r["class_name"], 1) for r in stats if r["class_name"] is not None]
-    assert {"van", "Van", "crate"} < {c for _, c, _ in want}
+    number = {c: i for i, c in enumerate(sorted({r["class_name"] for r in stats} - {None}))}
+    want = [(r["row_id"], number[r["class_name"]], r["class_name"], 1) for r in stats if r["class_name"] is not None]
+    assert {"van", "Van", "crate"} < set(number)
     assert sorted(tuple(r) for r in object_queries.one_hot(spark, SMALL).collect()) == sorted(want)

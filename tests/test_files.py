@@ -107,7 +107,7 @@ def test_convert_and_back(spark, dataset, tmp_path):
     yolo, voc_again = tmp_path / "yolo", tmp_path / "voc"
     assert commands.convert_annotations(spark, settings(dataset, destination_type="yolo"), str(dataset), str(yolo)) == 3
     assert (yolo / "classes.txt").read_text().split() == ["car", "dog"]
-    assert (yolo / "a.txt").read_text() == "0 0.277778 0.500000 0.333333 0.666667"
+    assert (yolo / "a.txt").read_text() == "0 0.277778 0.500000 0.333333 0.666667\n"
     assert len((yolo / "b.txt").read_text().splitlines()) == 2
     assert commands.convert_annotations(spark, settings(dataset, destination_type="voc"), str(yolo), str(voc_again), str(dataset), "yolo") == 3
     assert "<xmin>10</xmin>" in (voc_again / "a.xml").read_text() and "<name>dog</name>" in (voc_again / "b.xml").read_text()

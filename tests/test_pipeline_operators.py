@@ -224,3 +224,11 @@ def test_shred(spark):
     assert sorted(map(tuple, t["bndbox"].select("parent", "ann_id", "object_no", "part_no", "xmin").collect()), key=str) == [("object", 1, 1, None, "1"), ("part", 1, 1, 1, "2")]
     assert [tuple(r) for r in t["tags"].collect()] == [(1, 1, "x")]
     assert all(x.count() == 0 for x in shred.shred(df.limit(0), "ann_id").values())
+
+
+def test_shred_names_and_sharing(spark):
+    box = "array<struct<x:int>>"
+    df = spark.createDataFrame([(1, ([(1,), (2,)],), ([(3,)],), ([4],), ([5],), ([6],))], f"k long, a struct<box:{box}>, b struct<box:{box}>, c struct<tag:array<int>>, d struct<tag:array<int>>, e struct<tag:array<int>>")
+    t = shred.shred(df, "k", "r")
+    assert sorted(map(tuple, t["box"].collect())) == [("r.a", 1, 1, 1), ("r.a", 1, 2, 2), ("r.b", 1, 1, 3)]
+    assert {n: [r["value"] for r in t[n].collect()] for n in t if "tag" in n} == {"tag": [4], "r_d_tag": [5], "r_e_tag": [6]}
