@@ -3,7 +3,8 @@
 The bits are cut into blocks of two halves. If two vectors differ in at most
 2 * blocks - 1 bits, some block differs in at most one, so one of its halves is
 equal and the other differs in one bit or none. Rows therefore meet on (half,
-its bits) and are narrowed by the other half before any distance is computed.
+its bits), their bucket, and are narrowed by the other half before any distance
+is computed. Rows of a bucket travel packed, many to a record.
 """
 
 from __future__ import annotations
@@ -17,8 +18,14 @@ from pyspark.sql import functions as F
 
 from framewright.session import mapped
 
-#: Pairs whose distances are computed at once, and rows gathered before whole groups are joined.
-BLOCK_PAIRS, BLOCK_ROWS = 1_000_000, 100_000
+#: Pairs whose distances are computed at once, and rows gathered before whole buckets are joined.
+BLOCK_PAIRS, BLOCK_ROWS = 1_000_000, 200_000
+#: Rows cut into segments at once.
+CUT_ROWS = 50_000
+#: A bucket of more rows is split into pieces of that size; a cell of two pieces is what one task compares.
+HEAVY_ROWS = 500_000
+#: Candidates of a row, on average over a group, from which the group is narrowed by its other bits first.
+DENSE = 256
 
 
 def threshold_bits(core_size: int, percent: float) -> int:
@@ -66,112 +73,280 @@ def _layout(bits: int, blocks: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def _field(bits: np.ndarray, first: int, size: int) -> np.ndarray:
-    return bits[:, first : first + size] @ (1 << np.arange(size, dtype=np.int64)) if size else np.zeros(len(bits), np.int64)
+def _field(raw: np.ndarray, first: int, size: int) -> np.ndarray:
+    """Bits first to first + size - 1 (16 at most) of codes (rows x bytes, two bytes of padding) as numbers."""
+    if not size:
+        return np.zeros(len(raw), np.int64)
+    at = first // 8
+    three = raw[:, at].astype(np.int64) << 16 | raw[:, at + 1].astype(np.int64) << 8 | raw[:, at + 2]
+    return three >> (24 - first % 8 - size) & ((1 << size) - 1)
 
 
-def _bits(codes: list[bytes] | np.ndarray) -> np.ndarray:
-    raw = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
-    return np.unpackbits(raw, axis=1).astype(np.int64)
+def _raw(codes: pa.Array) -> np.ndarray:
+    """Codes as rows x bytes, with two bytes of padding."""
+    joined = np.frombuffer(b"".join(codes.to_pylist()), np.uint8)
+    return np.pad(joined.reshape(len(codes), -1), ((0, 0), (0, 2)))
 
 
-def _halves(rows: DataFrame, bits: int, blocks: int) -> DataFrame:
-    """(part, half, bits of the half, bits of the other, id, code, flag): each row once for each half."""
-    layout = _layout(bits, blocks)
+_ROW = [("part", "<i8"), ("id", "<i8"), ("flag", "u1"), ("side", "u1")]
+
+
+def _row_type(size: int) -> np.dtype:
+    """A row as it travels: side is 0, or 1 and 2 for the two pieces of a cell, of which only pairs across count."""
+    return np.dtype([*_ROW, ("code", "u1", (size,))])
+
+
+def _chunks(rows: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """(key, rows, packed rows) for each key."""
+    order = np.argsort(keys, kind="stable")
+    rows, keys = rows[order], keys[order]
+    cuts = np.r_[np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]), len(keys)]
+    data, width = rows.tobytes(), rows.itemsize
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        yield int(keys[a]), b - a, data[a * width : b * width]
+
+
+def _size(bits: int) -> int:
+    return -(-bits // 64) * 8
+
+
+_SEGMENT = "bucket bigint, n int, data binary"
+
+
+def _segment_batch(found: list[tuple]) -> pa.RecordBatch:
+    bucket, n, data = zip(*found)
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(n, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "n", "data"])
+
+
+def segments(rows: DataFrame, *, bits: int, most: int) -> DataFrame:
+    """(bucket, n, data): rows (part, id, code, flag) by the position and bits of each half, n of them packed in data. May be stored and added to."""
+    layout, kind = _layout(bits, blocks_for(bits, most)), _row_type(_size(bits))
+
+    def cut(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        raw = _raw(table.column("code"))
+        packed_rows = np.zeros(len(raw), kind)
+        packed_rows["part"], packed_rows["id"] = table.column("part").to_numpy(), table.column("id").to_numpy()
+        packed_rows["flag"], packed_rows["code"] = table.column("flag").to_numpy(), raw[:, :-2]
+        for k, (a, na, *_) in enumerate(layout):
+            yield _segment_batch(list(_chunks(packed_rows, _field(raw, a, na) | (k << 32))))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, len(whole), 4_000):
-                batch = whole.slice(at, 4_000)
-                raw = _bits(batch.column(2).to_pylist())
-                for n, (a, na, b, nb) in enumerate(layout):
-                    own = _field(raw, a, na) | (n << 32)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0), pa.array(own), pa.array(_field(raw, b, nb).astype(np.int32)), batch.column(1), batch.column(2), batch.column(3)],
-                        names=["part", "own", "other", "id", "code", "flag"],
-                    )
+        held, size = [], 0
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+                size += len(batch)
+            if size >= CUT_ROWS:
+                yield from cut(held)
+                held, size = [], 0
+        if held:
+            yield from cut(held)
+
+    return mapped(rows.select("part", "id", "code", "flag"), run, _SEGMENT)
+
+
+def bucket_sizes(rows: DataFrame, *, bits: int, most: int) -> DataFrame:
+    """(bucket, n): how many rows (code) have each half, added up within each task first."""
+    layout = _layout(bits, blocks_for(bits, most))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = [np.zeros(1 << na, np.int64) for _, na, *_ in layout]
+        for batch in batches:
+            if len(batch):
+                raw = _raw(batch.column(0))
+                for (a, na, *_), n in zip(layout, counts):
+                    n += np.bincount(_field(raw, a, na), minlength=len(n))
+        for k, n in enumerate(counts):
+            used = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(used | (k << 32)), pa.array(n[used])], names=["bucket", "n"])
+
+    return mapped(rows.select("code"), run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
 
-    return mapped(rows.select("part", "id", "code", "flag"), run, "part bigint, own bigint, other int, id bigint, code binary, flag boolean")
+
+def heavy_buckets(sizes: DataFrame) -> dict[int, int]:
+    """The pieces of each bucket of more than HEAVY_ROWS rows. sizes: (bucket, n), each bucket once or more.
+
+    A row has one bucket for each half, so there are at most halves * rows /
+    HEAVY_ROWS of them.
+    """
+    big = sizes.groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > HEAVY_ROWS).toArrow()
+    return {b: -(-n // HEAVY_ROWS) for b, n in zip(big["bucket"].to_pylist(), big["n"].to_pylist())}
 
 
 def _first_match(xor: np.ndarray, layout: list[tuple[int, int, int, int]]) -> np.ndarray:
-    """For differing bits (pairs x bits): the first half in which the pair meets."""
+    """For differing bits (pairs x bytes, padded): the first half in which the pair meets."""
     out = np.full(len(xor), len(layout))
-    for n in range(len(layout) - 1, -1, -1):
-        a, na, b, nb = layout[n]
-        out[(xor[:, a : a + na].sum(1) == 0) & (xor[:, b : b + nb].sum(1) <= 1)] = n
+    for k in range(len(layout) - 1, -1, -1):
+        a, na, b, nb = layout[k]
+        out[(_field(xor, a, na) == 0) & (np.bitwise_count(_field(xor, b, nb)) <= 1)] = k
     return out
 
 
+def _expanded(left: np.ndarray, low: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of each left with low .. low + counts - 1, about BLOCK_PAIRS at a time."""
+    some = counts > 0
+    left, low, counts = left[some], low[some], counts[some]
+    ends = np.cumsum(counts)
+    at = 0
+    while at < len(left):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_PAIRS, "right")))
+        n = counts[at:to]
+        yield np.repeat(left[at:to], n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[at:to], n)
+        at = to
+
+
+def _met(keys: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places whose keys are equal or differ in one of the lowest width bits, each pair once."""
+    order = np.argsort(keys, kind="stable")
+    k = keys[order]
+    start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    count = np.diff(np.r_[start, len(k)])
+    run = np.repeat(np.arange(len(start)), count)
+    own = np.arange(len(k))
+    for i, j in _expanded(own, own + 1, (start + count)[run] - own - 1):
+        yield order[i], order[j]
+    distinct = k[start]
+    for bit in range(width):
+        clear = np.flatnonzero(distinct >> bit & 1 == 0)
+        wanted = distinct[clear] | 1 << bit
+        at = np.minimum(np.searchsorted(distinct, wanted), len(distinct) - 1)
+        hit = distinct[at] == wanted
+        partner = np.full(len(distinct), -1)
+        partner[clear[hit]] = at[hit]
+        left = np.flatnonzero(partner[run] >= 0)
+        other = partner[run[left]]
+        for i, j in _expanded(left, start[other], count[other]):
+            yield order[i], order[j]
+
+
+def _narrowed(raw: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that may differ in at most most bits, by blocks of the bits that vary most among these rows; some more than once."""
+    bits = np.unpackbits(raw, axis=1)
+    ones = bits.mean(0)
+    vary = np.flatnonzero((ones > 0) & (ones < 1))
+    vary = vary[np.argsort(np.abs(ones[vary] - 0.5), kind="stable")]
+    blocks = (most + 2) // 2
+    if len(vary) < 2 * blocks:
+        yield from _met(np.zeros(len(raw), np.int64), 0)
+        return
+    for b in range(blocks):
+        own = vary[b::blocks][:40]  # fewer bits only let more pairs through
+        yield from _met(bits[:, own].astype(np.int64) @ (1 << np.arange(len(own), dtype=np.int64)), len(own))
+
+
 def near_pairs(rows: DataFrame, *, bits: int, most: int, nearest: int | None = None) -> DataFrame:
     """(part, a, b, d) with a < b: all pairs of a part that differ in at most most bits, once each.
 
     rows: (part bigint, id bigint, code binary, flag boolean), see pairs_of.
+    They are gone over twice, once to count their buckets.
     """
-    return pairs_of(segments(rows, bits=bits, most=most), bits=bits, most=most, nearest=nearest)
+    heavy = heavy_buckets(bucket_sizes(rows, bits=bits, most=most))
+    return pairs_of(segments(rows, bits=bits, most=most), heavy, bits=bits, most=most, nearest=nearest)
 
 
-def segments(rows: DataFrame, *, bits: int, most: int) -> DataFrame:
-    """(part, own, other, id, code, flag): rows by the position and bits of each half. May be stored and added to."""
-    return _halves(rows, bits, blocks_for(bits, most))
-
+def _celled(met: DataFrame, heavy: dict[int, int], bits: int) -> DataFrame:
+    """Segments with the cell each is compared in; rows of a heavy bucket go to a cell for each other piece of it."""
+    kind = _row_type(_size(bits))
 
-def pairs_of(met: DataFrame, *, bits: int, most: int, nearest: int | None = None) -> DataFrame:
-    """Near pairs of segments, by (part, a, b, d).
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for bucket, n, data in zip(*(c.to_pylist() for c in batch.columns)):
+                pieces = heavy.get(bucket, 1)
+                rows = np.frombuffer(data, kind).copy()
+                piece = (rows["id"].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % pieces
+                for i in np.unique(piece).tolist():
+                    own = rows[piece == i]
+                    for j in range(pieces):
+                        own["side"] = 0 if i == j else 1 if i < j else 2
+                        out.append((bucket, min(i, j) * pieces + max(i, j), len(own), own.tobytes()))
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["bucket", "cell", "n", "data"])
+
+    schema = "bucket bigint, cell bigint, n int, data binary"
+    split = F.col("bucket").isin(list(heavy))
+    return met.filter(~split).select("bucket", F.lit(0).cast("bigint").alias("cell"), "n", "data").unionByName(mapped(met.filter(split).select("bucket", "n", "data"), run, schema))
+
+
+def pairs_of(met: DataFrame, heavy: dict[int, int], *, bits: int, most: int, nearest: int | None = None) -> DataFrame:
+    """Near pairs of segments, by (part, a, b, d). heavy: see heavy_buckets.
 
     Codes should be distinct within a part (collapse copies first: they would
     all meet). Pairs of two rows without the flag are left out. With nearest, a task gives of every
     row's pairs only those to the nearest others by (d, id); whatever is among
     a row's nearest over all is among them in the one task that gives it.
-    Groups of a half are streamed from a sort; a task holds one group at least.
+    Buckets are streamed from a sort. A bucket that many rows have is split
+    into pieces and its pairs of pieces are spread over tasks, so a task holds
+    2 * HEAVY_ROWS rows at most. Within a task, rows that are too much alike
+    in a block are narrowed by the other bits in which they differ.
     """
     if most >= bits:
         raise ValueError("the threshold takes in all pairs")
-    layout = _layout(bits, blocks_for(bits, most))
-    flips = [1 << i for i in range(max(nb for *_, nb in layout))]
-
-    def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        part, own, other, ids = (table.column(c).to_numpy() for c in ("part", "own", "other", "id"))
-        flag = table.column("flag").to_numpy()
-        codes = table.column("code").to_pylist()
-        words = np.frombuffer(b"".join(codes), np.uint64).reshape(len(codes), -1)
-        group = np.cumsum(np.r_[0, (own[1:] != own[:-1]) | (part[1:] != part[:-1])]).astype(np.int64)
-        sort = group << 32 | other  # ascending: the rows come sorted
-        found: list[tuple[np.ndarray, ...]] = []
-        for flip in [0, *flips]:
-            if flip:
-                left = np.flatnonzero((other & flip) == 0)
-                low, high = np.searchsorted(sort, sort[left] | flip, "left"), np.searchsorted(sort, sort[left] | flip, "right")
-            else:
-                left = np.arange(len(sort))
-                low, high = left + 1, np.searchsorted(sort, sort, "right")
-            counts = high - low
-            left, low, counts = left[counts > 0], low[counts > 0], counts[counts > 0]
-            ends = np.cumsum(counts)
-            at = 0
-            while at < len(left):
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_PAIRS, "right")))
-                n = counts[at:to]
-                i = np.repeat(left[at:to], n)
-                j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[at:to], n)
-                at = to
-                good = flag[i] | flag[j]
-                i, j = i[good], j[good]
-                d = np.bitwise_count(words[i] ^ words[j]).sum(1, dtype=np.int64)
-                i, j, d = i[d <= most], j[d <= most], d[d <= most]
-                if len(i):
-                    first = _first_match(_bits([(x ^ y).tobytes() for x, y in zip(words[i], words[j])]), layout)
-                    keep = first == own[i] >> 32
-                    found.append((i[keep], j[keep], d[keep]))
+    layout, kind = _layout(bits, blocks_for(bits, most)), _row_type(_size(bits))
+    width = max(nb for *_, nb in layout)
+
+    def near(rows: np.ndarray, raw: np.ndarray, words: np.ndarray, half: np.ndarray, pairs: Iterable) -> Iterator[tuple[np.ndarray, ...]]:
+        flag, side = rows["flag"], rows["side"]
+        mixed = bool(side.any())
+        for i, j in pairs:
+            good = flag[i] | flag[j] > 0
+            if mixed:
+                good &= (side[i] + side[j]) % 3 == 0
+            i, j = i[good], j[good]
+            d = np.bitwise_count(words[i] ^ words[j]).sum(1, dtype=np.int64)
+            close = d <= most
+            i, j, d = i[close], j[close], d[close]
+            if len(i):
+                keep = _first_match(raw[i] ^ raw[j], layout) == half[i]
+                yield i[keep], j[keep], d[keep]
+
+    def compare(buckets: np.ndarray, cells: np.ndarray, counts: np.ndarray, data: list[bytes]) -> Iterator[pa.RecordBatch]:
+        rows = np.frombuffer(b"".join(data), kind)
+        code = np.ascontiguousarray(rows["code"])
+        words, raw = code.view(np.uint64), np.pad(code, ((0, 0), (0, 2)))
+        number = np.cumsum(np.r_[0, (buckets[1:] != buckets[:-1]) | (cells[1:] != cells[:-1])])
+        half, bucket = np.repeat(buckets >> 32, counts), np.repeat(number, counts)
+        other = np.zeros(len(rows), np.int64)
+        for k in np.unique(half).tolist():
+            own = half == k
+            other[own] = _field(raw[own], *layout[k][2:])
+        order = np.lexsort((other, rows["part"], bucket))  # by group, then the other half
+        rows, words, raw, half, other, bucket = (x[order] for x in (rows, words, raw, half, other, bucket))
+        part = rows["part"]
+        first = np.r_[True, (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])]
+        group = np.cumsum(first) - 1
+        starts = np.flatnonzero(first)
+        sizes = np.diff(np.r_[starts, len(rows)])
+        alike = np.flatnonzero(np.r_[True, first[1:] | (other[1:] != other[:-1])])
+        alone = np.diff(np.r_[alike, len(rows)])
+        crowd = np.bincount(group[alike], weights=alone.astype(float) * alone / 2, minlength=len(sizes))
+        dense = crowd > DENSE * sizes
+        found = []
+        plain = np.flatnonzero(~dense[group])
+        if len(plain):
+            keys = group[plain] << width | other[plain]
+            found += near(rows, raw, words, half, ((plain[i], plain[j]) for i, j in _met(keys, width)))
+        for g in np.flatnonzero(dense).tolist():
+            here = np.arange(starts[g], starts[g] + sizes[g])
+            some = list(near(rows, raw, words, half, ((here[i], here[j]) for i, j in _narrowed(code[order[here]], most))))
+            if some:
+                i, j, d = (np.concatenate(x) for x in zip(*some))
+                _, once = np.unique(np.minimum(i, j) * len(rows) + np.maximum(i, j), return_index=True)
+                found.append((i[once], j[once], d[once]))
         if not found:
             return
         i, j, d = (np.concatenate(x) for x in zip(*found))
+        ids = rows["id"]
         if nearest is not None and len(i):
-            u, v, dd, pair = np.r_[i, j], np.r_[j, i], np.r_[d, d], np.r_[np.arange(len(i)), np.arange(len(i))]
-            order = np.lexsort((ids[v], dd, u))
-            us = u[order]
-            start = np.flatnonzero(np.r_[True, us[1:] != us[:-1]])
-            rank = np.arange(len(us)) - np.repeat(start, np.diff(np.r_[start, len(us)]))
+            pair = np.arange(len(i))
+            u, v, dd, pair = np.r_[i, j], np.r_[j, i], np.r_[d, d], np.r_[pair, pair]
+            # a row has a place in each of its buckets, of which this task may hold several
+            order = np.lexsort((ids[v], dd, ids[u], part[u]))
+            u = u[order]
+            start = np.flatnonzero(np.r_[True, (ids[u[1:]] != ids[u[:-1]]) | (part[u[1:]] != part[u[:-1]])])
+            rank = np.arange(len(u)) - np.repeat(start, np.diff(np.r_[start, len(u)]))
             kept = np.unique(pair[order[rank < nearest]])
             i, j, d = i[kept], j[kept], d[kept]
         x, y = ids[i], ids[j]
@@ -180,20 +355,27 @@ def pairs_of(met: DataFrame, *, bits: int, most: int, nearest: int | None = None
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
-        for batch in batches:
-            held.append(batch)
-            size += len(batch)
-            if size < BLOCK_ROWS:
-                continue
-            table = pa.Table.from_batches(held)
-            own, part = table.column("own").to_numpy(), table.column("part").to_numpy()
-            differs = np.flatnonzero((own != own[-1]) | (part != part[-1]))
-            cut = int(differs[-1]) + 1 if len(differs) else 0  # the last group may go on
-            if cut:
-                yield from compare(table.slice(0, cut).combine_chunks())
-                rest = table.slice(cut).combine_chunks()
-                held, size = rest.to_batches(), len(rest)
+
+        def taken(table: pa.Table) -> tuple:
+            return *(table.column(c).to_numpy() for c in ("bucket", "cell", "n")), table.column("data").to_pylist()
+
+        for whole in batches:
+            for at in range(0, len(whole), 512):
+                batch = whole.slice(at, 512)
+                held.append(batch)
+                size += int(batch.column(2).to_numpy().sum())
+                if size < BLOCK_ROWS:
+                    continue
+                table = pa.Table.from_batches(held)
+                bucket, cell = table.column("bucket").to_numpy(), table.column("cell").to_numpy()
+                differs = np.flatnonzero((bucket != bucket[-1]) | (cell != cell[-1]))
+                cut = int(differs[-1]) + 1 if len(differs) else 0  # the last bucket may go on
+                if cut:
+                    yield from compare(*taken(table.slice(0, cut)))
+                    rest = table.slice(cut).combine_chunks()
+                    held, size = rest.to_batches(), int(rest.column("n").to_numpy().sum())
         if held:
-            yield from compare(pa.Table.from_batches(held))
+            yield from compare(*taken(pa.Table.from_batches(held)))
 
-    return mapped(met.repartition("part", "own").sortWithinPartitions("part", "own", "other"), run, "part bigint, a bigint, b bigint, d int")
+    celled = _celled(met, heavy, bits) if heavy else met.select("bucket", F.lit(0).cast("bigint").alias("cell"), "n", "data")
+    return mapped(celled.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell"), run, "part bigint, a bigint, b bigint, d int")

@@ -252,6 +252,29 @@ def test_near_pairs_are_exact(spark, n, most):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def alike(n, count, flat, seed=4):
+    """A third of the rows without a bit set in the first flat ones, and near rows to each third one."""
+    r = np.random.default_rng(seed)
+    rows = r.random((count, n)) < 0.5
+    rows[::3, :flat] = False
+    rows[1::7] = rows[::7][: len(rows[1::7])] ^ (r.random(rows[1::7].shape) < 0.05)
+    return [x.tolist() for x in rows]
+
+
+@pytest.mark.parametrize("flat", [10, 20, 128])
+@pytest.mark.parametrize("heavy, dense, block", [(500_000, 256, 200_000), (40, 256, 100), (500_000, 2, 100), (40, 2, 200_000)])
+def test_near_pairs_of_skewed_hashes(spark, monkeypatch, flat, heavy, dense, block):
+    for name, value in (("HEAVY_ROWS", heavy), ("DENSE", dense), ("BLOCK_ROWS", block)):
+        monkeypatch.setattr(hamming, name, value)
+    rows = alike(256, 420, flat)
+    x = np.array(rows)
+    apart = (x[:, None] ^ x[None]).sum(-1)
+    want = {(a, b, int(apart[a, b])) for a in range(len(x)) for b in range(a + 1, len(x)) if apart[a, b] <= 25}
+    df = spark.createDataFrame(list(enumerate(rows)), "hash_id long, hash array<boolean>")
+    got = [tuple(r) for r in dedup.near_pairs(df, bits=256, most=25).collect()]
+    assert len(want) > 40 and len(got) == len(set(got)) and set(got) == want
+
+
 def test_greedy_rounds(spark):
     r = random.Random(8)
     for _ in range(6):
