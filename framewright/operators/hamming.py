@@ -110,7 +110,8 @@ def _size(bits: int) -> int:
     return -(-bits // 64) * 8
 
 
-_SEGMENT = "bucket bigint, n int, data binary"
+#: Schema of segments, as they are stored.
+SEGMENT = "bucket bigint, n int, data binary"
 
 
 def _segment_batch(found: list[tuple]) -> pa.RecordBatch:
@@ -143,7 +144,7 @@ def segments(rows: DataFrame, *, bits: int, most: int) -> DataFrame:
         if held:
             yield from cut(held)
 
-    return mapped(rows.select("part", "id", "code", "flag"), run, _SEGMENT)
+    return mapped(rows.select("part", "id", "code", "flag"), run, SEGMENT)
 
 
 def bucket_sizes(rows: DataFrame, *, bits: int, most: int) -> DataFrame:

@@ -106,6 +106,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Takes away a folder of this package's own, whatever its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     """Collects a dimension that must be small; more than limit rows is an error, never a cut."""
     rows = df.take(limit + 1)
