@@ -10,18 +10,23 @@ probe looks at its own position alone.
 
 from __future__ import annotations
 
-import json
-from pathlib import Path
+import uuid
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.functions.numbers import small_side
 from framewright.operators import greedy, hamming
-from framewright.session import checkpointed
+from framewright.session import checkpointed, removed, shared_folder
+
+#: Ranges of segments that a scan of the index is told to read; nearer ones are joined.
+MOST_RANGES = 128
 
 _PLACES = "array<struct<batch:int,id:bigint>>"
-_NODE = "part bigint, cache string, code binary, old bigint, new struct<batch:int,id:bigint>, id bigint"
+_RUN = "run int, bits int, most int"
 
 
 def _rows(df: DataFrame, bits: int, id_col: str, hash_col: str, cache_col: str, batch_col: str) -> DataFrame:
@@ -46,10 +51,11 @@ def _flagged(nodes: DataFrame) -> DataFrame:
 
 
 def _resolved(rows: DataFrame, nodes: DataFrame, near: DataFrame) -> DataFrame:
-    """(kept_id, dup_id) of the rows of later batches, given nodes (of history and of the batches) and their near pairs."""
-    # the digest of a cache may clash with another's, so the pair's caches are compared too
-    ends = [nodes.select(F.col("id").alias(s), F.col("cache").alias(f"cache_{s}"), F.struct("old", "new").alias(f"node_{s}")) for s in ("a", "b")]
-    pairs = checkpointed(near.join(ends[0], "a").join(ends[1], "b").filter("cache_a = cache_b").select("a", "b", "node_a", "node_b"))
+    """(kept_id, dup_id) of the rows of later batches, given their nodes and the near pairs of these with each other and with accepted rows."""
+    ends = [nodes.select(F.col("id").alias(s), F.struct("old", "new").alias(f"node_{s}")) for s in ("a", "b")]
+    accepted = [F.struct(F.col(s).alias("old"), F.lit(None).cast("struct<batch:int,id:bigint>").alias("new")) for s in ("a", "b")]
+    pairs = near.join(ends[0], "a", "left").join(ends[1], "b", "left")
+    pairs = checkpointed(pairs.select("a", "b", *[F.coalesce(f"node_{s}", node).alias(f"node_{s}") for s, node in zip("ab", accepted)]))
 
     def link(x: str, y: str):
         return F.struct(F.col(x).alias("id"), F.col(f"node_{x}").alias("node"), F.col(y).alias("other"), F.col(f"node_{y}").alias("peer"))
@@ -76,66 +82,110 @@ def _resolved(rows: DataFrame, nodes: DataFrame, near: DataFrame) -> DataFrame:
     return found.select(F.least("history", earlier).alias("kept_id"), F.col("id").alias("dup_id")).filter("kept_id IS NOT NULL")
 
 
-def repeats(
-    df: DataFrame, *, bits: int, most: int, id_col: str = "hash_id", hash_col: str = "hash", cache_col: str = "cache_name", batch_col: str = "batch_no"
-) -> DataFrame:
-    """(kept_id, dup_id): each rejected row with the smallest accepted id it repeats.
-
-    All of batch 0 is accepted. Then rows go by (batch, id); a row is rejected
-    if an accepted row of its cache differs in at most most bits. A null cache
-    is a cache of its own. Rows with a null or differently long hash, a null
-    within it, a null id or a null batch are left out.
-
-    Copies within a cache are one node of the index. Pairs of nodes without a
-    row of a new batch are never made, so history is stored and looked up but
-    not compared with itself.
-    """
-    rows = _rows(df, bits, id_col, hash_col, cache_col, batch_col)
-    nodes = checkpointed(_nodes(rows))
-    return _resolved(rows, nodes, hamming.near_pairs(_flagged(nodes), bits=bits, most=most))
+def _ranges(places: np.ndarray, most: int = MOST_RANGES) -> list[tuple[int, int]]:
+    """Ascending numbers as ranges (first, last), most at most: what lies nearest is joined."""
+    if not len(places):
+        return []
+    gaps = np.diff(places)
+    cuts = np.sort(np.argsort(-gaps, kind="stable")[: most - 1])
+    cuts = cuts[gaps[cuts] > 1]
+    return list(zip(places[np.r_[0, cuts + 1]].tolist(), places[np.r_[cuts, len(places) - 1]].tolist()))
 
 
 class SegmentIndex:
     """The accepted vectors, cut to segments, in a folder that all executors share.
 
-    A batch reads the segments it can meet, not the vectors' history, and adds
-    its own accepted ones. Each batch has a folder that appears when it is
-    whole; adding a batch again replaces it, so a failed run may be repeated.
-    Batches are added in ascending order.
+    A run reads the segments that its vectors can meet and adds its own
+    accepted ones; history is neither cut again nor compared with itself. The
+    stored segments are sorted, and their scan is given the ranges wanted, so
+    it passes over the others. A run counts once its record is written, last
+    of all; adding a run again replaces it, so a failed one may be repeated.
+    Runs are added in ascending order. Everything goes through Spark's
+    readers and writers, so any file system will do.
     """
 
     def __init__(self, spark: SparkSession, folder: str, *, bits: int, most: int):
-        self.spark, self.folder, self.bits, self.most = spark, Path(folder), bits, most
-        self.folder.mkdir(parents=True, exist_ok=True)
-        shape = self.folder / "shape.json"
-        if shape.exists():
-            if json.loads(shape.read_text()) != [bits, most]:
+        self.spark, self.folder, self.bits, self.most = spark, folder, bits, most
+        for r in self._runs():
+            if (r["bits"], r["most"]) != (bits, most):
                 raise ValueError(f"{folder} was made for other bits or another threshold")
-        else:
-            shape.write_text(json.dumps([bits, most]))
-
-    def _stored(self, kind: str, before: int, schema: str) -> DataFrame:
-        done = [str(p) for p in self.folder.glob(f"{kind}/batch=*") if int(p.name[6:]) < before and (p / "_SUCCESS").exists()]
-        return self.spark.read.schema(schema).parquet(*done) if done else self.spark.createDataFrame([], schema)
-
-    def _append(self, nodes: DataFrame, batch: int) -> None:
-        cut = hamming.segments(_flagged(nodes).withColumn("flag", F.lit(False)), bits=self.bits, most=self.most)
-        cut.write.mode("overwrite").parquet(str(self.folder / "segments" / f"batch={batch}"))
-        nodes.write.mode("overwrite").parquet(str(self.folder / "nodes" / f"batch={batch}"))
 
-    def add(self, df: DataFrame, batch: int, *, id_col: str = "hash_id", hash_col: str = "hash", cache_col: str = "cache_name") -> DataFrame:
-        """(kept_id, dup_id) of one batch's rejected rows; its accepted rows join the index. Batch 0 is accepted whole."""
-        rows = _rows(df.withColumn("_batch", F.lit(batch)), self.bits, id_col, hash_col, cache_col, "_batch")
+    def _runs(self) -> list:
+        try:
+            return self.spark.read.schema(_RUN).parquet(f"{self.folder}/runs/*").collect()  # one row a run
+        except AnalysisException:  # nothing was added yet
+            return []
+
+    def _stored(self, kind: str, run: int, schema: str) -> DataFrame:
+        done = sorted(r["run"] for r in self._runs() if r["run"] < run)
+        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{kind}/{n}" for n in done]) if done else self.spark.createDataFrame([], schema)
+
+    def segments(self, run: int, buckets: np.ndarray) -> DataFrame:
+        """The stored segments of runs before run that lie in some buckets (ascending)."""
+        stored = self._stored("segments", run, hamming.SEGMENT)
+        wanted = [F.col("bucket").between(a, b) for a, b in _ranges(buckets)]
+        exact = self.spark.createDataFrame(pa.table({"bucket": buckets}), "bucket bigint")  # halves * 2 ** bits of a half at most
+        return stored.filter(reduce(lambda x, y: x | y, wanted, F.lit(False))).join(F.broadcast(exact), "bucket", "left_semi").select("bucket", "n", "data")
+
+    def _append(self, nodes: DataFrame, caches: DataFrame, run: int) -> None:
+        cut = hamming.segments(nodes.select("part", "id", "code", F.lit(False).alias("flag")), bits=self.bits, most=self.most)
+        cut = cut.repartition("bucket").sortWithinPartitions("bucket")
+        cut.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/segments/{run}")
+        caches.write.mode("overwrite").parquet(f"{self.folder}/caches/{run}")
+        self.spark.createDataFrame([(run, self.bits, self.most)], _RUN).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/runs/{run}")
+
+    def _new_caches(self, nodes: DataFrame, run: int) -> DataFrame:
+        """Caches that no earlier run had; two with one digest are an error, as their rows would meet."""
+        own = nodes.select("part", "cache").distinct()
+        known = self._stored("caches", run, "part bigint, cache string")
+        clash = own.join(known.withColumnRenamed("cache", "_c"), "part").filter("cache <> _c").select("part").unionByName(own.groupBy("part").count().filter("count > 1").select("part"))
+        if not clash.isEmpty():
+            raise ValueError("two cache names have one digest; rename one of them")
+        return own.join(known, ["part", "cache"], "left_anti")
+
+    def add(self, df: DataFrame, run: int, *, id_col: str = "hash_id", hash_col: str = "hash", cache_col: str = "cache_name", batch_col: str | None = None, keep: bool = True) -> DataFrame:
+        """(kept_id, dup_id) of the rejected rows of one run; its accepted rows join the index, unless it is only to be looked up.
+
+        A run has one batch, of its own number, or those of batch_col; batch 0
+        is accepted whole.
+        """
+        named = df if batch_col else df.withColumn("_batch", F.lit(run))
+        rows = _rows(named, self.bits, id_col, hash_col, cache_col, batch_col or "_batch")
         fresh = checkpointed(_nodes(rows))
-        if batch == 0:
-            self._append(fresh, 0)
+        caches = self._new_caches(fresh, run)
+        if fresh.filter("new IS NOT NULL").isEmpty():
+            self._append(fresh, caches, run)
             return self.spark.createDataFrame([], "kept_id bigint, dup_id bigint")
-        own = checkpointed(hamming.segments(_flagged(fresh), bits=self.bits, most=self.most))
-        met = self._stored("segments", batch, "part bigint, own bigint, other int, id bigint, code binary, flag boolean").join(small_side(own.select("part", "own").distinct()), ["part", "own"], "left_semi")
-        near = checkpointed(hamming.pairs_of(own.unionByName(met), bits=self.bits, most=self.most))
-        history = self._stored("nodes", batch, _NODE).join(small_side(near.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "id", "left_semi")
-        accepted = history.select("part", "cache", "code", F.coalesce("old", "new.id").alias("old"), F.lit(None).cast("struct<batch:int,id:bigint>").alias("new"), "id")
-        found = checkpointed(_resolved(rows, fresh.unionByName(accepted), near))
-        kept = rows.join(found.select(F.col("dup_id").alias("id")), "id", "left_anti")
-        self._append(_nodes(kept), batch)
+        shape = {"bits": self.bits, "most": self.most}
+        sizes = hamming.bucket_sizes(fresh, **shape).toArrow()
+        met = self.segments(run, np.sort(sizes["bucket"].to_numpy()))
+        heavy = hamming.heavy_buckets(met.select("bucket", F.col("n").cast("bigint").alias("n")).unionByName(self.spark.createDataFrame(sizes, "bucket bigint, n bigint")))
+        near = hamming.pairs_of(hamming.segments(_flagged(fresh), **shape).unionByName(met), heavy, **shape)
+        found = checkpointed(_resolved(rows, fresh, near))
+        if keep:
+            self._append(_nodes(rows.join(found.select(F.col("dup_id").alias("id")), "id", "left_anti")), caches, run)
         return found
+
+
+def repeats(
+    df: DataFrame, *, bits: int, most: int, id_col: str = "hash_id", hash_col: str = "hash", cache_col: str = "cache_name", batch_col: str = "batch_no"
+) -> DataFrame:
+    """(kept_id, dup_id): each rejected row with the smallest accepted id it repeats.
+
+    All of batch 0 is accepted. Then rows go by (batch, id); a row is rejected
+    if an accepted row of its cache differs in at most most bits. A null cache
+    is a cache of its own. Rows with a null or differently long hash, a null
+    within it, a null id or a null batch are left out.
+
+    An index is made of batch 0 in the shared folder; the later batches, as
+    one run, are looked up in it and in each other. It is taken away at the
+    end; a SegmentIndex of one's own stays for the next run.
+    """
+    folder = f"{shared_folder(df.sparkSession)}/segment-index-{uuid.uuid4().hex}"
+    index = SegmentIndex(df.sparkSession, folder, bits=bits, most=most)
+    names = {"id_col": id_col, "hash_col": hash_col, "cache_col": cache_col, "batch_col": batch_col}
+    try:
+        index.add(df.filter(F.col(batch_col) == 0), 0, **names)
+        return index.add(df.filter(F.col(batch_col) != 0), 1, **names, keep=False)
+    finally:
+        removed(df.sparkSession, folder)

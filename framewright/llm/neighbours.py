@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.functions.numbers import small_side
 from framewright.operators import hamming
 from framewright.session import checkpointed, mapped
 
@@ -39,24 +40,31 @@ def nearest_hashes(df: DataFrame, *, bits: int, most: int, k: int, id_col: str =
     many rows share costs those rows one join, not their pairs.
     """
     rows = hamming.packed(df, id_col, hash_col, bits)
-    codes = (
+    codes = checkpointed(
         _first_rows(rows, ["code"], ["id"], k + 1)
         .groupBy("code")
         .agg(F.sort_array(F.collect_list("id")).alias("ids"))
         .select("code", "ids", F.col("ids")[0].alias("rep"))
     )
     inner = codes.select(F.lit(0).cast("bigint").alias("part"), F.col("rep").alias("id"), "code", F.lit(True).alias("flag"))
-    pairs = hamming.near_pairs(inner, bits=bits, most=most, nearest=k).select("a", "b", "d")
+    pairs = checkpointed(hamming.near_pairs(inner, bits=bits, most=most, nearest=k).select("a", "b", "d"))
     both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("b").alias("v"), "d"), F.struct(F.col("b").alias("rep"), F.col("a").alias("v"), "d"))).alias("p")).select("p.*")
     near = _first_rows(both, ["rep"], ["d", "v"], k)
-    beside = near.join(codes.select(F.col("rep").alias("v"), "ids"), "v").groupBy("rep").agg(
-        F.flatten(F.collect_list(F.transform(F.slice("ids", 1, k), lambda i: F.struct(F.col("d").alias("d"), i.alias("id"))))).alias("others")
+    several = codes.filter(F.size("ids") > 1)  # a hash of one row is its representative
+    beside = near.join(several.select(F.col("rep").alias("v"), "ids"), "v", "left").groupBy("rep").agg(
+        F.flatten(F.collect_list(F.transform(F.slice(F.coalesce("ids", F.array("v")), 1, k), lambda i: F.struct(F.col("d").alias("d"), i.alias("id"))))).alias("others")
     )
-    lists = codes.join(beside, "rep", "left").filter((F.size("ids") > 1) | F.col("others").isNotNull())
-    own = F.transform("ids", lambda i: F.struct(F.lit(0).alias("d"), i.alias("id")))
-    ranked = lists.select("code", F.slice(F.array_sort(F.concat(own, F.coalesce("others", F.array().cast("array<struct<d:int,id:bigint>>")))), 1, 2 * k + 1).alias("ranked"))
-    found = rows.join(ranked, "code").select("id", F.explode(F.slice(F.filter("ranked", lambda x: x["id"] != F.col("id")), 1, k)).alias("o"))
-    return found.select(F.least("id", "o.id").alias("hash_a"), F.greatest("id", "o.id").alias("hash_b")).distinct()
+    lists = several.select("rep", "ids").join(beside, "rep", "full").withColumn("ids", F.coalesce("ids", F.array("rep")))
+    kind = "array<struct<d:int,id:bigint>>"
+    own = F.transform("ids", lambda i: F.struct(F.lit(0).alias("d"), i.alias("id"))).cast(kind)
+    ranked = F.slice(F.array_sort(F.concat(own, F.coalesce("others", F.array().cast(kind)))), 1, 2 * k + 1)
+    listed = lists.select(F.explode("ids").alias("id"), ranked.alias("ranked"))
+    nearest = listed.select("id", F.slice(F.transform(F.filter("ranked", lambda x: x["id"] != F.col("id")), lambda x: x["id"]), 1, k).alias("others"))
+    # further rows of a hash that k + 1 rows share have the first k of them nearest
+    full = small_side(codes.filter(F.size("ids") > k).select("code", "ids"))
+    further = rows.join(full, "code").filter(F.col("id") > F.element_at("ids", -1)).select("id", F.slice("ids", 1, k).alias("others"))
+    found = nearest.unionByName(further).select("id", F.explode("others").alias("o"))
+    return found.select(F.least("id", "o").alias("hash_a"), F.greatest("id", "o").alias("hash_b")).distinct()
 
 
 def _perturbations(k: int, probes: int) -> list[tuple[int, ...]]:

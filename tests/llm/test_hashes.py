@@ -90,6 +90,38 @@ def test_segment_index(spark, tmp_path):
         batch_dedup.SegmentIndex(spark, str(tmp_path / "index"), bits=64, most=7)
 
 
+def test_index_reads_what_a_batch_can_meet(spark, tmp_path):
+    rows = near_rows(34, n=400, centres=60)
+    df = frame(spark, rows)
+    index = batch_dedup.SegmentIndex(spark, str(tmp_path / "index"), bits=64, most=6)
+    index.add(df, 0)
+    few = df.filter("hash_id IN (1, 4)").selectExpr("0L AS part", "hash_id AS id", "hash")
+    codes = batch_dedup.hamming.packed(few, "id", "hash", 64)
+    wanted = np.array(sorted(r["bucket"] for r in batch_dedup.hamming.bucket_sizes(codes, bits=64, most=6).collect()))
+    met = index.segments(1, wanted)
+    assert {r["bucket"] for r in met.collect()} == set(wanted.tolist()) and len(wanted) <= 16
+    everything = spark.read.parquet(str(tmp_path / "index" / "segments" / "0"))
+    assert 0 < met.count() < everything.count() / 10
+    plan = met._sc._jvm.PythonSQLUtils.explainString(met._jdf.queryExecution(), "formatted")
+    assert "GreaterThanOrEqual(bucket," in plan and "LessThanOrEqual(bucket," in plan
+
+
+def test_ranges():
+    r = np.random.default_rng(3)
+    for n, most in ((0, 4), (1, 4), (50, 1), (50, 7), (400, 400)):
+        places = np.unique(r.integers(0, 1_000, n))
+        got = batch_dedup._ranges(places, most)
+        assert len(got) <= most and all(any(a <= x <= b for a, b in got) for x in places.tolist())
+        assert all(b < c for (_, b), (c, _) in zip(got, got[1:])) and {x for ab in got for x in ab} <= set(places.tolist())
+
+
+def test_caches_of_one_digest_are_refused(spark, tmp_path, monkeypatch):
+    nodes = batch_dedup._nodes
+    monkeypatch.setattr(batch_dedup, "_nodes", lambda rows: nodes(rows).withColumn("part", F.lit(5).cast("bigint")))
+    with pytest.raises(ValueError):
+        batch_dedup.SegmentIndex(spark, str(tmp_path / "index"), bits=64, most=6).add(frame(spark, near_rows(3)), 0)
+
+
 def test_nearest_vectors(spark):
     r = np.random.default_rng(5)
     centres = r.normal(size=(20, 16)) * 4
