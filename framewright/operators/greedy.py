@@ -8,66 +8,84 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.session import checkpointed, mapped
 
-#: Edges (two numbers each) that one task may settle; more are settled by rounds over the cluster.
-FEW = 100_000
-#: Rounds decide at least the first item of every chain; this many would mean a bug.
-MOST_ROUNDS = 10_000
-
-
-def settled(edges: list[tuple[int, int]]) -> set[int]:
-    """The dropped items of a graph in memory, items being decided once all their earlier neighbours are."""
-    earlier: dict[int, list[int]] = {}
-    later: dict[int, list[int]] = {}
-    for lo, hi in edges:
-        earlier.setdefault(hi, []).append(lo)
-        later.setdefault(lo, []).append(hi)
-    waiting = {hi: len(los) for hi, los in earlier.items()}
-    ready, gone = [x for x in later if x not in earlier], set()
+#: Rounds after which what they dropped is put together, so that the plan stays short.
+FOLD = 16
+
+
+def settled(lo: np.ndarray, hi: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(items, whether dropped) of the his that these edges decide; free: whether an edge's lo is kept for certain.
+
+    A hi is dropped as soon as one of its los is kept, and kept once all are
+    dropped. One that hangs on a lo decided elsewhere stays open.
+    """
+    names, place = np.unique(np.concatenate([lo, hi]), return_inverse=True)
+    low, high = place[: len(lo)], place[len(lo) :]
+    order = np.argsort(low, kind="stable")
+    ends = np.searchsorted(low[order], np.arange(len(names) + 1)).tolist()
+    later = high[order].tolist()
+    waiting = np.bincount(high, minlength=len(names)).tolist()
+    status = [-1] * len(names)
+    ready = np.unique(low[free]).tolist()
+    for x in ready:
+        status[x] = 0
     while ready:
         x = ready.pop()
-        if any(lo not in gone for lo in earlier.get(x, ())):
-            gone.add(x)
-        for hi in later.get(x, ()):
-            waiting[hi] -= 1
-            if not waiting[hi]:
-                ready.append(hi)
-    return gone
+        for y in later[ends[x] : ends[x + 1]]:
+            if status[y] < 0:
+                if status[x] == 0:
+                    status[y] = 1
+                    ready.append(y)
+                else:
+                    waiting[y] -= 1
+                    if not waiting[y]:
+                        status[y] = 0
+                        ready.append(y)
+    own = np.unique(high)
+    state = np.array(status, np.int8)[own]
+    return names[own[state >= 0]], state[state >= 0] == 1
+
 
+def _round(left: DataFrame, partitions: int | None) -> DataFrame:
+    """(id, gone) of the items that one round decides: edges with their neighbours in the order, each task as far as it gets."""
 
-def _in_one_task(left: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = [e for b in batches for e in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(settled(edges)), pa.int64())], names=["id"])
+        held = [b for b in batches if len(b)]
+        if held:
+            table = pa.Table.from_batches(held)
+            ids, gone = settled(*(table.column(c).to_numpy() for c in ("lo", "hi", "free")))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(gone)], names=["id", "gone"])
 
-    return mapped(left.select("lo", "hi").repartition(1), run, "id bigint")
+    later = left.select(F.col("hi").alias("lo"), F.lit(False).alias("_free")).distinct()
+    flagged = left.join(later, "lo", "left").select("lo", "hi", F.coalesce("_free", F.lit(True)).alias("free"))
+    near = flagged.repartitionByRange("hi") if partitions is None else flagged.repartitionByRange(partitions, "hi")
+    return mapped(near, run, "id bigint, gone boolean")
 
 
-def dropped(edges: DataFrame, few: int | None = None) -> DataFrame:
+def dropped(edges: DataFrame, partitions: int | None = None) -> DataFrame:
     """(id): items dropped by the elimination. edges: (lo, hi), lo being earlier in the order, without cycles.
 
-    Each round keeps the items without an earlier neighbour left, drops their
-    later neighbours and takes both out. Items in no edge are kept. What is
-    left of the edges is checkpointed in each round, so a lost executor costs
-    that round only; what a round dropped follows from its checkpoint. Once
-    no more than few edges are left, one task settles them.
+    Goes in rounds, whatever the size. Edges are cut into ranges of their
+    later item (partitions of them, else as the session has it); each task
+    decides what follows from its own edges and from the items without an
+    earlier neighbour left, and the next round goes on with the rest. A round
+    decides at least all that is next to such items, so it ends. What a round
+    decided and what it leaves are checkpointed, so a lost executor costs that
+    round only. Items in no edge are kept.
     """
-    few = FEW if few is None else few
-    left, gone = checkpointed(edges.select("lo", "hi").distinct()), None
-    for _ in range(MOST_ROUNDS):
-        n = left.count()
-        if n <= few:
-            rest = _in_one_task(left) if n else left.select(F.col("hi").alias("id"))
-            return rest if gone is None else gone.unionByName(rest)
-        later = left.select(F.col("hi").alias("lo")).distinct()
-        firsts = left.join(later, "lo", "left_anti")
-        out = firsts.select(F.col("hi").alias("id")).distinct()
+    left, gone, parts = checkpointed(edges.select("lo", "hi").distinct()), None, 0
+    while not left.isEmpty():
+        decided = checkpointed(_round(left, partitions))
+        out = decided.filter("gone").select("id")
+        left = checkpointed(left.join(decided.select(F.col("id").alias("hi")), "hi", "left_anti").join(out.withColumnRenamed("id", "lo"), "lo", "left_anti").select("lo", "hi"))
         gone = out if gone is None else gone.unionByName(out)
-        done = out.unionByName(firsts.select(F.col("lo").alias("id")).distinct())
-        left = checkpointed(left.join(done.withColumnRenamed("id", "lo"), "lo", "left_anti").join(out.withColumnRenamed("id", "hi"), "hi", "left_anti"))
-    raise RuntimeError("the elimination did not end")
+        parts += 1
+        if parts % FOLD == 0:
+            gone = checkpointed(gone)
+    return left.select(F.col("hi").alias("id")) if gone is None else gone

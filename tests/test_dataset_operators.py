@@ -284,12 +284,24 @@ def test_greedy_rounds(spark):
         for hi in range(n):
             if any(b == hi and a not in gone for a, b in edges):
                 gone.add(hi)
-        for few in (0, 12, 1000):
-            got = greedy.dropped(spark.createDataFrame(edges, "lo long, hi long"), few)
+        for partitions in (1, 5, None):
+            got = greedy.dropped(spark.createDataFrame(edges, "lo long, hi long"), partitions)
             assert sorted(x[0] for x in got.collect()) == sorted(gone)
     assert greedy.dropped(spark.createDataFrame([], "lo long, hi long")).count() == 0
 
 
+def test_greedy_chain_over_many_rounds(spark, monkeypatch):
+    monkeypatch.setattr(greedy, "FOLD", 3)
+    order = list(range(0, 40, 2)) + list(range(1, 40, 2))  # neighbours in the chain lie in other ranges
+    edges = list(zip(order, order[1:])) + [(0, 39)]
+    gone = set()
+    for k, x in enumerate(order):
+        if any(b == x and a not in gone for a, b in edges):
+            gone.add(x)
+    got = greedy.dropped(spark.createDataFrame(edges, "lo long, hi long"), 8)
+    assert sorted(x[0] for x in got.collect()) == sorted(gone)
+
+
 def test_frames(spark):
     df = spark.createDataFrame([("v", i, 2.5) for i in range(21)] + [("w", i, 0.1) for i in range(3)], "video string, frame_id long, fps double")
     got = sorted((x["video"], x["frame_id"], x["number"]) for x in frames.sampled(df, 4).collect())
