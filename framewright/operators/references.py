@@ -11,36 +11,28 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A key with fewer references than this is never split.
+from framewright.functions.numbers import small_side
+
+#: A key with fewer references than this is not split.
 HOT_ROWS = 50_000
-#: At most so many keys are split; any other key holds at most 1/HOT_KEYS of the references.
-HOT_KEYS = 4_000
-#: Rows aimed at in a part of a split key, and the most parts of a key.
-PART_ROWS, MOST_PARTS = 25_000, 1_000
+#: Rows of a part of a split key.
+PART_ROWS = 25_000
+#: Split keys up to which they are sent to every executor (12 bytes each); more are joined by a shuffle.
+MOST_SENT = 500_000
 
 
 def _digest(field: Column, key: Column) -> Column:
     return F.xxhash64(field, key)
 
 
-def hot_keys(refs: DataFrame) -> list[tuple[int, int]]:
-    """(key digest, parts) of the keys worth splitting, heaviest first, HOT_KEYS at most.
+def hot_keys(refs: DataFrame) -> DataFrame:
+    """(_d, _parts) of the keys worth splitting, by digest; any other key has fewer than HOT_ROWS references.
 
     Counts are exact, pre-aggregated before the shuffle, over 8-byte digests;
     two keys with one digest are split alike, which changes no result.
     """
-    top = (
-        refs.groupBy(_digest(F.col("_field"), F.col("_key")).alias("d"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") >= HOT_ROWS)
-        .orderBy(F.desc("n"), "d")
-        .limit(HOT_KEYS)
-        .collect()
-    )
-    if not top:
-        return []
-    part = max(PART_ROWS, -(-top[0]["n"] // MOST_PARTS))
-    return [(r["d"], -(-r["n"] // part)) for r in top]
+    counts = refs.groupBy(_digest(F.col("_field"), F.col("_key")).alias("_d")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.filter(F.col("n") >= HOT_ROWS).select("_d", F.ceil(F.col("n") / PART_ROWS).cast("int").alias("_parts"))
 
 
 def orphan_references(
@@ -100,18 +92,10 @@ def orphan_references(
         ).alias("e"),
     ).select("_field", "_key", F.col("e.t").alias("_t"), F.col("e.live").alias("_live"), F.col("e.seen").alias("_seen"))
 
-    hot = hot_keys(long)
-    if hot:
-        parts = F.broadcast(refs.sparkSession.createDataFrame(hot, "_d long, _parts int"))  # HOT_KEYS rows at most
-        digest = _digest(F.col("_field"), F.col("_key"))
-        long = long.withColumn("_d", digest).join(parts, "_d", "left").withColumn(
-            "_part", F.pmod(F.xxhash64("_id"), F.coalesce("_parts", F.lit(1))).cast("int")
-        ).drop("_d", "_parts")
-        parents = parents.withColumn("_d", digest).join(parts, "_d", "left").withColumn(
-            "_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
-        ).drop("_d", "_parts")
-    else:
-        long, parents = long.withColumn("_part", F.lit(0)), parents.withColumn("_part", F.lit(0))
+    parts = small_side(hot_keys(long), MOST_SENT)
+    digest = _digest(F.col("_field"), F.col("_key"))
+    long = long.withColumn("_d", digest).join(parts, "_d", "left").withColumn("_part", F.pmod(F.xxhash64("_id"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_d", "_parts")
+    parents = parents.withColumn("_d", digest).join(parts, "_d", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_d", "_parts")
 
     stream = long.withColumn("_ref", F.lit(1)).unionByName(parents.withColumn("_ref", F.lit(0)), allowMissingColumns=True)
     by_time = Window.partitionBy("_field", "_key", "_part").orderBy(F.col("_t").asc_nulls_first(), "_ref")
