@@ -20,8 +20,8 @@ from framewright.session import mapped, spread
 
 #: Words of a k-gram, and consecutive words that make a leak.
 K, RUN = 6, 12
-#: Most test fingerprints that are sent to every executor (8 bytes each); beyond it both sides are shuffled.
-MOST_SENT = 2_000_000
+#: Words of 64 bits (a power of two) of the filter of test fingerprints that goes to every executor: 16 MB, however many tests there are.
+FILTER_WORDS = 1 << 21
 #: Words of one text handled at a time, and distinct words remembered per worker.
 PIECE_WORDS, MOST_WORDS = 200_000, 500_000
 
@@ -79,8 +79,8 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
             yield key, words(data.decode("utf-8", "surrogateescape"))
 
 
-def _scan(df: DataFrame, id_col: str, text_col: str, k: int, run: int, wanted=None, context: bool = True) -> DataFrame:
-    """(id, fp, left, right) of every fingerprint, or of those in the broadcast array wanted.
+def _scan(df: DataFrame, id_col: str, text_col: str, k: int, run: int, wanted=None) -> DataFrame:
+    """(id, fp, left, right) of every fingerprint, or of those that the broadcast filter wanted lets pass.
 
     left and right are the words around the k-gram that a run can take in, the
     nearest first, without the k-gram's own in left and with them in right.
@@ -94,33 +94,38 @@ def _scan(df: DataFrame, id_col: str, text_col: str, k: int, run: int, wanted=No
                 for start, piece in _pieces(tokens, run):
                     hashes, at = fingerprints(piece, k, run)
                     if keep is not None and len(hashes):
-                        slot = np.minimum(np.searchsorted(keep, hashes), len(keep) - 1)
-                        hit = keep[slot] == hashes
+                        slot = hashes >> np.uint64(6) & np.uint64(len(keep) - 1)
+                        hit = (keep[slot] >> (hashes & np.uint64(63)) & np.uint64(1)).astype(bool)
                         hashes, at = hashes[hit], at[hit]
                     ids += [key] * len(at)
                     fps.append(hashes)
-                    if context:
-                        for p in (at + start).tolist():
-                            left.append(tokens[max(0, p - (run - k)) : p][::-1])
-                            right.append(tokens[p : p + run])
+                    for p in (at + start).tolist():
+                        left.append(tokens[max(0, p - (run - k)) : p][::-1])
+                        right.append(tokens[p : p + run])
                 if len(ids) > 50_000:
-                    yield _found(ids, fps, left, right, context)
+                    yield _found(ids, fps, left, right)
                     ids, fps, left, right = [], [], [], []
             if ids:
-                yield _found(ids, fps, left, right, context)
+                yield _found(ids, fps, left, right)
 
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("t"))
-    return mapped(spread(rows), go, "id bigint, fp bigint" + (", left array<string>, right array<string>" if context else ""))
+    return mapped(spread(rows), go, "id bigint, fp bigint, left array<string>, right array<string>")
 
 
-def _found(ids: list, fps: list, left: list, right: list, context: bool) -> pa.RecordBatch:
-    columns = [pa.array(ids, pa.int64()), pa.array(np.concatenate(fps).view(np.int64))]
-    names = ["id", "fp"]
-    if context:
-        kind = pa.list_(pa.string())
-        columns += [pa.array(left, kind), pa.array(right, kind)]
-        names += ["left", "right"]
-    return pa.RecordBatch.from_arrays(columns, names=names)
+def _found(ids: list, fps: list, left: list, right: list) -> pa.RecordBatch:
+    kind = pa.list_(pa.string())
+    columns = [pa.array(ids, pa.int64()), pa.array(np.concatenate(fps).view(np.int64)), pa.array(left, kind), pa.array(right, kind)]
+    return pa.RecordBatch.from_arrays(columns, names=["id", "fp", "left", "right"])
+
+
+def _filter(prints: DataFrame, words_of: int) -> np.ndarray:
+    """A bit set for each fingerprint, words_of words; put together before it comes to the driver."""
+    place = F.shiftrightunsigned("fp", 6).bitwiseAND(F.lit(words_of - 1))
+    bit = F.expr("shiftleft(1L, CAST(fp & 63 AS INT))")
+    rows = prints.groupBy(place.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(words_of, np.uint64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return out
 
 
 def _common(a: str, b: str):
@@ -137,24 +142,6 @@ def _pairs_nearby(corpus: DataFrame, tests: DataFrame, run: int) -> DataFrame:
     return c.join(t, "fp").filter(length >= run).select("doc", "item").distinct()
 
 
-def _verified(pairs: DataFrame, corpus: DataFrame, tests: DataFrame, run: int) -> DataFrame:
-    """Pairs whose texts do share a run of words; for hits that came without their words."""
-
-    def go(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, item = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            good = []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                x, y = (words(v.as_py().decode("utf-8", "surrogateescape")) for v in (a, b))
-                runs = {tuple(y[i : i + run]) for i in range(len(y) - run + 1)}
-                good.append(any(tuple(x[i : i + run]) in runs for i in range(len(x) - run + 1)))
-            out = [(d, i) for d, i, g in zip(doc, item, good) if g]
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["doc", "item"])
-
-    joined = pairs.join(corpus.withColumnRenamed("id", "doc"), "doc").join(tests.select(F.col("id").alias("item"), F.col("t").alias("tt")), "item")
-    return mapped(joined.select("doc", "item", "t", "tt"), go, "doc bigint, item bigint").distinct()
-
-
 def leaked(
     corpus: DataFrame,
     tests: DataFrame,
@@ -164,27 +151,19 @@ def leaked(
     text_col: str = "text",
     k: int = K,
     run: int = RUN,
-    most_sent: int = MOST_SENT,
+    filter_words: int = FILTER_WORDS,
 ) -> DataFrame:
     """(corpus_id, test_id): each document with each test item of which it holds run consecutive words.
 
-    Test fingerprints up to most_sent (checked) go to the executors, where one
-    scan of the corpus lets only their hits pass; more of them are joined by a
-    shuffle and the texts of the pairs compared. Texts that are null, empty or
+    A filter of the test fingerprints, of a fixed size, goes to the executors,
+    where one scan of the corpus lets its hits pass with the words beside
+    them; they are joined with the fingerprints and extended. More tests than
+    the filter was made for let more hits pass that the join then drops. Texts that are null, empty or
     shorter than run words hold nothing; rows without an id are left out;
     repeated rows give one pair. Other columns are ignored.
     """
     spark = corpus.sparkSession
     prints = _scan(tests, test_id, text_col, k, run).distinct()
-    held = np.array(prints.select("fp").distinct().limit(most_sent + 1).toArrow()["fp"], np.int64).view(np.uint64)
-    if len(held) <= most_sent:
-        if not len(held):
-            return spark.createDataFrame([], f"{corpus_id} bigint, {test_id} bigint")
-        held = np.sort(held)
-        found = _pairs_nearby(_scan(corpus, corpus_id, text_col, k, run, spark.sparkContext.broadcast(held)), prints, run)
-    else:
-        a = _scan(corpus, corpus_id, text_col, k, run, context=False).distinct()
-        pairs = a.withColumnRenamed("id", "doc").join(prints.select(F.col("id").alias("item"), "fp").distinct(), "fp").select("doc", "item").distinct()
-        texts = [x.select(F.col(i).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("t")).filter("id IS NOT NULL AND t IS NOT NULL").distinct() for x, i in ((corpus, corpus_id), (tests, test_id))]
-        found = _verified(pairs, *texts, run)
+    wanted = spark.sparkContext.broadcast(_filter(prints.select("fp"), filter_words))
+    found = _pairs_nearby(_scan(corpus, corpus_id, text_col, k, run, wanted), prints, run)
     return found.select(F.col("doc").alias(corpus_id), F.col("item").alias(test_id))

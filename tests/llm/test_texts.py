@@ -100,8 +100,8 @@ def brute_leaks(docs, items, run):
     return out
 
 
-@pytest.mark.parametrize("most_sent", [10**6, 3])
-def test_leaked(spark, monkeypatch, most_sent):
+@pytest.mark.parametrize("filter_words", [leakage.FILTER_WORDS, 2])  # nearly every fingerprint passes two words
+def test_leaked(spark, monkeypatch, filter_words):
     monkeypatch.setattr(leakage, "PIECE_WORDS", 40)
     r = random.Random(6)
     vocabulary = ["Anna", "über", "x1", "naïve", "ß", "42", "日本", "o'clock", "mid-way", "İx"]
@@ -115,10 +115,10 @@ def test_leaked(spark, monkeypatch, most_sent):
         docs.append((d, say(r.randint(0, 50)) + " " + r.choice([" ", ", ", "\n> "]).join(x.upper() if r.random() < 0.3 else x for x in cut) + " " + say(r.randint(0, 50))))
     docs += [(100, None), (101, ""), (102, "same " * 500), (103, items_text * 3), (103, items_text), (None, items_text), (104, say(300))]
     frames = [spark.createDataFrame([(i, t, "x") for i, t in rows], f"{name} long, text string, fp string") for rows, name in ((docs, "doc_id"), (items, "item_id"))]
-    got = [tuple(x) for x in leakage.leaked(*frames, most_sent=most_sent).collect()]
+    got = [tuple(x) for x in leakage.leaked(*frames, filter_words=filter_words).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_leaks(docs, items, 12)
-    assert leakage.leaked(frames[0], frames[1].limit(0), most_sent=most_sent).count() == 0
-    assert leakage.leaked(frames[0].limit(0), frames[1], most_sent=most_sent).count() == 0
+    assert leakage.leaked(frames[0], frames[1].limit(0), filter_words=filter_words).count() == 0
+    assert leakage.leaked(frames[0].limit(0), frames[1], filter_words=filter_words).count() == 0
 
 
 def brute_spans(docs, span):
