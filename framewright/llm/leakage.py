@@ -51,16 +51,22 @@ def _word_hashes(tokens: list[str]) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
 
 
-def fingerprints(tokens: list[str], k: int = K, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, positions) that winnowing selects of a word list; none if it is shorter than run."""
-    if len(tokens) < run:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+def gram_hashes(tokens: list[str], k: int) -> np.ndarray:
+    """A hash of each k consecutive words."""
     h = _word_hashes(tokens)
     n = len(h) - k + 1
-    grams = np.zeros(n, np.uint64)
-    for i in range(k):
+    grams = np.zeros(max(n, 0), np.uint64)
+    for i in range(k if n > 0 else 0):
         grams = (grams ^ (h[i : i + n] + _SALTS[i % len(_SALTS)])) * np.uint64(0xFF51AFD7ED558CCD)
         grams ^= grams >> np.uint64(29)
+    return grams
+
+
+def fingerprints(tokens: list[str], k: int = K, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, positions) that winnowing selects of a word list; none if it is shorter than run."""
+    if len(tokens) < run:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    grams = gram_hashes(tokens, k)
     view = np.lib.stride_tricks.sliding_window_view(grams, run - k + 1)
     at = np.unique(view.argmin(axis=1) + np.arange(len(view)))
     return grams[at], at

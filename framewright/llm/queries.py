@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import batch_dedup, leakage, neighbours, quantile_sketch, shared_spans, tokenizer
+from framewright.llm import batch_dedup, leakage, neighbours, paragraphs, quantile_sketch, shared_spans, tokenizer
 from framewright.session import table
 
 
@@ -65,7 +65,11 @@ def p10_share(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_share(docs, shared_spans.shared_spans(docs))
 
 
-QUERIES = {f.__name__: f for f in (p3_percentiles, p3_bounds_hold, p4_found, p4_vectors, p5_found, p8_ids, p8_roundtrip, p9_found, p10_found, p10_share)}
+def p10_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return paragraphs.paragraph_classes(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_percentiles, p3_bounds_hold, p4_found, p4_vectors, p5_found, p8_ids, p8_roundtrip, p9_found, p10_found, p10_share, p10_paragraphs)}
 
 _BITS = """SELECT hash_id AS id, cache_name, batch_no, code FROM image_hashes JOIN (
 SELECT id, string_agg((b::INT)::VARCHAR, '' ORDER BY i)::BIT AS code FROM (
@@ -85,7 +89,20 @@ runs AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS r
   SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM hit))
 SELECT doc_id, min(i)::BIGINT AS span_start, max(i)::BIGINT + 200 AS span_end FROM runs GROUP BY doc_id, run"""
 
+_PARAGRAPHS = f"""WITH RECURSIVE p AS (SELECT doc_id, (n - 1)::INT AS no, {_WORDS.replace('text', 'parts[n]')} AS w FROM (
+  SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS n FROM (SELECT doc_id, regexp_split_to_array(text, '\\n[ \\t\\r]*\\n') AS parts FROM documents WHERE text IS NOT NULL))),
+t AS (SELECT doc_id, no, w, dense_rank() OVER (ORDER BY w) AS id FROM p WHERE len(w) >= 5),
+s AS (SELECT DISTINCT id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT DISTINCT id, w FROM t))),
+c AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+m AS (SELECT a.id AS x, b.id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id),
+l AS (SELECT x, y FROM m JOIN c ON c.id = x JOIN c AS e ON e.id = y WHERE 5 * k >= 4 * (c.n + e.n - k)),
+b AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT id, id AS other FROM c UNION SELECT r.id, b.y FROM r JOIN b ON b.x = r.other),
+f AS (SELECT r.id, min({{'a': t.doc_id, 'b': t.no}}) AS first FROM r JOIN t ON t.id = r.other GROUP BY r.id)
+SELECT doc_id, no AS paragraph, first.a AS class_doc, first.b AS class_paragraph FROM t JOIN f USING (id)"""
+
 SQL = {
+    "p10_paragraphs": _PARAGRAPHS,
     "p3_bounds_hold": " UNION ALL ".join(
         f"""SELECT class_name, '{m}' AS feature, q AS quantile, count(*) AS n, true AS ok
 FROM object_stats, unnest({list(QUANTILES)}::DOUBLE[]) AS t(q) WHERE {m} IS NOT NULL AND lower({m}::VARCHAR) <> 'nan' GROUP BY class_name, q"""

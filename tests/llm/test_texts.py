@@ -2,17 +2,19 @@
 
 import base64
 import random
+import re
 import subprocess
 import sys
 from array import array
 from pathlib import Path
 
+import numpy as np
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from framewright.llm import leakage, shared_spans, tokenizer
+from framewright.llm import leakage, paragraphs, shared_spans, tokenizer
 
 RANKS = tokenizer.read_ranks(tokenizer.BYTE_BPE_50K)
 PLAIN = tiktoken.Encoding("plain", pat_str=tokenizer.PATTERN, mergeable_ranks=RANKS, special_tokens={})
@@ -163,6 +165,70 @@ def test_shared_spans_empty(spark):
     assert spans.count() == 0 and shared_spans.shared_share(df, spans).count() == 0
 
 
+def classes_of(links, items):
+    root = {x: x for x in items}
+    for a, b in links:
+        old, new = root[a], root[b]
+        root = {k: new if r == old else r for k, r in root.items()}
+    return {frozenset(k for k in items if root[k] == r) for r in root.values()}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_linked_sets_connect_what_is_similar(seed):
+    r = np.random.default_rng(seed)
+    base = [r.choice(1_000, r.integers(1, 30), replace=False) for _ in range(4)]
+    sets = []
+    for _ in range(50):
+        x = set(base[r.integers(4)].tolist())
+        for _ in range(r.integers(0, 6)):
+            x ^= {int(r.integers(0, 1_000)) if r.random() < 0.6 or not x else r.choice(sorted(x))}
+        sets.append(np.array(sorted(x) or [1], np.uint64))
+    alike = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) - 1e-9
+    every = [(i, j) for i in range(50) for j in range(i) if alike(sets[i], sets[j])]
+    got = paragraphs.linked(sets)
+    assert all(alike(sets[i], sets[j]) for i, j in got) and classes_of(got, range(50)) == classes_of(every, range(50))
+    assert paragraphs.linked([]) == [] and paragraphs.linked(sets[:1]) == []
+
+
+def test_components(spark):
+    r = random.Random(4)
+    edges = [(r.randrange(90), r.randrange(90)) for _ in range(60)] + [(200 + i, 201 + i) for i in range(40)] + [(300, 301 + i) for i in range(20)] + [(5, 5)]
+    got = dict(map(tuple, paragraphs.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    items = {x for e in edges if e[0] != e[1] for x in e}
+    want = {x: min(c) for c in classes_of(edges, sorted(items | {5})) for x in c}
+    assert {k: v for k, v in want.items() if k in items} == got
+    assert paragraphs.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("piece", [20_000, 7])
+def test_paragraph_classes(spark, monkeypatch, piece):
+    monkeypatch.setattr(paragraphs, "PIECE", piece)
+    r = random.Random(piece)
+    vocabulary = [f"w{i}" for i in range(300)] + ["Über", "日本", "é"]
+    base = [[r.choice(vocabulary) for _ in range(60)] for _ in range(4)] + [["same"] * 9]
+    docs, texts = [], {}
+    for d in range(60):
+        parts = []
+        for _ in range(r.randint(0, 4)):
+            w = list(r.choice(base))
+            for _ in range(r.choice([0, 0, 1, 1, 2, 8])):
+                w[r.randrange(len(w))] = r.choice(vocabulary)
+            parts.append(r.choice([" ", ", ", "\n"]).join(x.upper() if r.random() < 0.2 else x for x in w[: r.choice([3, 60, 60, 60])]))
+        docs.append((d, r.choice(["\n\n", "\n \t\n", "\r\n\r\n"]).join(parts)))
+    docs += [(100, None), (101, ""), (102, "\n\n\n"), (None, docs[0][1])]
+    for d, t in docs:
+        for no, part in enumerate(re.split(r"\n[ \t\r]*\n", t) if t else ()):
+            if d is not None and len(w := leakage.words(part)) >= 5:
+                texts[d, no] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    keys = sorted(texts)
+    links = [(a, b) for k, a in enumerate(keys) for b in keys[:k] if len(texts[a] & texts[b]) >= 0.8 * len(texts[a] | texts[b]) - 1e-9]
+    want = {x: min(c) for c in classes_of(links, keys) for x in c}
+    df = spark.createDataFrame([(d, t, 0, "x") for d, t in docs], "doc_id long, text string, no int, digest string")
+    got = {(a, b): (c, e) for a, b, c, e in map(tuple, paragraphs.paragraph_classes(df).collect())}
+    assert got == want and len(set(want.values())) < len(want)
+    assert paragraphs.paragraph_classes(df.limit(0)).count() == 0
+
+
 def test_shared_share(spark):
     df = spark.createDataFrame([(1, "a" * 300), (2, "a" * 250 + "bcd" * 90), (3, None), (4, "")], "doc_id long, text string")
     got = {r["doc_id"]: (r["shared_chars"], r["share"]) for r in shared_spans.shared_share(df, shared_spans.shared_spans(df)).collect()}
