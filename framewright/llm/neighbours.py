@@ -22,6 +22,8 @@ from framewright.session import checkpointed, mapped
 
 #: Queries ranked against all rows in one pass, and at once within it.
 QUERY_BLOCK, QUERY_STEP = 1_024, 256
+#: Rows and queries of a bucket that are compared in one place.
+CELL_ROWS, CELL_QUERIES = 50_000, 5_000
 
 
 def _first_rows(rows: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:
@@ -151,6 +153,22 @@ def fitted_width(vectors: DataFrame, size: int, k: int, sample: int = 2_000) ->
     return max(float(np.median(near)) * 1.3, 1e-9)
 
 
+def _closest(v: np.ndarray, q: np.ndarray, x: np.ndarray, rows: np.ndarray, k: int) -> list[tuple[np.ndarray, ...]]:
+    """(q, id, d) of at least the k nearest of some rows for each query, other than itself."""
+    squares, own = (x * x).sum(1), (v * v).sum(1)[:, None]
+    same = q[:, None] == rows[None]
+    about = np.where(same, np.inf, own + squares[None] - 2 * v @ x.T)
+    # rounding of these squares must not decide: what is as near as the k-th but for it is measured
+    limit = np.partition(about, min(k, len(x)) - 1, 1)[:, min(k, len(x)) - 1, None] + 1e-9 * (own + squares.max())
+    n, m = np.nonzero(~(about > limit) & ~same)
+    out = []
+    for i, found in enumerate(np.split(m, np.searchsorted(n, np.arange(1, len(q))))):
+        d = np.sqrt(((x[found] - v[i]) ** 2).sum(1))
+        best = np.lexsort((rows[found], d))[:k]
+        out.append((np.full(len(best), q[i]), rows[found][best], d[best]))
+    return out
+
+
 def _nearest_of_block(vectors: DataFrame, ids: np.ndarray, w: np.ndarray, k: int) -> DataFrame:
     """(q, id, d): at least the k nearest rows of each of some queries, by their distances to all rows."""
     size = w.shape[1]
@@ -158,21 +176,9 @@ def _nearest_of_block(vectors: DataFrame, ids: np.ndarray, w: np.ndarray, k: int
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, rows = _matrix(batch.column(1), size), batch.column(0).to_numpy()
-            squares = (x * x).sum(1)
-            for at in range(0, len(ids), QUERY_STEP):
-                q, v = ids[at : at + QUERY_STEP], w[at : at + QUERY_STEP]
-                same = q[:, None] == rows[None]
-                own = (v * v).sum(1)[:, None]
-                about = np.where(same, np.inf, own + squares[None] - 2 * v @ x.T)
-                # rounding of these squares must not decide: what is as near as the k-th but for it is measured
-                limit = np.partition(about, min(k, len(x)) - 1, 1)[:, min(k, len(x)) - 1, None] + 1e-9 * (own + squares.max())
-                n, m = np.nonzero(~(about > limit) & ~same)
-                first = []
-                for i, found in enumerate(np.split(m, np.searchsorted(n, np.arange(1, len(q))))):
-                    d = np.sqrt(((x[found] - v[i]) ** 2).sum(1))
-                    best = np.lexsort((rows[found], d))[:k]
-                    first.append((np.full(len(best), q[i]), rows[found][best], d[best]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*first)], names=["q", "id", "d"])
+            for at in range(0, len(ids) if len(x) else 0, QUERY_STEP):
+                found = _closest(w[at : at + QUERY_STEP], ids[at : at + QUERY_STEP], x, rows, k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["q", "id", "d"])
 
     return mapped(vectors, run, "q bigint, id bigint, d double")
 
@@ -184,6 +190,47 @@ def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndar
         yield np.array([r["id"] for r in block], np.int64), np.array([r["v"] for r in block], np.float64).reshape(-1, size)
 
 
+def _nearest_in_buckets(met: DataFrame, size: int, k: int) -> DataFrame:
+    """(q, id, d): in each bucket of (t, key, cell, row, id, v), row telling rows from queries, the k nearest rows of each query.
+
+    Queries come first; the rows of a bucket are gone through in blocks, and
+    each query keeps its k nearest, so a task holds the queries of a cell.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, queries, best = None, [], {}
+
+        def answer() -> Iterator[pa.RecordBatch]:
+            if best:
+                q = np.repeat(np.fromiter(best, np.int64), [len(b[0]) for b in best.values()])
+                yield pa.RecordBatch.from_arrays([pa.array(q), *(pa.array(np.concatenate([b[c] for b in best.values()])) for c in (0, 1))], names=["q", "id", "d"])
+
+        for whole in batches:
+            keys = [whole.column(c).to_numpy() for c in range(4)]
+            cuts = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in keys], axis=0), True]) if len(whole) else []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                here, ids, x = tuple(c[a] for c in keys[:3]), whole.column(4).to_numpy()[a:b], _matrix(whole.column(5).slice(a, b - a), size)
+                if here != place:
+                    yield from answer()
+                    place, queries, best = here, [], {}
+                if not keys[3][a]:
+                    queries.append((ids, x))
+                    continue
+                for q, v in queries:
+                    for at in range(0, len(q), QUERY_STEP):
+                        for one, near, d in _closest(v[at : at + QUERY_STEP], q[at : at + QUERY_STEP], x, ids, k):
+                            if len(one):
+                                had = best.get(one[0])
+                                if had is not None:
+                                    near, d = np.r_[had[0], near], np.r_[had[1], d]
+                                    first = np.lexsort((near, d))[:k]
+                                    near, d = near[first], d[first]
+                                best[one[0]] = near, d
+        yield from answer()
+
+    return mapped(met.repartition("t", "key", "cell").sortWithinPartitions("t", "key", "cell", "row"), run, "q bigint, id bigint, d double")
+
+
 def nearest_vectors(
     df: DataFrame, *, size: int, k: int, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, tables: int = 12, projections: int = 6, probes: int = 60, width: float | None = None
 ) -> DataFrame:
@@ -193,7 +240,8 @@ def nearest_vectors(
     tables; a query looks into its own bucket of each and into those whose
     slots it nearly fell in, likeliest first; the rows met in any table are
     ranked by their exact Euclidean distance (ties: smaller id). More tables
-    or probes find more. Queries that met fewer than k rows are ranked against
+    or probes find more. Ranking begins in the bucket, which lets k rows of it
+    pass for a query; buckets of many rows or queries are split. Queries that met fewer than k rows are ranked against
     all rows, a block of queries at a time. Vectors that are null, of another size or with
     unknown or infinite numbers are left out.
     """
@@ -201,29 +249,33 @@ def nearest_vectors(
     width = fitted_width(vectors, size, k) if width is None else width
     family = PStable(size, width, tables=tables, projections=projections, probes=probes)
 
-    def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _matrix(batch.column(1), size)
-            for t in range(tables):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(family.keys(np.floor(family.places(x, t)))), batch.column(0)], names=["t", "key", "id"])
-
-    def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _matrix(batch.column(1), size)
-            for t in range(tables):
-                keys = family.probe_keys(x, t)
-                ids = np.repeat(batch.column(0).to_numpy(), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(keys.size, t, np.int32)), pa.array(keys.ravel()), pa.array(ids)], names=["t", "key", "q"])
-
-    def measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            d = np.sqrt(((_matrix(batch.column(2), size) - _matrix(batch.column(3), size)) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], names=["q", "id", "d"])
-
+    def placed_in(probing: bool):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, len(whole), QUERY_BLOCK):
+                    batch = whole.slice(at, QUERY_BLOCK)
+                    x = _matrix(batch.column(1), size)
+                    for t in range(tables):
+                        keys = family.probe_keys(x, t) if probing else family.keys(np.floor(family.places(x, t)))[:, None]
+                        n = keys.shape[1]
+                        copies = pa.array(np.repeat(np.arange(len(batch)), n))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(keys.size, t, np.int32)), pa.array(keys.ravel()), *(c.take(copies) for c in batch.columns)], names=["t", "key", "id", "v"])
+
+        return run
+
+    schema = "t int, key bigint, id bigint, v array<double>"
     queries = vectors.filter(F.col("id") % every == 0)
-    met = mapped(queries, probe, "t int, key bigint, q bigint").join(mapped(vectors, index, "t int, key bigint, id bigint"), ["t", "key"]).filter("q <> id").select("q", "id").distinct()
-    pairs = met.join(vectors, "id").join(queries.select(F.col("id").alias("q"), F.col("v").alias("w")), "q").select("q", "id", "v", "w")
-    ranked = mapped(pairs, measured, "q bigint, id bigint, d double")
+    indexed, asked = mapped(vectors, placed_in(False), schema), mapped(queries, placed_in(True), schema)
+    # a bucket without a query is not gone into; one of many rows or queries is split into cells
+    wanted = asked.groupBy("t", "key").agg(F.count(F.lit(1)).alias("nq"))
+    sizes = indexed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).join(wanted, ["t", "key"])
+    cells = checkpointed(sizes.select("t", "key", F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("r"), F.ceil(F.col("nq") / CELL_QUERIES).cast("int").alias("c")))
+    piece = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every_cell = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    rows = indexed.join(cells, ["t", "key"]).withColumn("cell", F.explode(F.transform(every_cell("c"), lambda j: piece(F.col("r")) * F.col("c") + j)))
+    probing = asked.join(cells, ["t", "key"]).withColumn("cell", F.explode(F.transform(every_cell("r"), lambda i: i * F.col("c") + piece(F.col("c")))))
+    both = [x.select("t", "key", "cell", F.lit(kind).alias("row"), "id", "v") for x, kind in ((probing, 0), (rows, 1))]
+    ranked = _nearest_in_buckets(both[0].unionByName(both[1]), size, k).dropDuplicates(["q", "id"])
     w = Window.partitionBy("q").orderBy("d", "id")
     placed = lambda rows: rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
     found = checkpointed(placed(ranked))

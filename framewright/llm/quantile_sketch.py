@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.functions.numbers import small_side
+
 #: Guaranteed relative error.
 ERROR = 0.01
 
@@ -76,11 +78,30 @@ def percentiles(sketches: DataFrame, by: Sequence[str], quantiles: Sequence[floa
 
 
 def by_scope(df: DataFrame, by: Sequence[str], period: str, features: Sequence[str], quantiles: Sequence[float], error: float = ERROR) -> DataFrame:
-    """Percentiles of every period and, from the periods' sketches, of all together (scope ``all``).
+    """Percentiles of every period and, from the periods' sketches, of all together (scope ``all``, whole).
 
-    Returns (*by, scope, feature, quantile, estimate, n, relative_error).
+    Returns (*by, scope, whole, feature, quantile, estimate, n, relative_error);
+    whole tells the percentiles of all from those of a period called ``all``.
     """
     parts = sketch(df, [*by, period], features, error)
-    scoped = parts.select(*by, "feature", "bucket", "n", F.explode(F.array(F.col(period).cast("string"), F.lit("all"))).alias("scope"))
-    keys = [*by, "scope"]
+    scopes = F.array(F.struct(F.col(period).cast("string").alias("scope"), F.lit(False).alias("whole")), F.struct(F.lit("all").alias("scope"), F.lit(True).alias("whole")))
+    scoped = parts.select(*by, "feature", "bucket", "n", F.explode(scopes).alias("_s")).select(*by, "feature", "bucket", "n", "_s.*")
+    keys = [*by, "scope", "whole"]
     return percentiles(merge(scoped, keys), keys, quantiles, error).select(*keys, "feature", "quantile", "estimate", "n", F.lit(error).alias("relative_error"))
+
+
+def bounds_hold(values: DataFrame, estimates: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(*by, quantile, n, ok): whether the order statistic beside each estimate's rank lies within its error.
+
+    values: (*by, x), without nulls and not-a-number; estimates: as
+    percentiles() gives them, with relative_error. What lies below and up to
+    an estimate's range is counted in one pass; nothing is gathered.
+    """
+    reach, e = F.col("relative_error") + 1e-9, F.col("estimate")
+    ends = [e / (1 + reach), e / (1 - reach)]
+    asked = estimates.select(*by, "quantile", "n", F.floor(F.col("quantile") * (F.col("n") - 1)).alias("rank"), F.least(*ends).alias("low"), F.greatest(*ends).alias("high"))
+    listed = asked.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("quantile", "n", "rank", "low", "high"))).alias("asked"))  # one for each quantile
+    joined = values.join(small_side(listed.select(*[F.col(c).alias(f"_{c}") for c in by], "asked")), [values[c].eqNullSafe(F.col(f"_{c}")) for c in by])
+    cells = joined.select(*by, "x", F.explode("asked").alias("a"))
+    counted = cells.groupBy(*by, "a").agg(F.count_if(F.col("x") < F.col("a.low")).alias("below"), F.count_if(F.col("x") <= F.col("a.high")).alias("upto"))
+    return counted.select(*by, "a.quantile", "a.n", ((F.col("below") <= F.col("a.rank")) & (F.col("upto") > F.col("a.rank"))).alias("ok"))

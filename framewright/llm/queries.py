@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewright.functions.numbers import significant
 from framewright.llm import batch_dedup, leakage, neighbours, paragraphs, quantile_sketch, shared_spans, tokenizer
 from framewright.session import table
 
@@ -16,18 +17,17 @@ MEASURES = ("object_area", "object_aspect_ratio")
 
 
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return quantile_sketch.by_scope(table(spark, d, "object_stats"), ["class_name"], "load_period", MEASURES, QUANTILES)
+    found = quantile_sketch.by_scope(table(spark, d, "object_stats"), ["class_name"], "load_period", MEASURES, QUANTILES)
+    return found.withColumn("estimate", significant(F.col("estimate")))
 
 
 def p3_bounds_hold(spark: SparkSession, d: str) -> DataFrame:
-    """Whether each estimate over all periods keeps its bound against the exact order statistics beside its rank."""
+    """Whether each estimate over all periods keeps its bound against the exact order statistic of its rank."""
     stats = table(spark, d, "object_stats")
-    values = stats.select("class_name", F.explode(F.array(*[F.struct(F.lit(m).alias("feature"), F.col(m).cast("double").alias("x")) for m in MEASURES])).alias("v")).select("class_name", "v.*")
-    exact = values.filter("x IS NOT NULL AND NOT isnan(x)").groupBy("class_name", "feature").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    got = p3_percentiles(spark, d).filter("scope = 'all'")
-    joined = got.join(exact.withColumnRenamed("class_name", "c"), F.col("class_name").eqNullSafe(F.col("c")) & (got["feature"] == exact["feature"])).drop(exact["feature"])
-    x = F.col("xs")[F.floor(F.col("quantile") * (F.col("n") - 1)).cast("int")]
-    return joined.select("class_name", "feature", "quantile", "n", (F.abs(F.col("estimate") - x) <= F.abs(x) * (F.col("relative_error") + 1e-9)).alias("ok"))
+    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("feature"), F.col(m).cast("double").alias("x")) for m in MEASURES]))
+    values = stats.select("class_name", cells.alias("v")).select("class_name", "v.*").filter("x IS NOT NULL AND NOT isnan(x)")
+    got = quantile_sketch.by_scope(stats, ["class_name"], "load_period", MEASURES, QUANTILES).filter("whole")
+    return quantile_sketch.bounds_hold(values, got, ["class_name", "feature"])
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -101,7 +101,19 @@ r AS (SELECT id, id AS other FROM c UNION SELECT r.id, b.y FROM r JOIN b ON b.x
 f AS (SELECT r.id, min({{'a': t.doc_id, 'b': t.no}}) AS first FROM r JOIN t ON t.id = r.other GROUP BY r.id)
 SELECT doc_id, no AS paragraph, first.a AS class_doc, first.b AS class_paragraph FROM t JOIN f USING (id)"""
 
+_LOG_WIDTH = quantile_sketch._log_width(quantile_sketch.ERROR)
+_SHIFT = quantile_sketch._shift(quantile_sketch.ERROR)
+_KNOWN = "UNION ALL ".join(f"SELECT class_name, load_period, '{m}' AS feature, {m}::DOUBLE AS x FROM object_stats WHERE {m} IS NOT NULL AND lower({m}::VARCHAR) <> 'nan' " for m in MEASURES)
+_SKETCH = f"""WITH b AS (SELECT class_name, load_period, feature, sign(x)::INT * CASE WHEN x = 0 THEN 0 WHEN abs(x) = 'infinity' THEN {3 * _SHIFT} ELSE ceil(ln(abs(x)) / {_LOG_WIDTH}) + {_SHIFT} END AS bucket FROM ({_KNOWN})),
+s AS (SELECT class_name, load_period AS scope, false AS whole, feature, bucket, count(*) AS n FROM b GROUP BY ALL UNION ALL SELECT class_name, 'all', true, feature, bucket, count(*) FROM b GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY class_name, scope, whole, feature ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY class_name, scope, whole, feature) AS total FROM s),
+e AS (SELECT class_name, scope, whole, feature, q AS quantile, total::BIGINT AS n, sign(bucket) * CASE WHEN bucket = 0 THEN 0 WHEN abs(bucket) = {3 * _SHIFT} THEN 'infinity'::DOUBLE
+  ELSE 2 * exp((abs(bucket) - {_SHIFT}) * {_LOG_WIDTH}) / (1 + exp({_LOG_WIDTH})) END AS x
+  FROM c, unnest({list(QUANTILES)}::DOUBLE[]) AS t(q) WHERE floor(q * (total - 1)) < upto AND floor(q * (total - 1)) >= upto - n)
+SELECT class_name, scope, whole, feature, quantile, n, CAST(format('{{:.9e}}', x) AS DOUBLE) AS estimate, {quantile_sketch.ERROR}::DOUBLE AS relative_error FROM e"""
+
 SQL = {
+    "p3_percentiles": _SKETCH,
     "p10_paragraphs": _PARAGRAPHS,
     "p3_bounds_hold": " UNION ALL ".join(
         f"""SELECT class_name, '{m}' AS feature, q AS quantile, count(*) AS n, true AS ok

@@ -165,6 +165,16 @@ def test_vectors_with_many_copies(spark):
     assert np.mean([len(set(found.get(q, [])) & set(nearest_by_hand(x, q, 10))) / 10 for q in lone]) >= 0.9
 
 
+def test_vectors_in_split_buckets(spark, monkeypatch):
+    r = np.random.default_rng(15)
+    x = np.concatenate([r.normal(size=(200, 8)), np.ones((150, 8)) + r.normal(size=(150, 8)) * 1e-3, r.normal(size=(100, 8)) + 9])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, neighbours.nearest_vectors(df, size=8, k=4, every=3).collect()))
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 20)
+    monkeypatch.setattr(neighbours, "CELL_QUERIES", 7)
+    assert sorted(map(tuple, neighbours.nearest_vectors(df, size=8, k=4, every=3).collect())) == whole and len(whole) == 600
+
+
 def test_vectors_that_met_too_few_are_ranked_against_all(spark):
     x = np.random.default_rng(13).normal(size=(700, 8)).round(1)
     x[::90] += 1e6
