@@ -24,3 +24,4 @@ def small_side(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     """df for the small side of a join: broadcast if it has limit rows at most, else left to the planner."""
     rows = df.limit(limit + 1).toArrow()
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if rows.num_rows <= limit else df
+

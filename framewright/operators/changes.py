@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -45,9 +45,9 @@ def reread_from(runs: DataFrame, *, started: str = "started_at", finished: str =
     rereading but what came since.
     """
     ok = F.coalesce(F.col(status) == success, F.lit(False))
-    last = F.max(F.when(ok, F.col(started))).over(Window.partitionBy())  # runs are few
     closed = ok & F.coalesce(F.col(finished) <= F.col("_last"), F.lit(False))
-    return runs.withColumn("_last", last).filter((F.col(started) < F.col("_last")) & ~closed).agg(F.min(started).alias("reread_from"))
+    last = F.broadcast(runs.agg(F.max(F.when(ok, F.col(started))).alias("_last")))  # one row
+    return runs.crossJoin(last).filter((F.col(started) < F.col("_last")) & ~closed).agg(F.min(started).alias("reread_from"))
 
 
 def changed_keys(current: DataFrame, ledger: DataFrame, key: str, version: str) -> DataFrame:

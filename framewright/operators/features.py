@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from framewright.functions import geometry, paths
 from framewright.functions.numbers import small_side
+from framewright.session import bounded_rows
 
+#: Most names of a class list; it is held on the driver and on every executor.
+MOST_CLASSES = 100_000
 IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png")
 
 
@@ -71,10 +74,9 @@ def orphan_annotations(annotations: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def class_ids(names: DataFrame) -> DataFrame:
-    """(class_name, class_id): places of the distinct names in code-point order, from 0. Classes are few: one sort of them."""
-    from pyspark.sql import Window
-
-    return names.filter("class_name IS NOT NULL").select("class_name").distinct().select("class_name", (F.row_number().over(Window.orderBy("class_name")) - 1).alias("class_id"))
+    """(class_name, class_id): places of the distinct names in code-point order, from 0. More than MOST_CLASSES names are an error."""
+    rows = bounded_rows(names.filter("class_name IS NOT NULL").select("class_name").distinct(), MOST_CLASSES, "the class list")
+    return names.sparkSession.createDataFrame([(name, i) for i, name in enumerate(sorted(r["class_name"] for r in rows))], "class_name string, class_id int")
 
 
 def class_map(lines: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from framewright.functions.geometry import SECTOR_COLUMNS, SECTORS, TRUNCATION_COLUMNS
 from framewright.functions.numbers import known, small_side
 from framewright.operators.features import class_ids
+from framewright.operators.projection import numeric_features
 from framewright.operators.quantiles import exact_percentiles, pivoted, unpivoted
 
 NUMERIC = ("object_area", "object_relative_area", "object_width", "object_height", "object_aspect_ratio", "im_brightness", "im_contrast", "im_blur_score")
@@ -21,8 +22,8 @@ REACH = 1.5
 def class_counts(df: DataFrame) -> DataFrame:
     """(class_name, objects, share): objects of each class, most frequent first, and their percentage of all objects."""
     counts = df.groupBy("class_name").agg(F.count(F.lit(1)).alias("objects"))
-    total = F.sum("objects").over(Window.partitionBy())  # over the classes, which are few
-    return counts.select("class_name", "objects", (F.col("objects") * 100 / total).alias("share")).filter("class_name IS NOT NULL").orderBy(F.desc("objects"), "class_name")
+    total = F.broadcast(counts.agg(F.sum("objects").alias("_total")))  # one row
+    return counts.crossJoin(total).select("class_name", "objects", (F.col("objects") * 100 / F.col("_total")).alias("share")).filter("class_name IS NOT NULL").orderBy(F.desc("objects"), "class_name")
 
 
 def density(df: DataFrame) -> DataFrame:
@@ -44,12 +45,13 @@ def outlier_bounds(df: DataFrame, features: Sequence[str] = NUMERIC) -> DataFram
     return bounds(pivoted(quartiles, ["class_name"], {0.25: "q1", 0.75: "q3"}))
 
 
-def mark_outliers(df: DataFrame, features: Sequence[str] = NUMERIC, limits: DataFrame | None = None) -> DataFrame:
-    """df with outlier_<feature> and outlier_any, tinyint 0 or 1.
+def mark_outliers(df: DataFrame, features: Sequence[str] | None = None, limits: DataFrame | None = None) -> DataFrame:
+    """df with outlier_<feature> of the features, else of all that are numeric, and outlier_any, tinyint 0 or 1.
 
     Every feature is judged within its class; a null, a not-a-number and a
     null class are no outliers. Columns of these names are replaced.
     """
+    features = numeric_features(df) if features is None else features
     limits = outlier_bounds(df, features) if limits is None else limits
     per_class = small_side(
         limits.groupBy("class_name").agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("lower", "upper")))).alias("_limits"))

@@ -42,7 +42,14 @@ def _known(x: str) -> str:
     return f"CASE WHEN lower({x}::VARCHAR) <> 'nan' THEN {x}::DOUBLE END"
 
 
-_LONG = " UNION ALL ".join(f"SELECT class_name, '{f}' AS feature, {_known(f)} AS x FROM object_stats" for f in statistics.NUMERIC)
+#: The numeric features of the table (fixed names): sizes of the image, of the object, its place, its quality.
+_FEATURES = ("im_width", "im_height", "im_depth", *statistics.NUMERIC, *statistics.BINARY)
+
+def _long(features):
+    return " UNION ALL ".join(f"SELECT class_name, '{f}' AS feature, {_known(f)} AS x FROM object_stats" for f in features)
+
+
+_LONG = _long(statistics.NUMERIC)
 _BOUNDS = f"""SELECT *, q3 - q1 AS iqr, greatest(q1 - 1.5 * (q3 - q1), 0) AS lower, q3 + 1.5 * (q3 - q1) AS upper FROM (
 SELECT class_name, feature, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM ({_LONG})
 WHERE x IS NOT NULL AND class_name IS NOT NULL GROUP BY ALL)"""
@@ -356,19 +363,22 @@ _FLAGGED = f"SELECT s.row_id, {', '.join(f'{_FLAG(f)} AS outlier_{f}' for f in s
 
 @query(_FLAGGED)
 def outlier_flags(spark, d):
-    marked = statistics.mark_outliers(_stats(spark, d).select("row_id", "class_name", *statistics.NUMERIC))
+    marked = statistics.mark_outliers(_stats(spark, d).select("row_id", "class_name", *statistics.NUMERIC), statistics.NUMERIC)
     return marked.select("row_id", *[f"outlier_{f}" for f in statistics.NUMERIC])
 
 
-@query(f"SELECT row_id, greatest({', '.join(f'outlier_{f}' for f in statistics.NUMERIC)}) AS outlier_any FROM ({_FLAGGED})")
+@query(f"""WITH w AS (SELECT row_id, class_name, unnest([{', '.join(f"{{'feature': '{f}', 'x': {_known(f)}}}" for f in _FEATURES)}], recursive := true) FROM object_stats),
+l AS (SELECT class_name, feature, x FROM w), b AS ({_BOUNDS.replace(_LONG, 'SELECT * FROM l')})
+SELECT row_id, max(coalesce(w.x < b.lower OR w.x > b.upper, false)::INT)::TINYINT AS outlier_any FROM w LEFT JOIN b USING (class_name, feature) GROUP BY row_id""")
 def outlier_any(spark, d):
-    return statistics.mark_outliers(_stats(spark, d).select("row_id", "class_name", *statistics.NUMERIC)).select("row_id", "outlier_any")
+    """Whether any numeric feature of a row is an outlier in its class."""
+    return statistics.mark_outliers(_stats(spark, d)).select("row_id", "outlier_any")
 
 
 @query(f"""SELECT class_name, feature, sum(o)::BIGINT AS outliers FROM ({_MARKS}) WHERE class_name IS NOT NULL GROUP BY ALL
 UNION ALL SELECT NULL, feature, sum(o)::BIGINT FROM ({_MARKS}) GROUP BY feature""")
 def outlier_counts(spark, d):
-    return statistics.outlier_counts(statistics.mark_outliers(_stats(spark, d).select("class_name", *statistics.NUMERIC)))
+    return statistics.outlier_counts(statistics.mark_outliers(_stats(spark, d).select("class_name", *statistics.NUMERIC), statistics.NUMERIC))
 
 
 _D = ("mean", "std", "min", "q1", "median", "q3", "max")
@@ -456,8 +466,6 @@ def stratified_sample(spark, d):
     return statistics.stratified_sample(_stats(spark, d).select("row_id", "class_name"), "row_id")
 
 
-#: The numeric features of the table (fixed names): sizes of the image, of the object, its place, its quality.
-_FEATURES = ("im_width", "im_height", "im_depth", *statistics.NUMERIC, *statistics.BINARY)
 _FILLED = {f: f"coalesce({_known(f)}, 0)" for f in _FEATURES}
 
 

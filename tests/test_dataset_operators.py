@@ -145,6 +145,23 @@ def test_exact_percentiles(spark):
     assert got["n", 0.5] == 3.0 and (None, 0.5) not in got
 
 
+@pytest.mark.parametrize("rows, parts", [(200_000, 1_024), (3, 2), (1, 5)])
+def test_exact_percentiles_of_wide_ranges(spark, monkeypatch, rows, parts):
+    monkeypatch.setattr(quantiles, "RANGE_ROWS", rows)
+    monkeypatch.setattr(quantiles, "PARTS", parts)
+    r = np.random.default_rng(2)
+    groups = {"a": r.normal(size=60) * 1e-3 + 5, "b": np.array([7.0] * 30 + [7.0000001, -1e308, 1e308, -3.0]), "c": np.array([np.inf, -np.inf, 0.0, -0.0, 1.0, 5e-324, -5e-324])}
+    df = spark.createDataFrame([(g, "f", float(x)) for g, xs in groups.items() for x in xs], "g string, feature string, x double")
+    got = {(x["g"], x["quantile"]): x["value"] for x in quantiles.exact_percentiles(df, ["g"], [0.0, 0.25, 0.5, 0.9]).collect()}
+    for g, xs in groups.items():
+        xs = np.sort(xs)
+        for q in (0.0, 0.25, 0.5, 0.9):
+            at = q * (len(xs) - 1)
+            lo, hi = xs[int(np.floor(at))], xs[int(np.ceil(at))]
+            want = lo if lo == hi and np.isfinite(lo) else lo + (hi - lo) * (at - np.floor(at))
+            assert got[g, q] == pytest.approx(want, rel=1e-12, nan_ok=True)
+
+
 def test_statistics(spark):
     df = spark.createDataFrame(
         [("a", "i", 1.0, 2.0, 1), ("a", "i", 2.0, 4.0, 0), ("a", "j", 3.0, 6.0, 1), ("b", "j", 5.0, 1.0, None), ("b", None, 5.0, None, 1), (None, "k", 7.0, 0.0, 1)],
