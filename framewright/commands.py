@@ -8,12 +8,13 @@ from __future__ import annotations
 import argparse
 import logging
 import time
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright import report
+from framewright import registry, report
 from framewright.functions import paths, raster
 from framewright.operators import cache_merge, convert, dedup, features, frames, hamming, projection, statistics
 from framewright.sinks import files
@@ -21,6 +22,8 @@ from framewright.session import checkpointed, ship
 from framewright.sources import cache, config, scan, video, voc
 
 log = logging.getLogger("framewright")
+#: Videos named in the log that could not be read to their end; the rest is in the result.
+MOST_LOGGED = 100
 
 
 def _existing(folder: str) -> str:
@@ -50,12 +53,15 @@ def delete(spark: SparkSession, s: config.Settings, src: str, act: bool = False)
 
 
 def slice_videos(spark: SparkSession, s: config.Settings, src: str, dst: str, act: bool = False) -> DataFrame:
-    """Sampled frames to files. Only videos of which frames came out are removed, and only with remove."""
+    """Sampled frames to files. Only videos that were read to their end and gave frames are removed, and only with remove."""
     ship(spark)
     spark.dataSource.register(video.VideoFrames)
-    chosen = frames.sampled(spark.read.format("video_frames").option("step_sec", s.step_sec).load(_existing(src)), s.step_sec)
-    files.write_frames(chosen, dst, s.suffix)
-    plan = files.delete_plan(chosen.select(F.col("video").alias("path")).distinct())
+    rows = spark.read.format("video_frames").option("step_sec", s.step_sec).load(_existing(src))
+    kept = frames.sampled(rows.filter("status IS NULL"), s.step_sec).unionByName(rows.filter("status IS NOT NULL"), allowMissingColumns=True)
+    done = files.write_frames(kept, dst, s.suffix)
+    for r in done.filter(F.col("status") != video.DONE).take(MOST_LOGGED):
+        log.warning("%s was not read to its end: %s", r["video"], r["status"])
+    plan = files.delete_plan(done.filter((F.col("status") == video.DONE) & (F.col("frames") > 0)).select(F.col("video").alias("path")))
     return _acted(plan, act and s.remove)
 
 
@@ -67,7 +73,7 @@ def hash_cache(spark: SparkSession, s: config.Settings, src: str) -> DataFrame:
     same = [now[c].eqNullSafe(stored[c]) for c in ("path", "mtime", "length")]
     kept = stored.join(now, same, "left_semi")
     todo = now.join(stored, same, "left_anti")
-    done = raster.image_features(scan.images(spark, src), s.core_size).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "hash")
+    done = raster.image_features(scan.images_at(todo), s.core_size).select(paths.of_uri(F.col("path")).alias("path"), "hash")
     whole = cache_merge.combined(kept, todo.join(done, "path"))
     target = cache.save(whole, folder)
     return spark.read.schema(cache.HASH_SCHEMA).parquet(str(target)) if target else whole
@@ -77,12 +83,13 @@ def dedup_images(spark: SparkSession, s: config.Settings, src: str, act: bool =
     """Plan to delete near-duplicates; of similar images the first path stays."""
     from pyspark.sql import Window
 
+    duplicates = registry.lookup("duplicates", s.method)
     hashes = hash_cache(spark, s, src).filter("hash IS NOT NULL")
     # ids in the order of paths, without bringing all rows to one place
     placed = hashes.select("path", "hash").repartitionByRange("path").sortWithinPartitions("path").withColumn("_p", F.spark_partition_id())
     within = F.row_number().over(Window.partitionBy("_p").orderBy("path")).cast("bigint")
     numbered = checkpointed(placed.select("path", "hash", (F.shiftleft(F.col("_p").cast("bigint"), 40) + within).alias("id")))
-    gone = dedup.duplicates(numbered, bits=s.core_size**2, most=hamming.threshold_bits(s.core_size, s.hash_threshold), id_col="id")
+    gone = duplicates(numbered, bits=s.core_size**2, most=hamming.threshold_bits(s.core_size, s.hash_threshold), id_col="id")
     return _acted(files.delete_plan(numbered.join(gone, "id").select("path")), act and s.remove)
 
 
@@ -94,48 +101,52 @@ def clean_annotations(spark: SparkSession, s: config.Settings, src: str, act: bo
 
 def convert_annotations(spark: SparkSession, s: config.Settings, src: str, dst: str, img_path: str | None = None, source_type: str = "voc") -> int:
     """Writes the other format's files and returns how many."""
-    if (source_type, s.destination_type) == ("voc", "yolo"):
+    to_format = registry.lookup("converter", f"{source_type}:{s.destination_type}")
+    if source_type == "voc":
         docs = voc.read(spark, _existing(src)).filter(F.lower(paths.suffix(F.col("path"))) == ".xml")
         classes = features.class_ids(docs.select(F.explode("object.name").alias("class_name")))
-        done = files.write_texts(convert.yolo_files(convert.voc_to_yolo(docs, classes), convert.sized(docs)), dst, ".txt")
+        done = files.write_texts(convert.yolo_files(to_format(docs, classes), convert.sized(docs)), dst, ".txt")
         files.write_class_file(classes, dst)
         return done
-    if (source_type, s.destination_type) == ("yolo", "voc"):
-        pixels = yolo_pixels(spark, s, src, img_path or src)
-        texts = voc.to_text(convert.voc_records(pixels))
-        return files.write_texts(texts.withColumn("stem", paths.stem(F.col("path"))), dst, ".xml")
-    raise ValueError(f"no conversion from {source_type} to {s.destination_type}")
+    texts = voc.to_text(to_format(yolo_pixels(spark, s, src, img_path or src)))
+    return files.write_texts(texts.withColumn("stem", paths.stem(F.col("path"))), dst, ".xml")
 
 
-def yolo_pixels(spark: SparkSession, s: config.Settings, src: str, img_path: str) -> DataFrame:
-    """Boxes of the YOLO files of a folder in pixels of their images, by stem."""
+def _image_files(spark: SparkSession, s: config.Settings, folder: str) -> DataFrame:
+    """(stem, im_path) of the images of a folder, by their names."""
+    return features.image_lookup(scan.listing(spark, _existing(folder)), s.extensions)
+
+
+def yolo_pixels(spark: SparkSession, s: config.Settings, src: str, img_path: str, only: DataFrame | None = None) -> DataFrame:
+    """Boxes of the YOLO files of a folder in pixels of their images, by stem; only images of such files are read. only: see feature_matrix."""
     texts = scan.whole_texts(spark, _existing(src), "*.txt").filter(paths.name(F.col("path")) != "classes.txt")
+    if only is not None:
+        texts = texts.join(only.select("path").distinct(), "path", "left_semi")
     listed = Path(src) / "classes.txt"
     classes = scan.class_file(spark, str(listed)) if listed.exists() else spark.createDataFrame([], "class_id int, class_name string")
-    image = F.regexp_replace("image.origin", "^file:/+", "/")
-    sizes = scan.images(spark, _existing(img_path)).filter("image.height > 0").select(paths.stem(image).alias("stem"), image.alias("im_path"), F.col("image.width").alias("im_width"), F.col("image.height").alias("im_height"))
-    one = sizes.filter(paths.has_extension(F.col("im_path"), s.extensions)).groupBy("stem").agg(F.max_by(F.struct("im_width", "im_height"), "im_path").alias("v"))
-    by_path = texts.select("path", paths.stem(F.col("path")).alias("stem")).join(one, "stem").select("path", "v.*")
+    by_path = features.with_image(texts.select("path"), _image_files(spark, s, img_path), "inner").select("path", "im_path")
+    images = scan.images_at(by_path.select(F.col("im_path").alias("path"))).filter("image.height > 0")
+    sizes = images.select(paths.of_uri(F.col("image.origin")).alias("im_path"), F.col("image.width").alias("im_width"), F.col("image.height").alias("im_height"))
     lines = convert.yolo_lines(texts).select("path", F.col("first_no").alias("no"), "line")
-    return convert.to_pixels(convert.yolo_boxes(lines, keep=("path", "no")), by_path, classes, keep=("no",))
+    return convert.to_pixels(convert.yolo_boxes(lines, keep=("path", "no")), by_path.join(sizes, "im_path").drop("im_path"), classes, keep=("no",))
 
 
 def feature_matrix(spark: SparkSession, s: config.Settings, src: str, img_path: str, source_type: str = "voc", only: DataFrame | None = None) -> DataFrame:
-    """The feature matrix of a folder of annotations with the quality of their images, each image read once.
+    """The feature matrix of a folder of annotations with the quality of their images.
 
-    only: (path) of the files to take, else all.
+    only: (path) of the files to take, else all. Images that no such file has are not read.
     """
     if source_type == "yolo":
-        docs = convert.voc_records(yolo_pixels(spark, s, src, img_path))
+        docs = convert.voc_records(yolo_pixels(spark, s, src, img_path, only))
     else:
         docs = voc.read(spark, _existing(src)).drop("mtime")
-    docs = docs.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
     if only is not None:
         docs = docs.join(only.select("path").distinct(), "path", "left_semi")
     found = features.voc_features(docs, margin=s.margin_threshold)
-    quality = raster.image_features(scan.images(spark, _existing(img_path)), s.core_size).select(F.regexp_replace("path", "^file:/+", "/").alias("im_path"), "im_brightness", "im_contrast", "im_blur_score")
-    lookup = features.image_lookup(quality.select(F.col("im_path").alias("path")), s.extensions).join(quality, "im_path")
-    return features.with_image(found, lookup, "inner" if source_type == "yolo" else "left").drop("stem")
+    lookup = _image_files(spark, s, img_path)
+    wanted = lookup.join(found.select(paths.stem(F.col("path")).alias("stem")).distinct(), "stem", "left_semi").select(F.col("im_path").alias("path"))
+    quality = raster.image_features(scan.images_at(wanted), s.core_size).select(paths.of_uri(F.col("path")).alias("im_path"), "im_brightness", "im_contrast", "im_blur_score")
+    return features.with_image(found, lookup.join(quality, "im_path"), "inner" if source_type == "yolo" else "left").drop("stem")
 
 
 def cached_matrix(spark: SparkSession, s: config.Settings, src: str, img_path: str, source_type: str = "voc") -> DataFrame:
@@ -172,7 +183,7 @@ def stats(spark: SparkSession, s: config.Settings, src: str, img_path: str | Non
     stored = spark.read.parquet(str(folder / "features"))
     for name, table in report.chart_data(stored).items():
         table.write.parquet(str(folder / name))
-    text = report.text_report(stored, source_type, s.img_dataset_report_schema)
+    text = registry.lookup("report", s.datatype)(stored, source_type, s.img_dataset_report_schema)
     (folder / "report.txt").write_text(text)
     return text
 
@@ -209,10 +220,16 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def run(spark: SparkSession, arguments: list[str], config_file: str = "config.json"):
-    """One command line; with repeat again after sleep seconds until interrupted."""
+def run(spark: SparkSession, arguments: list[str], config_file: str = "config.json", ask: Callable[[str], str] | None = None):
+    """One command line; with repeat again after sleep seconds until interrupted.
+
+    ask is given a question and its answer, if it is one of confirm_choice,
+    does what --yes does.
+    """
     a = parser().parse_args(arguments)
     s = config.load(config_file, **vars(a))
+    if not a.yes and ask is not None:
+        a.yes = ask(f"{a.command} {a.src}? ({'/'.join(s.confirm_choice)}) ").strip().lower() in s.confirm_choice
     configure_logging(s, a.command)
     kind = next((p for p in s.pattern if p in ("voc", "yolo")), "voc")
     actions = {

@@ -8,6 +8,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def local(path: Column) -> Column:
+    """A path without the scheme of local files."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def of_uri(uri: Column) -> Column:
+    """The path of an encoded address, as file metadata and image rows have it."""
+    return local(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))))
+
+
 def name(path: Column) -> Column:
     """The last part of a path."""
     return F.element_at(F.split(path, "/"), -1)

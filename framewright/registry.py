@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from framewright.operators import convert, dedup, statistics
+from framewright import report
+from framewright.operators import convert, dedup
 
 _kinds: dict[str, dict[str, Callable]] = {
     "duplicates": {"dhash": dedup.duplicates},
-    "converter": {"voc:yolo": convert.voc_to_yolo, "yolo:voc": convert.to_pixels},
-    "report": {"image": statistics.describe},
+    "converter": {"voc:yolo": convert.voc_to_yolo, "yolo:voc": convert.voc_records},
+    "report": {"image": report.text_report},
 }
 
 

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.operators import statistics
+from framewright.operators.features import MOST_CLASSES
+from framewright.session import bounded_rows
 from framewright.sources.config import REPORT_SCHEMA
 
-LINE = "=" * 100
-
-
 def report_rows(df: DataFrame, schema: Sequence[dict] = REPORT_SCHEMA) -> DataFrame:
     """(class_name, section, place, text): the lines of the report, a null class for what concerns all.
 
@@ -27,14 +27,13 @@ def report_rows(df: DataFrame, schema: Sequence[dict] = REPORT_SCHEMA) -> DataFr
             if section["type"] == "numeric":
                 d = statistics.bounds(statistics.describe(df, by, section["columns"]))
                 n = counts.filter("class_name IS NOT NULL" if by else "class_name IS NULL").select(*by, "feature", "outliers")
-                text = F.format_string(
-                    "  - %-25s: med %10.2f | avg %10.2f, std %-10.2f | min %10.2f, max %10.2f | outliers: %-4d | %10.2f < sweet spot < %10.2f",
-                    "feature", "median", "mean", F.coalesce("std", F.lit(float("nan"))), "min", "max", "outliers", "lower", "upper",
-                )
+                shown = {"median": "median", "mean": "mean", "deviation": "std", "from": "min", "to": "max", "usual_from": "lower", "usual_to": "upper"}
+                parts = [F.concat(F.lit(f"{name}="), F.coalesce(F.format_number(c, 2), F.lit("?"))) for name, c in shown.items()]
+                text = F.concat_ws("  ", F.col("feature"), *parts, F.concat(F.lit("outliers="), F.col("outliers").cast("string")))
                 rows = d.join(n, [*by, "feature"]).select(*by, F.col("feature").alias("place"), text.alias("text"))
             else:
                 d = statistics.binary_shares(df, by, section["columns"])
-                rows = d.select(*by, F.col("flag").alias("place"), F.format_string("  - %-25s: %10d (%6.1f%%)", "flag", "set_count", "share").alias("text"))
+                rows = d.select(*by, F.col("flag").alias("place"), F.concat_ws("  ", F.col("flag"), F.concat(F.lit("set="), F.col("set_count").cast("string")), F.concat(F.lit("percent="), F.format_number("share", 1))).alias("text"))
             order = F.array_position(F.array(*[F.lit(c) for c in section["columns"]]), F.col("place"))
             rows = rows.select(F.col("class_name") if by else F.lit(None).cast("string").alias("class_name"), F.lit(section["title"]).alias("section"), (F.lit(100 * i) + order).alias("place"), "text")
             out = rows if out is None else out.unionByName(rows)
@@ -45,19 +44,13 @@ def text_report(df: DataFrame, target_format: str, schema: Sequence[dict] = REPO
     """The report as text. Its size goes with the classes, not the objects."""
     marked = df if "outlier_any" in df.columns else statistics.mark_outliers(df)
     d = statistics.density(marked).first()
-    lines = [LINE, f"DATASET REPORT FOR {target_format.upper()}", LINE, f"Total images             :  {d['images']}", f"Total annotated objects  :  {d['objects']}"]
-    lines += [f"Objects per image (avg)  :  {d['mean_objects'] or 0:.2f}", f"Density deviation (std)  :  {d['std_objects'] or 0:.2f}"]
-    shares = {r["class_name"]: r["share"] for r in statistics.class_counts(marked).collect()}
-    rows = sorted(report_rows(marked, schema).collect(), key=lambda r: (r["class_name"] is not None, r["class_name"] or "", r["place"]))
-    before: tuple = ()
-    for r in rows:
-        if r["class_name"] is not None and before[:1] != (r["class_name"],):
-            lines.append(f"\n >>> CLASS: {r['class_name']} ({shares[r['class_name']]:.1f}%)")
-        if before != (r["class_name"], r["section"]):
-            lines.append(f"\n [{r['section']}]")
-        before = (r["class_name"], r["section"])
-        lines.append(r["text"])
-    return "\n".join([*lines, LINE])
+    lines = [f"# {target_format} dataset: {d['images']} images, {d['objects']} objects, {d['mean_objects'] or 0:.2f} in an image (deviation {d['std_objects'] or 0:.2f})"]
+    shares = {r["class_name"]: r["share"] for r in bounded_rows(statistics.class_counts(marked), MOST_CLASSES, "the class list")}
+    rows = sorted(report_rows(marked, schema).collect(), key=lambda r: (r["class_name"] is not None, r["class_name"] or "", r["place"]))  # a line for each class and feature
+    for (name, section), group in groupby(rows, key=lambda r: (r["class_name"], r["section"])):
+        lines += ["", f"## {section}, " + ("all classes" if name is None else f"class {name} ({shares[name]:.1f} % of the objects)")]
+        lines += [r["text"] for r in group]
+    return "\n".join(lines) + "\n"
 
 
 def chart_data(df: DataFrame) -> dict[str, DataFrame]:

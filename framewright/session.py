@@ -9,6 +9,7 @@ import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable
+from functools import cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,13 +36,20 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
+@cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="framewright-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one for a local master without the setting."""
+    """The folder that all executors share; for a local master without the setting a temporary one, gone at the end."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", "")
     if not configured and not _one_machine(sc.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return configured or os.path.join(tempfile.gettempdir(), "framewright-checkpoints")
+    return configured or _own_folder()
 
 
 def ship(spark: SparkSession) -> None:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions import paths
-from framewright.session import bounded_rows, ship
+from framewright.session import bounded_rows, checkpointed, ship
 
 _DONE = "path string, target string, done boolean, message string"
 
@@ -77,8 +77,12 @@ def write_texts(texts: DataFrame, folder: str, suffix: str) -> int:
     return texts.select("stem", "value").mapInPandas(act, "stem string").count()
 
 
-def write_frames(frames: DataFrame, folder: str, suffix: str = ".npy") -> int:
-    """Writes sampled frames (video, number, height, width, channels, data) as ``<stem>_<number><suffix>``."""
+def write_frames(frames: DataFrame, folder: str, suffix: str = ".npy") -> DataFrame:
+    """Writes sampled frames (video, number, height, width, channels, data, status) as ``<stem>_<number><suffix>``.
+
+    Returns (video, frames, status), worked out once: the frames written of
+    each video and how reading it ended. Rows with a status have no frame.
+    """
     os.makedirs(folder, exist_ok=True)
 
     def act(batches):
@@ -87,8 +91,9 @@ def write_frames(frames: DataFrame, folder: str, suffix: str = ".npy") -> int:
         import numpy as np
 
         for batch in batches:
-            for r in batch.itertuples():
-                raster = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels)
+            written = batch["status"].isna()
+            for r in batch[written].itertuples():
+                raster = np.frombuffer(r.data, np.uint8).reshape(int(r.height), int(r.width), int(r.channels))
                 if suffix == ".npy":
                     buffer = io.BytesIO()
                     np.save(buffer, raster)
@@ -97,11 +102,12 @@ def write_frames(frames: DataFrame, folder: str, suffix: str = ".npy") -> int:
                     import cv2
 
                     data = cv2.imencode(suffix, raster)[1].tobytes()
-                _put(Path(folder) / f"{Path(r.video).stem}_{r.number}{suffix}", data)
-            yield batch[["number"]]
+                _put(Path(folder) / f"{Path(r.video).stem}_{int(r.number)}{suffix}", data)
+            yield batch[["video", "status"]].assign(frames=written.astype("int64"))
 
     ship(frames.sparkSession)
-    return frames.select("video", "number", "height", "width", "channels", "data").mapInPandas(act, "number bigint").count()
+    rows = frames.select("video", "number", "height", "width", "channels", "data", "status").mapInPandas(act, "video string, status string, frames bigint")
+    return checkpointed(rows.groupBy("video").agg(F.sum("frames").alias("frames"), F.max("status").alias("status")))
 
 
 def write_class_file(classes: DataFrame, folder: str) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from pathlib import Path
 
@@ -18,7 +19,7 @@ def listing(spark: SparkSession, folder: str, patterns: Sequence[str] = ()) -> D
     with ``_`` or ``.`` are skipped, as Spark's file sources do.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(folder).select("path", F.col("modificationTime").alias("mtime"), "length")
-    files = files.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+    files = files.withColumn("path", paths.local(F.col("path")))
     p = F.col("path")
     if patterns:
         files = files.filter(paths.matches_any(p, patterns))
@@ -28,7 +29,7 @@ def listing(spark: SparkSession, folder: str, patterns: Sequence[str] = ()) -> D
 def whole_texts(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """(path, value): each file of a folder as one text."""
     read = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True)
-    return read.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("path"), "value")
+    return read.select(paths.of_uri(F.col("_metadata.file_path")).alias("path"), "value")
 
 
 def class_file(spark: SparkSession, path: str) -> DataFrame:
@@ -44,6 +45,19 @@ def images(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("image").option("dropInvalid", False).load(folder)
 
 
+def images_at(files: DataFrame) -> DataFrame:
+    """Image rows of just the files (path); no other is opened.
+
+    Their paths come to the driver, as those of any files that Spark lists.
+    """
+    spark = files.sparkSession
+    found = [r["path"] for r in files.select("path").distinct().toLocalIterator()]
+    if not found:
+        return spark.createDataFrame([], "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>")
+    plain = [re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in found]  # no patterns
+    return spark.read.format("image").option("dropInvalid", False).load(plain)
+
+
 def next_report_folder(root: str) -> Path:
     """The folder after the greatest numbered one below root; other names do not count."""
     numbers = [int(p.name) for p in Path(root).iterdir() if p.is_dir() and p.name.isdigit()] if Path(root).exists() else []

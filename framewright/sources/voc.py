@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewright.functions import paths
+
 _BOX = "struct<xmin:string,ymin:string,xmax:string,ymax:string>"
 #: Schema of a VOC record; every leaf is text as it stands in the file.
 SCHEMA = (
@@ -21,7 +23,7 @@ def parsed(texts: DataFrame, column: str = "value") -> DataFrame:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """One row per XML file of a folder: path, mtime and the record's columns."""
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("mtime"))
+    files = spark.read.text(path, wholetext=True).select("value", paths.of_uri(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_modification_time").alias("mtime"))
     doc = parsed(files)
     return doc.select(F.col("file").alias("path"), "mtime", "doc.filename", "doc.folder", "doc.size", "doc.segmented", "doc.object")
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from framewright.session import shared_folder
+from framewright.functions import paths
+from framewright.session import checkpointed, removed, shared_folder
 
 FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -25,7 +26,7 @@ def watch(
     changed nor of removed files: merge those with operators.cache_merge.
     """
     files = spark.readStream.format("binaryFile").schema(FILE).option("pathGlobFilter", pattern).load(folder)
-    chosen = files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("modificationTime").alias("mtime"), "length", *(["content"] if content else []))
+    chosen = files.select(paths.local(F.col("path")).alias("path"), F.col("modificationTime").alias("mtime"), "length", *(["content"] if content else []))
     writer = chosen.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if sleep is None else writer.trigger(processingTime=f"{sleep} seconds")).start()
 
@@ -34,7 +35,7 @@ def read_once(spark: SparkSession, folder: str, name: str, schema: StructType) -
     """A Parquet table of a folder, taken in as a stream until nothing is left, from the batches it was kept in.
 
     The stream's checkpoint and its batches lie in the folder that all
-    executors share; a batch that is repeated replaces itself.
+    executors share until the rows are together; a batch that is repeated replaces itself.
     """
     root = f"{shared_folder(spark)}/poll-{uuid.uuid4().hex}"
     source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name[:-1]}[{name[-1]}]")
@@ -43,7 +44,9 @@ def read_once(spark: SparkSession, folder: str, name: str, schema: StructType) -
         batch.write.mode("overwrite").parquet(f"{root}/rows/batch={number}")
 
     source.writeStream.foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(f"{root}/rows")
+    rows = checkpointed(spark.read.schema(schema).parquet(f"{root}/rows"))
+    removed(spark, root)
+    return rows
 
 
 def appended_features(docs: DataFrame, target: str) -> Callable[[DataFrame, int], None]:

@@ -345,8 +345,9 @@ def test_report_text(spark):
     df = spark.createDataFrame([("a", "i", 1.0, 1), ("a", "i", 3.0, 0), ("b", "j", 5.0, 1)], "class_name string, im_path string, x double, f int")
     schema = [{"title": "IMAGE QUALITY", "type": "numeric", "columns": ["x"]}, {"title": "SPATIAL", "type": "binary", "columns": ["f"]}]
     text = report.text_report(statistics.mark_outliers(df, ["x"]), "voc", schema)
-    assert "DATASET REPORT FOR VOC" in text and "Total images             :  2" in text and ">>> CLASS: a (66.7%)" in text and "1 (  50.0%)" in text
-    assert text.index("[IMAGE QUALITY]") < text.index(">>> CLASS: a") < text.index(">>> CLASS: b")
+    assert "voc dataset: 2 images, 3 objects" in text and "class a (66.7 % of the objects)" in text and "f  set=1  percent=50.0" in text
+    assert "x  median=2.00  mean=2.00  deviation=1.41  from=1.00  to=3.00" in text and "deviation=?" in text
+    assert text.index("IMAGE QUALITY, all classes") < text.index("SPATIAL, class a") < text.index("IMAGE QUALITY, class b")
 
 
 def test_registry():

@@ -117,7 +117,7 @@ def test_convert_and_back(spark, dataset, tmp_path):
 
 def test_stats_command(spark, dataset):
     text = commands.stats(spark, settings(dataset), str(dataset), str(dataset))
-    assert "Total annotated objects  :  4" in text and ">>> CLASS: car (75.0%)" in text
+    assert "4 objects" in text and "class car (75.0 % of the objects)" in text
     stored = spark.read.parquet(str(dataset / "reports" / "1" / "features"))
     assert {"outlier_any", "proj_x", "im_brightness", "im_path"} <= set(stored.columns) and stored.filter("im_brightness IS NULL").count() == 0
     commands.convert_annotations(spark, settings(dataset, destination_type="yolo"), str(dataset), str(dataset / "y"))
@@ -133,7 +133,73 @@ def test_slice_command(spark, tmp_path):
     commands.slice_videos(spark, s, str(src), str(dst), act=True)
     assert sorted(p.name for p in dst.iterdir()) == ["v_0.npy", "v_1.npy", "v_2.npy"]
     assert [p.name for p in src.iterdir()] == ["broken.npy"]
-    assert video.VideoFrames.name() == "video_frames"
+
+
+def test_half_read_videos_stay(spark, tmp_path):
+    src, dst = tmp_path / "s", tmp_path / "d"
+    src.mkdir()
+    np.save(src / "whole.npy", np.zeros((3, 2, 2, 3), np.uint8))
+    np.save(src / "none.npy", np.zeros((0, 2, 2, 3), np.uint8))
+    (src / "x.mp4").write_text("no video")
+    rows = list(video.VideoFrames({"path": str(src)}).reader(None).read(video.InputPartition(str(src / "whole.npy"))))
+    assert [r[1] for r in rows] == [0, 1, 2, None] and [r[-1] for r in rows] == [None, None, None, "done"]
+    plan = commands.slice_videos(spark, settings(tmp_path, suffix=".npy", remove=True), str(src), str(dst), act=True)
+    assert [Path(r["path"]).name for r in plan.collect()] == ["whole.npy"]
+    assert sorted(p.name for p in src.iterdir()) == ["none.npy", "x.mp4"]
+    torn = video._Reader({"path": str(src)})
+    video.DECODERS[".torn"] = lambda path: (_ for _ in [1, 0] if 1 / _ for _ in [(0, 25.0, b"", 0, 0, 3)])
+    assert [(r[1], (r[-1] or "")[:12]) for r in torn.read(video.InputPartition("a.torn"))][-1] == (None, "ZeroDivision")
+    del video.DECODERS[".torn"]
+
+
+def opened(monkeypatch):
+    """The names of the images that are read from here on, a list for each time."""
+    seen, images_at = [], scan.images_at
+    monkeypatch.setattr(scan, "images_at", lambda df: (seen.append(sorted(Path(r["path"]).name for r in df.collect())), images_at(df))[1])
+    return seen
+
+
+def test_only_new_and_changed_images_are_read(spark, dataset, monkeypatch):
+    monkeypatch.setattr(scan, "images", None)  # nobody reads a whole folder
+    seen, s = opened(monkeypatch), settings(dataset)
+    first = {r["path"]: r["hash"] for r in commands.hash_cache(spark, s, str(dataset)).collect()}
+    assert {r["path"]: r["hash"] for r in commands.hash_cache(spark, s, str(dataset)).collect()} == first and len(first) == 3
+    png(dataset / "b.png", np.random.default_rng(7).integers(0, 255, (60, 90, 3)))
+    png(dataset / "[d] *.png", np.random.default_rng(8).integers(0, 255, (60, 90, 3)))
+    (dataset / "a.png").unlink()
+    again = {Path(r["path"]).name: r["hash"] for r in commands.hash_cache(spark, s, str(dataset)).collect()}
+    assert set(again) == {"b.png", "c.png", "[d] *.png"} and all(again.values())
+    assert seen == [["a.png", "b.png", "c.png"], [], ["[d] *.png", "b.png"]]
+
+
+def test_statistics_read_the_images_of_changed_files(spark, dataset, monkeypatch):
+    monkeypatch.setattr(scan, "images", None)
+    png(dataset / "alone.png", np.zeros((9, 9, 3)))
+    (dataset / "b.xml").rename(dataset / "b + %41.xml")
+    (dataset / "b.png").rename(dataset / "b + %41.png")
+    seen, s = opened(monkeypatch), settings(dataset)
+    assert commands.cached_matrix(spark, s, str(dataset), str(dataset)).filter("im_brightness IS NOT NULL").count() == 4
+    (dataset / "a.xml").write_text(XML.format("a", OBJECT.format("van", 1, 1, 9, 9)))
+    assert commands.cached_matrix(spark, s, str(dataset), str(dataset)).filter("im_brightness IS NOT NULL").count() == 4
+    assert seen == [["a.png", "b + %41.png", "c.png"], ["a.png"]]
+
+
+def test_unknown_methods_are_refused(spark, dataset):
+    for make in (
+        lambda: commands.dedup_images(spark, settings(dataset, method="phash"), str(dataset)),
+        lambda: commands.convert_annotations(spark, settings(dataset, destination_type="coco"), str(dataset), str(dataset / "x")),
+        lambda: commands.stats(spark, settings(dataset, datatype="sound"), str(dataset)),
+    ):
+        with pytest.raises(ValueError):
+            make()
+
+
+def test_confirmation(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("APP_LOG_PATH", str(tmp_path / "log"))
+    (tmp_path / "a.jpg").write_text("x")
+    for answer, left in (("no", True), (" YES ", False)):
+        commands.run(spark, ["delete", str(tmp_path), "-p", ".jpg"], str(tmp_path / "none.json"), ask=lambda question: answer)
+        assert (tmp_path / "a.jpg").exists() == left
 
 
 def test_cache(spark, tmp_path):
