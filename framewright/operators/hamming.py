@@ -88,7 +88,7 @@ def _raw(codes: pa.Array) -> np.ndarray:
     return np.pad(joined.reshape(len(codes), -1), ((0, 0), (0, 2)))
 
 
-_ROW = [("part", "<i8"), ("id", "<i8"), ("flag", "u1"), ("side", "u1")]
+_ROW = [("part", "<i8"), ("id", "<i8"), ("check", "<i4"), ("flag", "u1"), ("side", "u1")]
 
 
 def _row_type(size: int) -> np.dtype:
@@ -120,7 +120,10 @@ def _segment_batch(found: list[tuple]) -> pa.RecordBatch:
 
 
 def segments(rows: DataFrame, *, bits: int, most: int) -> DataFrame:
-    """(bucket, n, data): rows (part, id, code, flag) by the position and bits of each half, n of them packed in data. May be stored and added to."""
+    """(bucket, n, data): rows (part, id, code, flag) by the position and bits of each half, n of them packed in data. May be stored and added to.
+
+    Where part is a digest, a column check (int) may hold a further one.
+    """
     layout, kind = _layout(bits, blocks_for(bits, most)), _row_type(_size(bits))
 
     def cut(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,6 +132,7 @@ def segments(rows: DataFrame, *, bits: int, most: int) -> DataFrame:
         packed_rows = np.zeros(len(raw), kind)
         packed_rows["part"], packed_rows["id"] = table.column("part").to_numpy(), table.column("id").to_numpy()
         packed_rows["flag"], packed_rows["code"] = table.column("flag").to_numpy(), raw[:, :-2]
+        packed_rows["check"] = table.column("check").to_numpy()
         for k, (a, na, *_) in enumerate(layout):
             yield _segment_batch(list(_chunks(packed_rows, _field(raw, a, na) | (k << 32))))
 
@@ -144,7 +148,8 @@ def segments(rows: DataFrame, *, bits: int, most: int) -> DataFrame:
         if held:
             yield from cut(held)
 
-    return mapped(rows.select("part", "id", "code", "flag"), run, SEGMENT)
+    check = F.col("check") if "check" in rows.columns else F.lit(0)
+    return mapped(rows.select("part", "id", "code", "flag", check.alias("check")), run, SEGMENT)
 
 
 def bucket_sizes(rows: DataFrame, *, bits: int, most: int) -> DataFrame:
@@ -289,7 +294,7 @@ def pairs_of(met: DataFrame, heavy: dict[int, int], *, bits: int, most: int, nea
     width = max(nb for *_, nb in layout)
 
     def near(rows: np.ndarray, raw: np.ndarray, words: np.ndarray, half: np.ndarray, pairs: Iterable) -> Iterator[tuple[np.ndarray, ...]]:
-        flag, side = rows["flag"], rows["side"]
+        flag, side, check = rows["flag"], rows["side"], rows["check"]
         mixed = bool(side.any())
         for i, j in pairs:
             good = flag[i] | flag[j] > 0
@@ -299,6 +304,8 @@ def pairs_of(met: DataFrame, heavy: dict[int, int], *, bits: int, most: int, nea
             d = np.bitwise_count(words[i] ^ words[j]).sum(1, dtype=np.int64)
             close = d <= most
             i, j, d = i[close], j[close], d[close]
+            close = check[i] == check[j]
+            i, j, d = i[close], j[close], d[close]
             if len(i):
                 keep = _first_match(raw[i] ^ raw[j], layout) == half[i]
                 yield i[keep], j[keep], d[keep]
