@@ -42,12 +42,12 @@ def _nodes(rows: DataFrame) -> DataFrame:
     return (
         rows.groupBy("cache", "code")
         .agg(F.min(F.when(old, F.col("id"))).alias("old"), F.min(F.when(~old, F.struct("batch", "id"))).alias("new"))
-        .select(F.xxhash64("cache").alias("part"), "cache", "code", "old", "new", F.coalesce("old", "new.id").alias("id"))
+        .select(F.xxhash64("cache").alias("part"), F.hash("cache").alias("check"), "cache", "code", "old", "new", F.coalesce("old", "new.id").alias("id"))
     )
 
 
 def _flagged(nodes: DataFrame) -> DataFrame:
-    return nodes.select("part", "id", "code", F.col("new").isNotNull().alias("flag"))
+    return nodes.select("part", "check", "id", "code", F.col("new").isNotNull().alias("flag"))
 
 
 def _resolved(rows: DataFrame, nodes: DataFrame, near: DataFrame) -> DataFrame:
@@ -106,56 +106,44 @@ class SegmentIndex:
 
     def __init__(self, spark: SparkSession, folder: str, *, bits: int, most: int):
         self.spark, self.folder, self.bits, self.most = spark, folder, bits, most
-        for r in self._runs():
-            if (r["bits"], r["most"]) != (bits, most):
-                raise ValueError(f"{folder} was made for other bits or another threshold")
-
-    def _runs(self) -> list:
         try:
-            return self.spark.read.schema(_RUN).parquet(f"{self.folder}/runs/*").collect()  # one row a run
+            runs = spark.read.schema(_RUN).parquet(f"{folder}/runs/*").collect()  # one row a run
         except AnalysisException:  # nothing was added yet
-            return []
-
-    def _stored(self, kind: str, run: int, schema: str) -> DataFrame:
-        done = sorted(r["run"] for r in self._runs() if r["run"] < run)
-        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{kind}/{n}" for n in done]) if done else self.spark.createDataFrame([], schema)
+            runs = []
+        if any((r["bits"], r["most"]) != (bits, most) for r in runs):
+            raise ValueError(f"{folder} was made for other bits or another threshold")
+        self.runs = {r["run"] for r in runs}
 
     def segments(self, run: int, buckets: np.ndarray) -> DataFrame:
         """The stored segments of runs before run that lie in some buckets (ascending)."""
-        stored = self._stored("segments", run, hamming.SEGMENT)
+        done = [f"{self.folder}/segments/{n}" for n in sorted(self.runs) if n < run]
+        stored = self.spark.read.schema(hamming.SEGMENT).parquet(*done) if done else self.spark.createDataFrame([], hamming.SEGMENT)
         wanted = [F.col("bucket").between(a, b) for a, b in _ranges(buckets)]
         exact = self.spark.createDataFrame(pa.table({"bucket": buckets}), "bucket bigint")  # halves * 2 ** bits of a half at most
         return stored.filter(reduce(lambda x, y: x | y, wanted, F.lit(False))).join(F.broadcast(exact), "bucket", "left_semi").select("bucket", "n", "data")
 
-    def _append(self, nodes: DataFrame, caches: DataFrame, run: int) -> None:
-        cut = hamming.segments(nodes.select("part", "id", "code", F.lit(False).alias("flag")), bits=self.bits, most=self.most)
-        cut = cut.repartition("bucket").sortWithinPartitions("bucket")
-        cut.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/segments/{run}")
-        caches.write.mode("overwrite").parquet(f"{self.folder}/caches/{run}")
+    def _append(self, nodes: DataFrame, run: int) -> None:
+        if run in self.runs:  # it is replaced, and counts for nothing until it is whole
+            removed(self.spark, f"{self.folder}/runs/{run}")
+            self.runs.remove(run)
+        cut = hamming.segments(_flagged(nodes).withColumn("flag", F.lit(False)), bits=self.bits, most=self.most)
+        cut.repartition("bucket").sortWithinPartitions("bucket").write.mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/segments/{run}")
         self.spark.createDataFrame([(run, self.bits, self.most)], _RUN).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/runs/{run}")
-
-    def _new_caches(self, nodes: DataFrame, run: int) -> DataFrame:
-        """Caches that no earlier run had; two with one digest are an error, as their rows would meet."""
-        own = nodes.select("part", "cache").distinct()
-        known = self._stored("caches", run, "part bigint, cache string")
-        clash = own.join(known.withColumnRenamed("cache", "_c"), "part").filter("cache <> _c").select("part").unionByName(own.groupBy("part").count().filter("count > 1").select("part"))
-        if not clash.isEmpty():
-            raise ValueError("two cache names have one digest; rename one of them")
-        return own.join(known, ["part", "cache"], "left_anti")
+        self.runs.add(run)
 
     def add(self, df: DataFrame, run: int, *, id_col: str = "hash_id", hash_col: str = "hash", cache_col: str = "cache_name", batch_col: str | None = None, keep: bool = True) -> DataFrame:
         """(kept_id, dup_id) of the rejected rows of one run; its accepted rows join the index, unless it is only to be looked up.
 
-        A run has one batch, of its own number, or those of batch_col; batch 0
-        is accepted whole.
+        A run has one batch, of its own number, or those of batch_col. Run 0
+        is history and accepted whole. Caches are told apart by 96 bits of
+        digests, so that the index need not hold their names.
         """
         named = df if batch_col else df.withColumn("_batch", F.lit(run))
         rows = _rows(named, self.bits, id_col, hash_col, cache_col, batch_col or "_batch")
-        fresh = checkpointed(_nodes(rows))
-        caches = self._new_caches(fresh, run)
-        if fresh.filter("new IS NOT NULL").isEmpty():
-            self._append(fresh, caches, run)
+        if run == 0:
+            self._append(_nodes(rows), run)
             return self.spark.createDataFrame([], "kept_id bigint, dup_id bigint")
+        fresh = checkpointed(_nodes(rows))
         shape = {"bits": self.bits, "most": self.most}
         sizes = hamming.bucket_sizes(fresh, **shape).toArrow()
         met = self.segments(run, np.sort(sizes["bucket"].to_numpy()))
@@ -163,7 +151,7 @@ class SegmentIndex:
         near = hamming.pairs_of(hamming.segments(_flagged(fresh), **shape).unionByName(met), heavy, **shape)
         found = checkpointed(_resolved(rows, fresh, near))
         if keep:
-            self._append(_nodes(rows.join(found.select(F.col("dup_id").alias("id")), "id", "left_anti")), caches, run)
+            self._append(_nodes(rows.join(found.select(F.col("dup_id").alias("id")), "id", "left_anti")), run)
         return found
 
 
