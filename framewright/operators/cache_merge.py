@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 def to_update(files: DataFrame, cached: DataFrame) -> DataFrame:
     """Files (path, mtime) that are not cached with that very mtime; null equals null."""
-    known = cached.select("path", F.col("mtime").alias("_m"), F.lit(True).alias("_there")).distinct()
-    return files.join(known, "path", "left").filter(F.col("_there").isNull() | ~F.col("mtime").eqNullSafe(F.col("_m"))).select("path", "mtime").distinct()
+    now, known = files.select("path", "mtime").distinct(), cached.select("path", F.col("mtime").alias("_m")).distinct()
+    return now.join(known, (now["path"] == known["path"]) & now["mtime"].eqNullSafe(known["_m"]), "left_anti")
 
 
 def still_valid(cached: DataFrame, files: DataFrame) -> DataFrame:

@@ -80,7 +80,7 @@ def dropped(edges: DataFrame, partitions: int | None = None) -> DataFrame:
     round only. Items in no edge are kept.
     """
     left, gone, parts = checkpointed(edges.select("lo", "hi").distinct()), None, 0
-    while not left.isEmpty():
+    while gone is None or not left.isEmpty():
         decided = checkpointed(_round(left, partitions))
         out = decided.filter("gone").select("id")
         left = checkpointed(left.join(decided.select(F.col("id").alias("hi")), "hi", "left_anti").join(out.withColumnRenamed("id", "lo"), "lo", "left_anti").select("lo", "hi"))
@@ -88,4 +88,4 @@ def dropped(edges: DataFrame, partitions: int | None = None) -> DataFrame:
         parts += 1
         if parts % FOLD == 0:
             gone = checkpointed(gone)
-    return left.select(F.col("hi").alias("id")) if gone is None else gone
+    return gone

@@ -303,10 +303,7 @@ def _files(spark, d):
 
 @query(f"SELECT f.path, f.mtime FROM ({_FILES}) f WHERE NOT EXISTS (SELECT 1 FROM object_stats s WHERE s.path = f.path AND s.mtime IS NOT DISTINCT FROM f.mtime)")
 def cache_diff(spark, d):
-    files = _files(spark, d)
-    cached = _stats(spark, d).select("path", "mtime")
-    hit = cache_merge.still_valid(files, cached)
-    return files.join(hit, (files["path"] == hit["path"]) & files["mtime"].eqNullSafe(hit["mtime"]), "left_anti")
+    return cache_merge.to_update(_files(spark, d), _stats(spark, d))
 
 
 @query(f"SELECT s.row_id FROM object_stats s WHERE EXISTS (SELECT 1 FROM ({_FILES}) f WHERE s.path = f.path AND s.mtime IS NOT DISTINCT FROM f.mtime)")
