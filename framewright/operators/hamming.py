@@ -73,19 +73,21 @@ def _layout(bits: int, blocks: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def _field(raw: np.ndarray, first: int, size: int) -> np.ndarray:
-    """Bits first to first + size - 1 (16 at most) of codes (rows x bytes, two bytes of padding) as numbers."""
+def _field(codes: np.ndarray, first: int, size: int) -> np.ndarray:
+    """Bits first to first + size - 1 (16 at most) of codes (rows x bytes) as numbers."""
     if not size:
-        return np.zeros(len(raw), np.int64)
-    at = first // 8
-    three = raw[:, at].astype(np.int64) << 16 | raw[:, at + 1].astype(np.int64) << 8 | raw[:, at + 2]
+        return np.zeros(len(codes), np.int64)
+    at, n = first // 8, codes.shape[1]
+    three = codes[:, at].astype(np.int64) << 16
+    for k in (1, 2):
+        if at + k < n:
+            three |= codes[:, at + k].astype(np.int64) << (16 - 8 * k)
     return three >> (24 - first % 8 - size) & ((1 << size) - 1)
 
 
-def _raw(codes: pa.Array) -> np.ndarray:
-    """Codes as rows x bytes, with two bytes of padding."""
-    joined = np.frombuffer(b"".join(codes.to_pylist()), np.uint8)
-    return np.pad(joined.reshape(len(codes), -1), ((0, 0), (0, 2)))
+def _bytes(codes: pa.Array) -> np.ndarray:
+    """Codes as rows x bytes."""
+    return np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(len(codes), -1)
 
 
 _ROW = [("part", "<i8"), ("id", "<i8"), ("check", "<i4"), ("flag", "u1"), ("side", "u1")]
@@ -128,10 +130,10 @@ def segments(rows: DataFrame, *, bits: int, most: int) -> DataFrame:
 
     def cut(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held).combine_chunks()
-        raw = _raw(table.column("code"))
+        raw = _bytes(table.column("code"))
         packed_rows = np.zeros(len(raw), kind)
         packed_rows["part"], packed_rows["id"] = table.column("part").to_numpy(), table.column("id").to_numpy()
-        packed_rows["flag"], packed_rows["code"] = table.column("flag").to_numpy(), raw[:, :-2]
+        packed_rows["flag"], packed_rows["code"] = table.column("flag").to_numpy(), raw
         packed_rows["check"] = table.column("check").to_numpy()
         for k, (a, na, *_) in enumerate(layout):
             yield _segment_batch(list(_chunks(packed_rows, _field(raw, a, na) | (k << 32))))
@@ -160,7 +162,7 @@ def bucket_sizes(rows: DataFrame, *, bits: int, most: int) -> DataFrame:
         counts = [np.zeros(1 << na, np.int64) for _, na, *_ in layout]
         for batch in batches:
             if len(batch):
-                raw = _raw(batch.column(0))
+                raw = _bytes(batch.column(0))
                 for (a, na, *_), n in zip(layout, counts):
                     n += np.bincount(_field(raw, a, na), minlength=len(n))
         for k, n in enumerate(counts):
@@ -181,7 +183,7 @@ def heavy_buckets(sizes: DataFrame) -> dict[int, int]:
 
 
 def _first_match(xor: np.ndarray, layout: list[tuple[int, int, int, int]]) -> np.ndarray:
-    """For differing bits (pairs x bytes, padded): the first half in which the pair meets."""
+    """For differing bits (pairs x bytes): the first half in which the pair meets."""
     out = np.full(len(xor), len(layout))
     for k in range(len(layout) - 1, -1, -1):
         a, na, b, nb = layout[k]
@@ -204,14 +206,17 @@ def _expanded(left: np.ndarray, low: np.ndarray, counts: np.ndarray) -> Iterator
 
 def _met(keys: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of places whose keys are equal or differ in one of the lowest width bits, each pair once."""
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
+    if (keys[1:] < keys[:-1]).any():
+        order = np.argsort(keys, kind="stable")
+        for i, j in _met(keys[order], width):
+            yield order[i], order[j]
+        return
+    k = keys
     start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
     count = np.diff(np.r_[start, len(k)])
     run = np.repeat(np.arange(len(start)), count)
     own = np.arange(len(k))
-    for i, j in _expanded(own, own + 1, (start + count)[run] - own - 1):
-        yield order[i], order[j]
+    yield from _expanded(own, own + 1, (start + count)[run] - own - 1)
     distinct = k[start]
     for bit in range(width):
         clear = np.flatnonzero(distinct >> bit & 1 == 0)
@@ -222,8 +227,7 @@ def _met(keys: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]
         partner[clear[hit]] = at[hit]
         left = np.flatnonzero(partner[run] >= 0)
         other = partner[run[left]]
-        for i, j in _expanded(left, start[other], count[other]):
-            yield order[i], order[j]
+        yield from _expanded(left, start[other], count[other])
 
 
 def _narrowed(raw: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -293,35 +297,34 @@ def pairs_of(met: DataFrame, heavy: dict[int, int], *, bits: int, most: int, nea
     layout, kind = _layout(bits, blocks_for(bits, most)), _row_type(_size(bits))
     width = max(nb for *_, nb in layout)
 
-    def near(rows: np.ndarray, raw: np.ndarray, words: np.ndarray, half: np.ndarray, pairs: Iterable) -> Iterator[tuple[np.ndarray, ...]]:
+    def near(rows: np.ndarray, words: np.ndarray, half: np.ndarray, pairs: Iterable) -> Iterator[tuple[np.ndarray, ...]]:
         flag, side, check = rows["flag"], rows["side"], rows["check"]
-        mixed = bool(side.any())
+        mixed, all_count = bool(side.any()), bool(flag.all())
         for i, j in pairs:
-            good = flag[i] | flag[j] > 0
-            if mixed:
-                good &= (side[i] + side[j]) % 3 == 0
-            i, j = i[good], j[good]
+            if not all_count or mixed:
+                good = flag[i] | flag[j] > 0
+                if mixed:
+                    good &= (side[i] + side[j]) % 3 == 0
+                i, j = i[good], j[good]
             d = np.bitwise_count(words[i] ^ words[j]).sum(1, dtype=np.int64)
             close = d <= most
             i, j, d = i[close], j[close], d[close]
             close = check[i] == check[j]
             i, j, d = i[close], j[close], d[close]
             if len(i):
-                keep = _first_match(raw[i] ^ raw[j], layout) == half[i]
+                keep = _first_match((words[i] ^ words[j]).view(np.uint8), layout) == half[i]
                 yield i[keep], j[keep], d[keep]
 
     def compare(buckets: np.ndarray, cells: np.ndarray, counts: np.ndarray, data: list[bytes]) -> Iterator[pa.RecordBatch]:
         rows = np.frombuffer(b"".join(data), kind)
-        code = np.ascontiguousarray(rows["code"])
-        words, raw = code.view(np.uint64), np.pad(code, ((0, 0), (0, 2)))
         number = np.cumsum(np.r_[0, (buckets[1:] != buckets[:-1]) | (cells[1:] != cells[:-1])])
         half, bucket = np.repeat(buckets >> 32, counts), np.repeat(number, counts)
-        other = np.zeros(len(rows), np.int64)
-        for k in np.unique(half).tolist():
-            own = half == k
-            other[own] = _field(raw[own], *layout[k][2:])
+        cuts = np.flatnonzero(np.r_[True, half[1:] != half[:-1], True])  # buckets come in order, so halves do
+        other = np.concatenate([_field(rows["code"][a:b], *layout[half[a]][2:]) for a, b in zip(cuts[:-1], cuts[1:])])
         order = np.lexsort((other, rows["part"], bucket))  # by group, then the other half
-        rows, words, raw, half, other, bucket = (x[order] for x in (rows, words, raw, half, other, bucket))
+        rows, half, other, bucket = (x[order] for x in (rows, half, other, bucket))
+        code = np.ascontiguousarray(rows["code"])
+        words = code.view(np.uint64)
         part = rows["part"]
         first = np.r_[True, (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])]
         group = np.cumsum(first) - 1
@@ -334,11 +337,11 @@ def pairs_of(met: DataFrame, heavy: dict[int, int], *, bits: int, most: int, nea
         found = []
         plain = np.flatnonzero(~dense[group])
         if len(plain):
-            keys = group[plain] << width | other[plain]
-            found += near(rows, raw, words, half, ((plain[i], plain[j]) for i, j in _met(keys, width)))
+            met_here = _met(group[plain] << width | other[plain], width)
+            found += near(rows, words, half, met_here if len(plain) == len(rows) else ((plain[i], plain[j]) for i, j in met_here))
         for g in np.flatnonzero(dense).tolist():
             here = np.arange(starts[g], starts[g] + sizes[g])
-            some = list(near(rows, raw, words, half, ((here[i], here[j]) for i, j in _narrowed(code[order[here]], most))))
+            some = list(near(rows, words, half, ((here[i], here[j]) for i, j in _narrowed(code[here], most))))
             if some:
                 i, j, d = (np.concatenate(x) for x in zip(*some))
                 _, once = np.unique(np.minimum(i, j) * len(rows) + np.maximum(i, j), return_index=True)
