@@ -41,11 +41,11 @@ def _family(seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
 
 
 def band_keys(found: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The key of each band of a set of shingles."""
+    """The key of each band of a set of shingles; those of different bands differ too."""
     mixed = (found[:, None] ^ family[1]) * family[0]
     mixed ^= mixed >> np.uint64(31)
     low = (mixed * np.uint64(0x9E3779B97F4A7C15)).min(0).reshape(BANDS, ROWS)
-    key = np.zeros(BANDS, np.uint64)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for k in range(ROWS):
         key = (key ^ low[:, k]) * np.uint64(0xFF51AFD7ED558CCD)
         key ^= key >> np.uint64(32)
@@ -127,17 +127,33 @@ def linked(sets: list[np.ndarray], similar: float = SIMILAR) -> list[tuple[int,
 
 
 def _links(rows: DataFrame) -> DataFrame:
-    """(a, b): links between the paragraphs of each cell of (band, key, cell, digest, shingles)."""
+    """(a, b): links between the paragraphs of each cell of (key, cell, digest, shingles)."""
 
     def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        place = [table.column(c).to_numpy() for c in ("band", "key", "cell")]
+        place = [table.column(c).to_numpy() for c in ("key", "cell")]
         cuts = np.flatnonzero(np.r_[True, np.any([p[1:] != p[:-1] for p in place], axis=0), True])
         digests, found = table.column("digest").to_pylist(), table.column("shingles").combine_chunks()
-        offsets, flat = found.offsets.to_numpy(), found.values.to_numpy().view(np.uint64)
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            pairs = linked([flat[offsets[i] : offsets[i + 1]] for i in range(a, b)])
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array([digests[a + p[k]] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
+        offsets, flat = found.offsets.to_numpy(), found.values.to_numpy()[found.offsets[0].as_py() : found.offsets[-1].as_py()].view(np.uint64)
+        offsets = offsets - offsets[0]
+        # all groups at once: how far each row is from the first of its group
+        members = np.diff(cuts)
+        group, sizes = np.repeat(np.arange(len(members)), members), np.diff(offsets)
+        first = cuts[:-1][group]
+        owner = np.repeat(np.arange(len(group)), sizes)
+        marked = flat ^ (group[owner].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        own = np.sort(marked[first[owner] == owner])
+        common = np.bincount(owner[own[np.minimum(np.searchsorted(own, marked), len(own) - 1)] == marked], minlength=len(group))
+        near = common >= SIMILAR * (sizes + sizes[first] - common) - 1e-9
+        pairs = [(int(x), int(y)) for x, y in zip(first, np.arange(len(group))) if x != y and near[y]]
+        # one that is not near the first may be near others
+        far = np.bincount(group, weights=~near, minlength=len(members))
+        again = (far > 0) & (members > 2)
+        pairs = [p for p in pairs if not again[group[p[0]]]]
+        for g in np.flatnonzero(again).tolist():
+            a = int(cuts[g])
+            pairs += [(a + i, a + j) for i, j in linked([flat[offsets[r] : offsets[r + 1]] for r in range(a, int(cuts[g + 1]))])]
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array([digests[p[k]] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -149,7 +165,7 @@ def _links(rows: DataFrame) -> DataFrame:
             if size < PIECE:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
-            last = [table.column(c).to_numpy() for c in ("band", "key", "cell")]
+            last = [table.column(c).to_numpy() for c in ("key", "cell")]
             differs = np.flatnonzero(np.any([p != p[-1] for p in last], axis=0))
             cut = int(differs[-1]) + 1 if len(differs) else 0  # the last cell may go on
             if cut:
@@ -159,7 +175,27 @@ def _links(rows: DataFrame) -> DataFrame:
         if held:
             yield from compare(pa.Table.from_batches(held).combine_chunks())
 
-    return mapped(rows.repartition("band", "key", "cell").sortWithinPartitions("band", "key", "cell").select("band", "key", "cell", "digest", "shingles"), run, "a binary, b binary")
+    return mapped(rows.repartition("key", "cell").sortWithinPartitions("key", "cell").select("key", "cell", "digest", "shingles"), run, "a binary, b binary")
+
+
+def _crowded(placed: DataFrame) -> DataFrame:
+    """The rows of (key, digest) whose key others have too; sorted and streamed, as nearly all keys have one row."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, again = None, False  # the row that waits for the next one, and whether the one before it had its key
+        for batch in batches:
+            if not len(batch):
+                continue
+            table = pa.Table.from_batches([batch] if last is None else [last, batch]).combine_chunks()
+            key = table.column("key").to_numpy()
+            same = key[1:] == key[:-1]
+            hit = np.r_[again, same] | np.r_[same, False]
+            last, again = table.slice(len(table) - 1).to_batches()[0], bool(hit[-1])
+            yield from table.slice(0, len(table) - 1).filter(pa.array(hit[:-1])).to_batches()
+        if again:
+            yield last
+
+    return mapped(placed.repartition("key").sortWithinPartitions("key").select("key", "digest"), run, "key bigint, digest binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -203,12 +239,12 @@ def paragraph_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     cut = checkpointed(_cut(df, id_col, text_col))
     distinct = checkpointed(cut.filter("bands IS NOT NULL").groupBy("digest").agg(F.first("bands").alias("bands"), F.first("shingles").alias("shingles")))
-    placed = distinct.select("digest", F.posexplode("bands").alias("band", "key"))
-    crowded = placed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = placed.join(crowded, ["band", "key"]).select("digest", "band", "key", F.ceil(F.col("n") / PIECE).cast("int").alias("pieces"))
+    crowded = checkpointed(_crowded(distinct.select(F.explode("bands").alias("key"), "digest")))
+    counts = crowded.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    met = crowded.join(counts, "key").select("digest", "key", F.ceil(F.col("n") / PIECE).cast("int").alias("pieces"))
     own = F.pmod(F.xxhash64("digest"), F.col("pieces")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda j: F.least(own, j) * F.col("pieces") + F.greatest(own, j))
-    links = _links(met.join(distinct.select("digest", "shingles"), "digest").select("band", "key", "digest", "shingles", F.explode(cells).alias("cell")))
+    links = _links(met.join(distinct.select("digest", "shingles"), "digest").select("key", "digest", "shingles", F.explode(cells).alias("cell")))
     roots = components(links).withColumnRenamed("id", "digest")
     classed = cut.select("id", "no", "digest").join(roots, "digest", "left").select("id", "no", F.coalesce("root", "digest").alias("root"))
     first = classed.groupBy("root").agg(F.min(F.struct("id", "no")).alias("f"))
