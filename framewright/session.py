@@ -7,6 +7,7 @@ import os
 import re
 import shutil
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 from functools import cache
@@ -114,6 +115,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written to a folder of its own in the shared one, and that folder, to be removed() once what comes of it is checkpointed.
+
+    Cuts the lineage as a checkpoint does, but in compressed columns, of which later steps read what they need.
+    """
+    folder = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
+
+
 def removed(spark: SparkSession, folder: str) -> None:
     """Takes away a folder of this package's own, whatever its file system."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
