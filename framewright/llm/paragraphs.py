@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.functions.numbers import small_side
 from framewright.llm.leakage import gram_hashes, words
-from framewright.session import checkpointed, mapped, spread
+from framewright.session import checkpointed, mapped, removed, spread, stored
 
 #: Words of a shingle, and the least share of common shingles of near paragraphs.
 SHINGLE, SIMILAR = 5, 0.8
@@ -26,6 +27,8 @@ BANDS, ROWS = 17, 5
 PIECE = 20_000
 #: Paragraphs that a worker remembers to have hashed.
 MOST_SEEN = 500_000
+#: Sets of shingles that a worker keeps, and handles of paragraphs that are sent to every executor (8 bytes each); more are joined by a shuffle.
+MOST_KNOWN, MOST_SENT = 50_000, 500_000
 
 _BLANK = re.compile(r"\n[ \t\r]*\n")
 
@@ -53,13 +56,13 @@ def band_keys(found: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np.nd
 
 
 def _cut(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, no, digest, bands, shingles) of each paragraph with a shingle; a worker gives the last two once for a text."""
+    """(id, no, digest, bands, words) of each paragraph with a shingle; a worker gives the last two once for a text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         family, seen = _family(), set()
-        kinds = {"id": pa.int64(), "no": pa.int32(), "digest": pa.binary(), "bands": pa.list_(pa.int64()), "shingles": pa.list_(pa.int64())}
+        kinds = {"id": pa.int64(), "no": pa.int32(), "digest": pa.binary(), "bands": pa.list_(pa.int64()), "words": pa.binary()}
         for batch in batches:
             out: list[tuple] = []
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -68,15 +71,15 @@ def _cut(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     tokens = words(part)
                     if len(tokens) < SHINGLE:
                         continue
-                    digest = xxhash.xxh3_128_digest(" ".join(tokens).encode("utf-8", "surrogatepass"))
+                    plain = " ".join(tokens).encode("utf-8", "surrogatepass")
+                    digest = xxhash.xxh3_128_digest(plain)
                     if digest in seen:
                         out.append((key, no, digest, None, None))
                         continue
                     if len(seen) >= MOST_SEEN:
                         seen.clear()
                     seen.add(digest)
-                    found = shingles(tokens)
-                    out.append((key, no, digest, band_keys(found, family), found.view(np.int64)))
+                    out.append((key, no, digest, band_keys(shingles(tokens), family), plain))
                 if len(out) > 5_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds.values())], names=list(kinds))
                     out = []
@@ -84,7 +87,7 @@ def _cut(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds.values())], names=list(kinds))
 
     rows = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("t"))
-    return mapped(spread(rows), run, "id bigint, no int, digest binary, bands array<bigint>, shingles array<bigint>")
+    return mapped(spread(rows), run, "id bigint, no int, digest binary, bands array<bigint>, words binary")
 
 
 def linked(sets: list[np.ndarray], similar: float = SIMILAR) -> list[tuple[int, int]]:
@@ -127,14 +130,23 @@ def linked(sets: list[np.ndarray], similar: float = SIMILAR) -> list[tuple[int,
 
 
 def _links(rows: DataFrame) -> DataFrame:
-    """(a, b): links between the paragraphs of each cell of (key, cell, digest, shingles)."""
+    """(a, b): links between the paragraphs of each cell of (key, cell, digest, words)."""
+    known: dict[bytes, np.ndarray] = {}  # a text has a place in several bands
+
+    def sets_of(table: pa.Table, digests: list[bytes]) -> list[np.ndarray]:
+        if len(known) > MOST_KNOWN:
+            known.clear()
+        for digest, text in zip(digests, table.column("words").to_pylist()):
+            if digest not in known:
+                known[digest] = shingles(text.decode("utf-8", "surrogatepass").split(" "))
+        return [known[d] for d in digests]
 
     def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
         place = [table.column(c).to_numpy() for c in ("key", "cell")]
         cuts = np.flatnonzero(np.r_[True, np.any([p[1:] != p[:-1] for p in place], axis=0), True])
-        digests, found = table.column("digest").to_pylist(), table.column("shingles").combine_chunks()
-        offsets, flat = found.offsets.to_numpy(), found.values.to_numpy()[found.offsets[0].as_py() : found.offsets[-1].as_py()].view(np.uint64)
-        offsets = offsets - offsets[0]
+        digests = table.column("digest").to_pylist()
+        sets = sets_of(table, digests)
+        flat, offsets = np.concatenate(sets), np.r_[0, np.cumsum([len(x) for x in sets])]
         # all groups at once: how far each row is from the first of its group
         members = np.diff(cuts)
         group, sizes = np.repeat(np.arange(len(members)), members), np.diff(offsets)
@@ -151,7 +163,7 @@ def _links(rows: DataFrame) -> DataFrame:
         pairs = [p for p in pairs if not again[group[p[0]]]]
         for g in np.flatnonzero(again).tolist():
             a = int(cuts[g])
-            pairs += [(a + i, a + j) for i, j in linked([flat[offsets[r] : offsets[r + 1]] for r in range(a, int(cuts[g + 1]))])]
+            pairs += [(a + i, a + j) for i, j in linked(sets[a : int(cuts[g + 1])])]
         if pairs:
             yield pa.RecordBatch.from_arrays([pa.array([digests[p[k]] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
@@ -175,11 +187,11 @@ def _links(rows: DataFrame) -> DataFrame:
         if held:
             yield from compare(pa.Table.from_batches(held).combine_chunks())
 
-    return mapped(rows.repartition("key", "cell").sortWithinPartitions("key", "cell").select("key", "cell", "digest", "shingles"), run, "a binary, b binary")
+    return mapped(rows.repartition("key", "cell").sortWithinPartitions("key", "cell").select("key", "cell", "digest", "words"), run, "a binary, b binary")
 
 
 def _crowded(placed: DataFrame) -> DataFrame:
-    """The rows of (key, digest) whose key others have too; sorted and streamed, as nearly all keys have one row."""
+    """The different rows of (key, handle) whose key others have too; sorted and streamed, as nearly all keys have one row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, again = None, False  # the row that waits for the next one, and whether the one before it had its key
@@ -187,15 +199,17 @@ def _crowded(placed: DataFrame) -> DataFrame:
             if not len(batch):
                 continue
             table = pa.Table.from_batches([batch] if last is None else [last, batch]).combine_chunks()
-            key = table.column("key").to_numpy()
+            key, handle = table.column("key").to_numpy(), table.column("handle").to_numpy()
+            fresh = np.r_[True, (key[1:] != key[:-1]) | (handle[1:] != handle[:-1])]
+            table, key = table.filter(pa.array(fresh)).combine_chunks(), key[fresh]
             same = key[1:] == key[:-1]
             hit = np.r_[again, same] | np.r_[same, False]
-            last, again = table.slice(len(table) - 1).to_batches()[0], bool(hit[-1])
+            last, again = table.slice(len(table) - 1).combine_chunks().to_batches()[0], bool(hit[-1])
             yield from table.slice(0, len(table) - 1).filter(pa.array(hit[:-1])).to_batches()
         if again:
             yield last
 
-    return mapped(placed.repartition("key").sortWithinPartitions("key").select("key", "digest"), run, "key bigint, digest binary")
+    return mapped(placed.repartition("key").sortWithinPartitions("key", "handle").select("key", "handle"), run, "key bigint, handle bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -237,15 +251,19 @@ def paragraph_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     near is missed with probability 0.0013. Null and empty texts have no paragraphs,
     rows without an id are left out, rows of one id count each.
     """
-    cut = checkpointed(_cut(df, id_col, text_col))
-    distinct = checkpointed(cut.filter("bands IS NOT NULL").groupBy("digest").agg(F.first("bands").alias("bands"), F.first("shingles").alias("shingles")))
-    crowded = checkpointed(_crowded(distinct.select(F.explode("bands").alias("key"), "digest")))
+    cut, folder = stored(_cut(df, id_col, text_col))
+    handle = F.xxhash64("digest").alias("handle")  # 64 bits of the digest: different texts of one handle, hardly ever any, pass for one only where bands are counted
+    new = cut.filter("bands IS NOT NULL")
+    crowded = checkpointed(_crowded(new.select(F.explode("bands").alias("key"), handle)))
     counts = crowded.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    met = crowded.join(counts, "key").select("digest", "key", F.ceil(F.col("n") / PIECE).cast("int").alias("pieces"))
-    own = F.pmod(F.xxhash64("digest"), F.col("pieces")).cast("int")
+    met = crowded.join(counts, "key").select("handle", "key", F.ceil(F.col("n") / PIECE).cast("int").alias("pieces"))
+    texts = new.select("digest", "words", handle).join(small_side(crowded.select("handle").distinct(), MOST_SENT), "handle", "left_semi").dropDuplicates(["digest"])
+    own = F.pmod("handle", F.col("pieces")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda j: F.least(own, j) * F.col("pieces") + F.greatest(own, j))
-    links = _links(met.join(distinct.select("digest", "shingles"), "digest").select("key", "digest", "shingles", F.explode(cells).alias("cell")))
+    links = _links(met.join(texts, "handle").select("key", "digest", "words", F.explode(cells).alias("cell")))
     roots = components(links).withColumnRenamed("id", "digest")
     classed = cut.select("id", "no", "digest").join(roots, "digest", "left").select("id", "no", F.coalesce("root", "digest").alias("root"))
     first = classed.groupBy("root").agg(F.min(F.struct("id", "no")).alias("f"))
-    return classed.join(first, "root").select(F.col("id").alias(id_col), F.col("no").alias("paragraph"), F.col("f.id").alias("class_doc"), F.col("f.no").alias("class_paragraph"))
+    found = checkpointed(classed.join(first, "root").select(F.col("id").alias(id_col), F.col("no").alias("paragraph"), F.col("f.id").alias("class_doc"), F.col("f.no").alias("class_paragraph")))
+    removed(df.sparkSession, folder)
+    return found
